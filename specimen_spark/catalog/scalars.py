@@ -88,11 +88,14 @@ _SECOND = f"substr(string_split({_N}, ' ')[2], 1, 1)"
 _C3 = _ingest_case(_N, f"{_SECOND} = lower({_SECOND}) AND {_SECOND} <> upper({_SECOND})")
 
 
-@query("B8_ingest_binomial", f"""
+INGEST_BINOMIAL = f"""
 SELECT row_idx, coalesce(b, {_S}) AS species, b IS NOT NULL AS is_species_level FROM (
   SELECT *, CASE WHEN contains({_S}, ' ') AND {_C1[0]} THEN {_C1[1]}
     WHEN NOT contains({_S}, ' ') AND {_G} <> '' AND {_S} <> '' AND {_C2[0]} THEN {_C2[1]}
-    WHEN {_C3[0]} THEN {_C3[1]} END AS b FROM {{raw_manifest}}) t""")
+    WHEN {_C3[0]} THEN {_C3[1]} END AS b FROM {{raw_manifest}}) t"""
+
+
+@query("B8_ingest_binomial", INGEST_BINOMIAL)
 def ingest_binomial(spark, sf):
     found = species.ingest_binomial("scientific_name", "genus", "species")
     return view(spark, sf, "raw_manifest").select("row_idx", "species", found.alias("b")).select(

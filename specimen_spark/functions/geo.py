@@ -54,10 +54,15 @@ def classify_region(lat, lon) -> Column:
     return region
 
 
+def scope_rejection(country, state) -> Column:
+    """Why a point outside all boxes is rejected, from the normalised country and state."""
+    in_metadata = (as_column(country) == US_COUNTRY) & F.lower(as_column(state)).isin(*US_STATES)
+    return F.when(in_metadata, F.lit("us_metadata_but_out_of_bounds")).otherwise(F.lit("non_us_coordinate"))
+
+
 def us_scope(lat, lon, country, state) -> Column:
     """``struct<in_scope, label>``: the region, or why the point is out of scope."""
-    in_metadata = (normalize_country(country) == US_COUNTRY) & F.lower(normalize_state(state)).isin(*US_STATES)
-    why = F.when(in_metadata, F.lit("us_metadata_but_out_of_bounds")).otherwise(F.lit("non_us_coordinate"))
+    why = scope_rejection(normalize_country(country), normalize_state(state))
     return let(classify_region(lat, lon), lambda region: F.struct(
         (region != "").alias("in_scope"), F.when(region != "", region).otherwise(why).alias("label")))
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from specimen_spark.fixed_values import NON_SPECIES_WORDS
-from specimen_spark.functions.text import as_column, let, normalize_text, title_token, tokenize_alpha
+from specimen_spark.functions.text import (
+    alpha_tokens, as_column, let, normalize_text, title_token, tokenize_alpha,
+)
 
 
 def _starts_lower(token: Column) -> Column:
@@ -19,52 +21,66 @@ def genus_hint(genus) -> Column:
     return let(F.coalesce(F.get(tokenize_alpha(genus), F.lit(0)), F.lit("")), title_token)
 
 
-def _binomial(tokens: Column, text: Column, hint: Column, *, lower_second: bool = False) -> Column:
-    """Binomial of a text, null when it does not qualify."""
-    genus, epithet = F.get(tokens, F.lit(0)), F.lower(F.get(tokens, F.lit(1)))
-    ok = (
+def _qualifies(tokens: Column, text: Column, hint: Column) -> Column:
+    """The text reads as a binomial that agrees with the genus hint."""
+    return (
         (F.size(tokens) >= 2)
         & text.contains(" ")
-        & ~epithet.isin(*NON_SPECIES_WORDS)
-        & ((hint == "") | (F.lower(genus) == F.lower(hint)))
+        & ~F.lower(F.get(tokens, F.lit(1))).isin(*NON_SPECIES_WORDS)
+        & ((hint == "") | (F.lower(F.get(tokens, F.lit(0))) == F.lower(hint)))
     )
-    if lower_second:
-        ok = ok & _starts_lower(F.split_part(text, F.lit(" "), F.lit(2)))
-    return F.when(ok, F.concat_ws(" ", title_token(genus), epithet))
 
 
-def _epithet(tokens: Column, hint: Column) -> Column:
-    """Binomial from the genus hint and a single-token text."""
-    epithet = F.lower(F.get(tokens, F.lit(0)))
-    ok = (F.size(tokens) == 1) & (hint != "") & ~epithet.isin(*NON_SPECIES_WORDS)
-    return F.when(ok, F.concat_ws(" ", hint, epithet))
+def _label(p) -> Column:
+    """Label from ``hint`` and the text and tokens of the three name columns."""
+    hint = p["hint"]
 
+    def labelled(species: Column, source: str) -> Column:
+        return F.struct(species.alias("species"), F.lit(source).alias("source"))
 
-def canonical_species(raw_species, species, scientific_name, genus) -> Column:
-    """``struct<species, source>``; blank species with source ``missing_species`` when nothing fits."""
+    def pair(tokens: Column, source: str) -> Column:
+        binomial = F.concat_ws(" ", title_token(F.get(tokens, F.lit(0))), F.lower(F.get(tokens, F.lit(1))))
+        return labelled(binomial, f"{source}_binomial")
 
-    def labelled(value: Column, label: str) -> Column:
-        return let(value, lambda v: F.when(
-            v.isNotNull(), F.struct(v.alias("species"), F.lit(label).alias("source"))))
+    chosen = None
+    for part, source in (("raw", "raw_species"), ("field", "species_field")):
+        tokens, text = p[f"{part}_tokens"], p[part]
+        only = F.lower(F.get(tokens, F.lit(0)))
+        single = (F.size(tokens) == 1) & (hint != "") & ~only.isin(*NON_SPECIES_WORDS)
+        two = _qualifies(tokens, text, hint)
+        chosen = F.when(two, pair(tokens, source)) if chosen is None else chosen.when(two, pair(tokens, source))
+        chosen = chosen.when(single, labelled(F.concat_ws(" ", hint, only), f"{source}_epithet"))
+    # A scientific name only counts when its second word starts in lower case.
+    tokens, text = p["name_tokens"], p["name"]
+    name_ok = _qualifies(tokens, text, hint) & _starts_lower(F.split_part(text, F.lit(" "), F.lit(2)))
+    return chosen.when(name_ok, pair(tokens, "scientific_name")).otherwise(labelled(F.lit(""), "missing_species"))
 
-    def choose(p: Column) -> Column:
-        hint, raw, field, name = p["hint"], p["raw"], p["field"], p["name"]
-        return F.coalesce(
-            labelled(_binomial(p["raw_tokens"], raw, hint), "raw_species_binomial"),
-            labelled(_epithet(p["raw_tokens"], hint), "raw_species_epithet"),
-            labelled(_binomial(p["field_tokens"], field, hint), "species_field_binomial"),
-            labelled(_epithet(p["field_tokens"], hint), "species_field_epithet"),
-            labelled(_binomial(p["name_tokens"], name, hint, lower_second=True), "scientific_name_binomial"),
-            F.struct(F.lit("").alias("species"), F.lit("missing_species").alias("source")),
-        )
 
+def canonical_species(raw_species, species, scientific_name, genus) -> Column:
+    """``struct<species, source>``; blank species with source ``missing_species`` when nothing fits."""
+    texts = {"raw": raw_species, "field": species, "name": scientific_name}
     parts = F.struct(
         genus_hint(genus).alias("hint"),
-        normalize_text(raw_species).alias("raw"), tokenize_alpha(raw_species).alias("raw_tokens"),
-        normalize_text(species).alias("field"), tokenize_alpha(species).alias("field_tokens"),
-        normalize_text(scientific_name).alias("name"), tokenize_alpha(scientific_name).alias("name_tokens"),
+        *[normalize_text(c).alias(n) for n, c in texts.items()],
+        *[tokenize_alpha(c).alias(f"{n}_tokens") for n, c in texts.items()],
     )
-    return let(parts, choose)
+    return let(parts, _label)
+
+
+def with_species_label(df, raw_species, species, scientific_name, genus, label: str, hint: str):
+    """``canonical_species`` and the genus hint as columns.
+
+    Same result as the column function; texts and tokens become columns of
+    their own, so everything stays in generated code.
+    """
+    texts = {"raw": raw_species, "field": species, "name": scientific_name, "genus": genus}
+    rows = df.select("*", *[normalize_text(c).alias(f"__{n}") for n, c in texts.items()])
+    rows = rows.select("*", *[alpha_tokens(F.col(f"__{n}")).alias(f"__{n}_tokens") for n in texts])
+    first = F.coalesce(F.get(F.col("__genus_tokens"), F.lit(0)), F.lit(""))
+    rows = rows.withColumn(hint, title_token(first))
+    columns = {n: F.col(f"__{n}") for t in ("raw", "field", "name") for n in (t, f"{t}_tokens")}
+    return rows.withColumn(label, _label({"hint": F.col(hint), **columns})).drop(
+        *[f"__{n}" for t in texts for n in (t, f"{t}_tokens")])
 
 
 def ingest_binomial(scientific_name, genus, species) -> Column:

@@ -33,10 +33,17 @@ def let(value: Column, body) -> Column:
 WHITE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+def _squeezed(text: Column) -> Column:
+    # Nearly all cells are printable ASCII without spare spaces; the wide
+    # character class is ten times slower than these tests.
+    odd = text.contains("  ") | text.startswith(" ") | text.endswith(" ") | text.rlike("[^ -~]")
+    return F.when(odd, F.trim(F.regexp_replace(text, WHITE + "+", " "))).otherwise(text)
+
+
 def normalize_text(c) -> Column:
     """Null becomes blank; runs of Unicode white space become one space."""
     text = F.coalesce(as_column(c).cast("string"), F.lit(""))
-    return F.trim(F.regexp_replace(text, WHITE + "+", " "))
+    return _squeezed(text) if isinstance(c, str) else let(text, _squeezed)
 
 
 def blank_to_null(c) -> Column:
@@ -78,6 +85,10 @@ def _fold_tables() -> tuple[str, str, str]:
 
 def ascii_text(c) -> Column:
     """Normalised text with accents and compatibility forms folded, other non-ASCII dropped."""
+    return let(normalize_text(c), _folded)
+
+
+def _folded(text: Column) -> Column:
     singles_from, singles_to, several = _fold_tables()
     non_ascii = r"[^\x00-\x7F]"
     table = F.str_to_map(F.lit(several), F.lit("\x01"), F.lit("\x02"))
@@ -93,12 +104,16 @@ def ascii_text(c) -> Column:
             ).otherwise(once),
         )
 
-    return let(normalize_text(c), lambda text: F.when(text.rlike(non_ascii), fold(text)).otherwise(text))
+    return F.when(text.rlike(non_ascii), fold(text)).otherwise(text)
+
+
+def alpha_tokens(text: Column) -> Column:
+    """Array of the runs of ASCII letters and hyphens of a normalised text."""
+    return F.regexp_extract_all(_folded(text), F.lit(r"([A-Za-z-]+)"), F.lit(1))
 
 
 def tokenize_alpha(c) -> Column:
-    """Array of the runs of ASCII letters and hyphens."""
-    return F.regexp_extract_all(ascii_text(c), F.lit(r"([A-Za-z-]+)"), F.lit(1))
+    return let(normalize_text(c), alpha_tokens)
 
 
 def title_token(c) -> Column:
@@ -111,9 +126,12 @@ def parse_month(c) -> Column:
 
 
 def normalize_country(c) -> Column:
-    spellings = "|".join(re.escape(s) for s in US_COUNTRY_SPELLINGS)
-    pattern = f"(?i)united states|^(?:{spellings})$"
-    return let(normalize_text(c), lambda text: F.when(text.rlike(pattern), F.lit(US_COUNTRY)).otherwise(text))
+    def rename(text: Column) -> Column:
+        lower = F.lower(text)
+        known = lower.contains("united states") | lower.isin(*US_COUNTRY_SPELLINGS)
+        return F.when(known, F.lit(US_COUNTRY)).otherwise(text)
+
+    return let(normalize_text(c), rename)
 
 
 def normalize_state(c) -> Column:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specimen_spark.fixed_values import DOWNLOADED_STATUSES, TARGET_FAMILY
-from specimen_spark.functions.geo import classify_region, us_scope
+from specimen_spark.functions.geo import classify_region, scope_rejection
 from specimen_spark.functions.numbers import parse_float_finite
-from specimen_spark.functions.species import canonical_species, genus_hint, specimen_key
+from specimen_spark.functions.species import specimen_key, with_species_label
 from specimen_spark.functions.text import (
     blank_to_null, normalize_country, normalize_state, normalize_text, parse_month,
 )
@@ -51,65 +51,64 @@ def judge_rows(
 ) -> DataFrame:
     """All input rows plus ``reject_reason`` (null = accepted) and the cleaned key columns."""
     validate_required(df, RAW_REQUIRED)
-    rows = df.withColumn("__url", blank_to_null("image_url"))
-
     claims = (
-        rows.where(F.col("__url").isNotNull())
+        df.select(blank_to_null("image_url").alias("__url"), *order_cols)
+        .where(F.col("__url").isNotNull())
         .groupBy("__url")
-        .agg(F.min(order_struct(order_cols)).alias("__claim"), F.count(F.lit(1)).alias("__n"))
+        .agg(F.min(order_struct(order_cols)).alias("__claim"))
     )
-    rows = attach(rows, claims.drop("__n"), ["__url"], order_cols, counts=claims)
 
+    # Everything that looks at one row only is computed below the join with
+    # the claims, so a filter on the final reason cannot repeat it.
     path = F.coalesce(
         F.nullif(normalize_text(optional(df, "image_path")), F.lit("")),
         normalize_text(optional(df, "local_image_path")),
     )
-    label = canonical_species(
-        optional(df, "raw_species"), optional(df, "species"), F.col("scientific_name"), F.col("genus")
-    )
-    rows = rows.select(
+    rows = df.select(
         "*",
+        blank_to_null("image_url").alias("__url"),
         parse_float_finite("latitude").alias("__lat"),
         parse_float_finite("longitude").alias("__lon"),
         path.alias("__path"),
-        label.alias("__label"),
+        F.lower(normalize_text(optional(df, "family"))).alias("__family"),
+        normalize_country(optional(df, "country")).alias("__country"),
+        normalize_state(optional(df, "state_province")).alias("__state"),
     )
-    has_coordinates = F.col("__lat").isNotNull() & F.col("__lon").isNotNull()
+    rows = with_species_label(
+        rows, optional(df, "raw_species"), optional(df, "species"), "scientific_name", "genus", "__label", "__hint"
+    ).withColumn("__box", classify_region("__lat", "__lon"))
+
+    located = F.col("__lat").isNotNull() & F.col("__lon").isNotNull()
+    outside = F.lit("outside_us_scope")
     if filter_us_scope:
-        scope = us_scope("__lat", "__lon", optional(df, "country"), optional(df, "state_province"))
-        rows = rows.withColumn("__scope", F.when(has_coordinates, scope))
-        region = F.coalesce(F.col("__scope.label"), F.lit("missing_coordinate"))
-        out_of_scope = has_coordinates & ~F.col("__scope.in_scope")
-    else:
-        region = F.when(
-            has_coordinates,
-            F.coalesce(F.nullif(classify_region("__lat", "__lon"), F.lit("")), F.lit("outside_us_scope")),
-        ).otherwise(F.lit("missing_coordinate"))
-        out_of_scope = F.lit(False)
-
-    family_text = F.lower(normalize_text(optional(df, "family")))
-    reason = (
-        F.when(F.col("__url").isNull(), F.lit("missing_image_url"))
-        .when(order_struct(order_cols) != F.col("__claim"), F.lit("duplicate_image_url"))
-        .when((family_text != "") & (family_text != family.lower()), F.lit(f"non_{family.lower()}_family"))
-    )
+        outside = scope_rejection("__country", "__state")
+    region = F.when(~located, F.lit("missing_coordinate")).when(F.col("__box") != "", F.col("__box")).otherwise(outside)
+    wanted = family.lower()
+    reason = F.when(~F.col("__family").isin("", wanted), F.lit(f"non_{wanted}_family"))
     if not allow_missing_coordinates:
-        reason = reason.when(~has_coordinates, F.lit("missing_coordinate"))
-    reason = reason.when(out_of_scope, region).when(
-        F.col("__label.species") == "", F.lit("missing_species_label")
-    )
+        reason = reason.when(~located, F.lit("missing_coordinate"))
+    if filter_us_scope:
+        reason = reason.when(located & (F.col("__box") == ""), outside)
+    reason = reason.when(F.col("__label.species") == "", F.lit("missing_species_label"))
     if require_downloaded:
-        status = normalize_text(optional(df, "download_status"))
-        reason = reason.when(~status.isin(*DOWNLOADED_STATUSES), F.lit("image_not_downloaded"))
         if existing_paths is None:
             raise ValueError("require_downloaded needs existing_paths, a file listing with a column 'path'")
         listing = existing_paths.select(F.col("path").alias("__path")).distinct().withColumn("__exists", F.lit(True))
-        rows = attach(rows, listing, ["__path"], order_cols)
+        rows = attach(rows, listing, ["__path"])
+        status = normalize_text(optional(df, "download_status"))
+        reason = reason.when(~status.isin(*DOWNLOADED_STATUSES), F.lit("image_not_downloaded"))
         reason = reason.when((F.col("__path") == "") | F.col("__exists").isNull(), F.lit("missing_local_image"))
-
-    return rows.select(
-        *df.columns, "__url", "__lat", "__lon", "__path", "__label",
-        region.alias("__region"), reason.alias("reject_reason"),
+    rows = rows.select(
+        *df.columns, "__url", "__lat", "__lon", "__path", "__label", "__hint", "__country", "__state",
+        region.alias("__region"),
+        reason.alias("__row_reason"),
+    )
+    return attach(rows, claims, ["__url"]).select(
+        *df.columns, "__url", "__lat", "__lon", "__path", "__label", "__hint", "__country", "__state", "__region",
+        F.when(F.col("__url").isNull(), F.lit("missing_image_url"))
+        .when(order_struct(order_cols) != F.col("__claim"), F.lit("duplicate_image_url"))
+        .otherwise(F.col("__row_reason"))
+        .alias("reject_reason"),
     )
 
 
@@ -120,8 +119,8 @@ def accepted_rows(judged: DataFrame, df: DataFrame, order_cols, family: str = TA
     counts = record_image_count(df).select(
         F.col("source").alias("__source"), F.col("record_id").alias("__record"), "record_image_count"
     )
-    kept = attach(kept, counts, ["__source", "__record"], order_cols, counts=counts, n="record_image_count")
-    hint = genus_hint("genus")
+    kept = attach(kept, counts, ["__source", "__record"])
+    hint = F.col("__hint")
     values = {
         "image_path": F.col("__path"),
         "specimen_key": specimen_key("source", "record_id"),
@@ -134,8 +133,8 @@ def accepted_rows(judged: DataFrame, df: DataFrame, order_cols, family: str = TA
         "longitude": F.col("__lon"),
         "has_coordinates": F.col("__lat").isNotNull() & F.col("__lon").isNotNull(),
         "us_region": F.col("__region"),
-        "country": normalize_country(optional(df, "country")),
-        "state_province": normalize_state(optional(df, "state_province")),
+        "country": F.col("__country"),
+        "state_province": F.col("__state"),
         "month": parse_month(optional(df, "event_date")),
         "image_url": F.col("__url"),
     }
@@ -156,8 +155,8 @@ def species_vocab(df: DataFrame, species: str = "species") -> DataFrame:
     return ranked.select(species, (F.col("__id") - 1).cast("int").alias("species_id"), "rows")
 
 
-def assign_species_ids(df: DataFrame, salt_by, species: str = "species") -> tuple[DataFrame, DataFrame]:
+def assign_species_ids(df: DataFrame, species: str = "species") -> tuple[DataFrame, DataFrame]:
     """Rows with ``species_id`` and the vocabulary they refer to."""
     vocab = species_vocab(df, species)
-    counts = vocab.select(species, F.col("rows").alias("__n"))
-    return attach(df, vocab.drop("rows"), [species], salt_by, how="inner", counts=counts), vocab.drop("rows")
+    vocab = vocab.drop("rows")
+    return attach(df, vocab, [species], how="inner"), vocab

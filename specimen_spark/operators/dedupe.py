@@ -74,8 +74,8 @@ def content_duplicates(df: DataFrame, content: str, id_col: str, order_cols) ->
         F.min_by(id_col, order_struct(order_cols)).alias("first"),
         F.count(F.lit(1)).alias("__n"),
     )
-    repeated = firsts.where(F.col("__n") > 1)
-    joined = attach(hashed, repeated.drop("__n"), ["sha1"], order_cols, how="inner", counts=firsts)
+    repeated = firsts.where(F.col("__n") > 1).drop("__n")
+    joined = attach(hashed, repeated, ["sha1"], how="inner")
     return joined.where(order_struct(order_cols) != F.col("__first")).select(
         "first", F.col(id_col).alias("duplicate"), "sha1"
     )

@@ -19,7 +19,7 @@ def join_records_media(records: DataFrame, media: DataFrame, record_order, media
     latest = last_per_key(keyed, ["record_uuid"], record_order)
     latest = latest.drop(*[c for c in record_order if c not in ("record_uuid",)])
     linked = media.withColumn("record_uuid", blank_to_null("record_uuid")).where(F.col("record_uuid").isNotNull())
-    joined = attach(linked, latest, ["record_uuid"], media_order, how="inner")
+    joined = attach(linked, latest, ["record_uuid"], how="inner")
     return joined.select(*media_order, *specimen_manifest_row())
 
 
@@ -68,7 +68,7 @@ def fallback_join(strict: DataFrame, processed: DataFrame, order_cols, id_cols)
     wanted = strict.select(*id_cols, F.explode(_lookup_keys(strict)).alias("k")).select(
         *id_cols, "k.priority", "k.kind", "k.key1", "k.key2"
     )
-    found = attach(wanted, lookup, ["kind", "key1", "key2"], id_cols, how="inner")
+    found = attach(wanted, lookup, ["kind", "key1", "key2"], how="inner")
     best = found.groupBy(*id_cols).agg(
         F.min_by(F.struct("__match", F.col("kind").alias("match_key")), "priority").alias("__best")
     )
@@ -154,7 +154,7 @@ def pending(df: DataFrame, ledger: DataFrame, keys=("occurrence_key",)) -> DataF
     keys = list(keys)
     done = ledger.select(*[blank_to_null(k).alias(f"__{k}") for k in keys]).distinct()
     rows = df.select("*", *[blank_to_null(k).alias(f"__{k}") for k in keys])
-    return attach(rows, done, [f"__{k}" for k in keys], df.columns, how="left_anti").select(*df.columns)
+    return attach(rows, done, [f"__{k}" for k in keys], how="left_anti").select(*df.columns)
 
 
 def qc_pairs(source: DataFrame, processed: DataFrame, index: str = "source_row_index") -> DataFrame:
@@ -174,19 +174,18 @@ def qc_pairs(source: DataFrame, processed: DataFrame, index: str = "source_row_i
     return sampled.join(side, index)
 
 
-def check_against_vocab(df: DataFrame, vocab: DataFrame, salt_by) -> DataFrame:
+def check_against_vocab(df: DataFrame, vocab: DataFrame) -> DataFrame:
     """Rows with ``species_unknown`` and ``id_unknown``.
 
-    Both joins are plain lookups; the vocabulary is broadcast when its
-    measured size allows it, hot species are salted otherwise.
+    The vocabulary is broadcast when its measured size allows it.
     """
     rows = df.select(
         "*", blank_to_null("species").alias("__species"), parse_int("species_id", default=None).alias("__id")
     )
     names = vocab.select(F.col("species").alias("__species"), F.lit(True).alias("__known_species")).distinct()
     ids = vocab.select(F.col("species_id").cast("bigint").alias("__id"), F.lit(True).alias("__known_id")).distinct()
-    checked = attach(rows, names, ["__species"], salt_by)
-    checked = attach(checked, ids, ["__id"], salt_by, counts=rows.groupBy("__id").agg(F.count(F.lit(1)).alias("__n")))
+    checked = attach(rows, names, ["__species"])
+    checked = attach(checked, ids, ["__id"])
     return checked.select(
         *df.columns,
         (F.col("__species").isNotNull() & F.col("__known_species").isNull()).alias("species_unknown"),
@@ -234,7 +233,7 @@ def resolve_paths(
     tried = df.select(*id_cols, F.posexplode(F.array(*options)).alias("__priority", "__path")).where(
         F.col("__path").isNotNull())
     existing = listing.select(F.col("path").alias("__path")).distinct().withColumn("__exists", F.lit(True))
-    hits = attach(tried, existing, ["__path"], id_cols, how="inner")
+    hits = attach(tried, existing, ["__path"], how="inner")
     best = hits.groupBy(*id_cols).agg(F.min_by("__path", "__priority").alias("__best"))
     if fallback:
         first = F.coalesce(*values)

@@ -2,29 +2,21 @@
 
 * ``first_per_key`` / ``last_per_key`` are plain aggregates, so every map task
   sends at most one row per key.
-* ``attach`` joins a one-row-per-key table to a row table. Keys that hold a
-  large share of the rows are salted: their rows go to many tasks and the one
-  lookup row is copied to each of them.
+* ``attach`` joins a one-row-per-key table to a row table so that adaptive
+  execution can split the partitions of hot keys.
 * ``bucketed_rank`` numbers rows exactly inside a group without sorting the
   group in one task.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 128
-# A key is hot when it holds more than 1/HOT_SHARE of the rows, so at most
-# HOT_SHARE - 1 keys are hot and the broadcast list of them is bounded.
-HOT_SHARE = 200
-
-
 def order_struct(order_cols) -> Column:
-    return F.struct(*[F.col(c) for c in order_cols])
+    """The order columns as one comparable value; a single column stays itself and hashes faster."""
+    columns = [F.col(c) for c in order_cols]
+    return columns[0] if len(columns) == 1 else F.struct(*columns)
 
 
 def first_per_key(df: DataFrame, keys, order_cols, columns=None) -> DataFrame:
@@ -41,34 +33,21 @@ def last_per_key(df: DataFrame, keys, order_cols, columns=None) -> DataFrame:
     return best.select(*keys, "__row.*")
 
 
-def hot_keys(counts: DataFrame, keys, n: str = "__n") -> DataFrame:
-    """Keys holding more than 1/HOT_SHARE of all rows; fewer than HOT_SHARE rows by construction."""
-    total = counts.agg(F.sum(n).alias("total")).scalar()
-    return counts.where(F.col(n) * HOT_SHARE > total).select(*keys, F.lit(True).alias("__hot"))
-
+def attach(rows: DataFrame, lookup: DataFrame, keys, how: str = "left") -> DataFrame:
+    """Join ``lookup`` (one row per key, usually aggregated) to ``rows`` on ``keys``.
 
-def attach(
-    rows: DataFrame, lookup: DataFrame, keys, salt_by, how: str = "left", counts: DataFrame | None = None,
-    n: str = "__n",
-) -> DataFrame:
-    """Join ``lookup`` (one row per key) to ``rows`` on ``keys``, salting hot keys.
-
-    ``counts`` gives the number of rows per key when the caller has it already;
-    otherwise one column-pruned counting pass finds it. Rows with a null key
-    match nothing and are spread like a hot key.
+    Spark broadcasts the lookup when its measured size allows it. Otherwise
+    both sides are shuffled and adaptive execution splits the partitions of
+    hot (or null) keys of ``rows``, copying the few lookup rows to each split.
+    It can only do so when both inputs come straight from a shuffle. An
+    aggregated lookup is already partitioned by its key and would skip that
+    shuffle, so the join also compares a column that is always 0 on both sides.
     """
     keys = list(keys)
-    if counts is None:
-        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
-    hot = F.broadcast(hot_keys(counts, keys, n))
-    has_null = reduce(or_, [F.col(k).isNull() for k in keys])
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in salt_by]), F.lit(SALTS)).cast("int")
-    left = rows.join(hot, keys, "left").withColumn(
-        "__salt", F.when(F.col("__hot") | has_null, spread).otherwise(F.lit(0))
-    ).drop("__hot")
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = lookup.join(hot, keys, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
-    joined = left.join(right, keys + ["__salt"], how).drop("__salt")
+    always_zero = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(1).cast("bigint"))
+    joined = rows.withColumn("__zero", always_zero).join(
+        lookup.withColumn("__zero", always_zero), keys + ["__zero"], how
+    )
     if how in ("left_semi", "left_anti"):
         return joined.select(*rows.columns)
     return joined.select(*rows.columns, *[c for c in lookup.columns if c not in keys])

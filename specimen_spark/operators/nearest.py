@@ -102,7 +102,7 @@ def nearest_record(
             # At most 288 rows with 256 children each.
             opened = keyed.join(F.broadcast(table), ["py", "px"])
         else:
-            opened = attach(cut_lineage(keyed), table, ["py", "px"], ["__lat", "__lon"], how="inner")
+            opened = attach(keyed, table, ["py", "px"], how="inner")
         nearby = opened.select("__lat", "__lon", F.explode(_prune(F.col("children"))).alias("c"))
         best = nearby.select("__lat", "__lon", "c.*").withColumn("__best", F.min("far").over(per_point))
         live = best.where(F.col("near") <= F.col("__best")).select("__lat", "__lon", "cy", "cx")
@@ -111,7 +111,7 @@ def nearest_record(
         "cy", "cx", F.col("__lat").alias("__y"), F.col("__lon").alias("__x"),
         F.struct(*values).alias("__value"), order_struct(order_cols).alias("__order"),
     )
-    pairs = attach(cut_lineage(live), places, ["cy", "cx"], ["__lat", "__lon"], how="inner")
+    pairs = attach(live, places, ["cy", "cx"], how="inner")
     dy, dx = F.col("__lat") - F.col("__y"), F.col("__lon") - F.col("__x")
     found = pairs.withColumn("__distance", F.sqrt(dy * dy + dx * dx)).where(
         F.col("__distance") < F.lit(float("inf"))
@@ -120,7 +120,7 @@ def nearest_record(
         F.min_by("__value", F.struct("__distance", "__order")).alias("__value"),
     )
     keyed_points = points.select("*", F.col(lat).cast("double").alias("__lat"), F.col(lon).cast("double").alias("__lon"))
-    joined = attach(keyed_points, found, ["__lat", "__lon"], points.columns)
+    joined = attach(keyed_points, found, ["__lat", "__lon"])
     unusable = F.coalesce(F.col(f"__value.{values[-1]}"), F.lit("")) == ""
     return joined.select(
         *points.columns, "distance",

@@ -25,14 +25,13 @@ def location_features(df: DataFrame, n_freq: int = 4, lat: str = "latitude", lon
 
 
 def fit_prior(
-    train: DataFrame, vocab: DataFrame, salt_by, n_freq: int = 4, strategy: str = "effective_num",
+    train: DataFrame, vocab: DataFrame, n_freq: int = 4, strategy: str = "effective_num",
     max_iter: int = 30, reg: float = 1e-4,
 ):
     """Multinomial logistic regression on location features with class weights."""
     weights = class_weights(class_counts(train, vocab), strategy)
     lookup = weights.select("species_id", F.col("weight").alias("__weight"))
-    counts = weights.select("species_id", F.col("class_count").alias("__n"))
-    rows = attach(train, lookup, ["species_id"], salt_by, how="inner", counts=counts)
+    rows = attach(train, lookup, ["species_id"], how="inner")
     featured = location_features(rows, n_freq).select("features", F.col("species_id").cast("double").alias("label"),
                                                       "__weight")
     learner = LogisticRegression(

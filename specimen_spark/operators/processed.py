@@ -135,7 +135,7 @@ def preprocess_status(df: DataFrame, allow_fallback: bool = False) -> DataFrame:
 
 
 def gate_images(
-    df: DataFrame, images: DataFrame, existing: DataFrame | None, id_cols, min_size: int = 256,
+    df: DataFrame, images: DataFrame, existing: DataFrame | None, min_size: int = 256,
     raw_dir: str = "images_raw", licensed_dir: str = "images_licensed",
 ) -> DataFrame:
     """Status of each row of the simple manifest: licence first, then file, then pixel size.
@@ -157,11 +157,11 @@ def gate_images(
         if existing is not None
         else df.select(F.lit(None).cast("string").alias("image_path"), F.lit(True).alias("__done")).limit(0)
     )
-    rows = attach(rows, done, ["image_path"], id_cols)
+    rows = attach(rows, done, ["image_path"])
     sizes = images.select(
         F.col("path").alias("image_path_raw"), F.col("width").alias("__w"), F.col("height").alias("__h")
     )
-    rows = attach(rows, sizes, ["image_path_raw"], id_cols)
+    rows = attach(rows, sizes, ["image_path_raw"])
     decodable = F.col("__h") > 0
     status = (
         F.when(F.col("image_path_raw").isNull(), F.lit("skip"))
@@ -249,8 +249,8 @@ def path_suffix_raw(c):
 def destination_names_simple(df: DataFrame, path_col: str, order_col: str, index: str) -> DataFrame:
     """Per row: base name for its first user, ``<stem>_<row index>`` for every later row."""
     based = df.withColumn("__base", file_name(path_col))
-    firsts = based.groupBy("__base").agg(F.min(order_col).alias("__first"), F.count(F.lit(1)).alias("__n"))
-    joined = attach(based, firsts.drop("__n"), ["__base"], [order_col], counts=firsts)
+    firsts = based.groupBy("__base").agg(F.min(order_col).alias("__first"))
+    joined = attach(based, firsts, ["__base"])
     tail = F.coalesce(blank_to_null(index), F.lit("dup"))
     return joined.select(
         *df.columns,
@@ -260,10 +260,10 @@ def destination_names_simple(df: DataFrame, path_col: str, order_col: str, index
     )
 
 
-def portable_manifest(df: DataFrame, names: DataFrame, path_col: str, salt_by, folder: str = "images") -> DataFrame:
+def portable_manifest(df: DataFrame, names: DataFrame, path_col: str, folder: str = "images") -> DataFrame:
     """Relative image path in place of absolute ones; originals are preserved."""
     lookup = names.select(F.col("path").alias(path_col), F.col("name").alias("__name"))
-    joined = attach(df, lookup, [path_col], salt_by, how="inner")
+    joined = attach(df, lookup, [path_col], how="inner")
     new = {
         "original_processed_image_absolute_path": F.col(path_col),
         "processed_image_absolute_path": F.lit(""),

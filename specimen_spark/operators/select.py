@@ -51,15 +51,14 @@ def diverse_select(
         ((F.col(quality) >= min_quality) & (F.col(luminance) >= min_luminance)).alias("__ok"),
     )
     state = pool.groupBy("__r").agg(
-        F.sum(F.col("__ok").cast("int")).alias("__good"), F.count(F.lit(1)).alias("__n")
+        F.sum(F.col("__ok").cast("int")).alias("__good")
     )
-    counts = state
     state = state.select(
         "__r", (F.col("__good") >= k).alias("__strict"),
         F.array().cast("array<struct<c:string,v:array<double>>>").alias("__picks"),
     )
     for _ in range(k):
-        open_ = attach(pool, state, ["__r"], ["__c"], how="inner", counts=counts)
+        open_ = attach(pool, state, ["__r"], how="inner")
         unseen = ~F.exists("__picks", lambda p: p["c"] == F.col("__c").cast("string"))
         closest = F.array_max(F.transform("__picks", lambda p: _dot(p["v"], F.col("__v"))))
         objective = F.col("__value") - F.coalesce(F.lit(diversity_weight) * closest, F.lit(0.0))

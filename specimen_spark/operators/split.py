@@ -73,7 +73,7 @@ def group_species(df: DataFrame, order_cols) -> DataFrame:
 
 
 def split_of_groups(groups: DataFrame, seed, val_fraction: float, test_fraction: float) -> DataFrame:
-    """``group_key, split, rows`` from ``group_species`` output."""
+    """``group_key, split`` from ``group_species`` output."""
     ranked = hash_rank(groups, ["species"], ["group_key"], seed, "__rank", "__groups")
     sizes = ranked.withColumn("__s", split_sizes("__groups", val_fraction, test_fraction))
     train, val, test = (F.col(f"__s.{s}") for s in SPLITS)
@@ -84,7 +84,7 @@ def split_of_groups(groups: DataFrame, seed, val_fraction: float, test_fraction:
         .when(rank <= train + val + test, F.lit("test"))
         .otherwise(F.lit("train"))
     )
-    return sizes.select("group_key", split.alias("split"), "rows")
+    return sizes.select("group_key", split.alias("split"))
 
 
 def grouped_split(
@@ -93,8 +93,7 @@ def grouped_split(
     """Rows with ``split``: all rows of a group share one, stratified by the group's species."""
     groups = split_of_groups(group_species(df, order_cols), seed, val_fraction, test_fraction)
     rows = with_group_key(df, "group_key")
-    counts = groups.select("group_key", F.col("rows").alias("__n"))
-    return attach(rows, groups.drop("rows"), ["group_key"], order_cols, counts=counts).drop(
+    return attach(rows, groups, ["group_key"]).drop(
         *(["group_key"] if "group_key" not in df.columns else []))
 
 
@@ -197,7 +196,7 @@ def balanced_sample(df: DataFrame, class_col: str, key_cols, seed, n: int | None
         (F.floor(hash_uniform(seed, F.lit("class"), F.col("id")) * total) + 1).alias("__class"),
         hash_uniform(seed, F.lit("row"), F.col("id")).alias("__u"),
     )
-    located = attach(draws, classes, ["__class"], ["draw"], how="inner").select(
+    located = attach(draws, classes, ["__class"], how="inner").select(
         "draw", class_col, (F.floor(F.col("__u") * F.col("__count")) + 1).cast("bigint").alias("__position")
     )
-    return attach(located, members, [class_col, "__position"], ["draw"], how="inner").select("draw", *df.columns)
+    return attach(located, members, [class_col, "__position"], how="inner").select("draw", *df.columns)

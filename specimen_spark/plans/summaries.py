@@ -135,7 +135,7 @@ def merged_shard_summary(df: DataFrame) -> DataFrame:
 
 
 def audit_summary(df: DataFrame, images: DataFrame | None = None, path_col: str = "processed_image_path",
-                  salt_by=None, top: int = 20) -> DataFrame:
+                  top: int = 20) -> DataFrame:
     """``section, key, value``: crop methods, views, sources, buckets, and image facts when given.
 
     ``images`` is an ``image_profile`` by ``path``; rows without a decodable
@@ -158,7 +158,7 @@ def audit_summary(df: DataFrame, images: DataFrame | None = None, path_col: str
     ]
     if images is not None:
         profile = images.withColumnRenamed("path", path_col)
-        seen = attach(df.select(path_col, *[c for c in salt_by if c != path_col]), profile, [path_col], salt_by)
+        seen = attach(df.select(path_col), profile, [path_col])
         good = F.coalesce(F.col("decodable"), F.lit(False))
         size = F.format_string("(%d, %d)", F.col("width"), F.col("height"))
         frames += [
@@ -253,9 +253,9 @@ def download_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def _preflight_flags(df: DataFrame, vocab: DataFrame, salt_by) -> DataFrame:
+def _preflight_flags(df: DataFrame, vocab: DataFrame, order_cols) -> DataFrame:
     rows = df.select(
-        *salt_by,
+        *order_cols,
         F.struct(normalize_text("record_id").alias("record_id"), normalize_text("species_id").alias("species_id"))
         .alias("__v"),
         has_valid_latlon("latitude", "longitude").alias("__located"),
@@ -264,9 +264,7 @@ def _preflight_flags(df: DataFrame, vocab: DataFrame, salt_by) -> DataFrame:
     )
     names = vocab.select(F.col("species").alias("__species"), F.lit(True).alias("__known_species")).distinct()
     ids = vocab.select(F.col("species_id").cast("bigint").alias("__id"), F.lit(True).alias("__known_id")).distinct()
-    rows = attach(rows, names, ["__species"], salt_by, counts=rows.groupBy("__species").agg(_rows().alias("__n")))
-    return attach(rows, ids, ["__id"], salt_by, counts=df.groupBy(
-        parse_int("species_id", default=None).alias("__id")).agg(_rows().alias("__n")))
+    return attach(attach(rows, names, ["__species"]), ids, ["__id"])
 
 
 def preflight_rows(df: DataFrame, vocab: DataFrame, order_cols) -> DataFrame:

@@ -18,7 +18,7 @@ def raw_to_splits(sources: dict[str, DataFrame], order_cols, out: str, seed=42,
     """Merge, clean, label and split raw manifests; stores the clean rows by split, rejects and vocabulary."""
     merged, _ = merge_manifests(sources, order_cols)
     clean, rejected = clean_manifest(cut_lineage(merged), order_cols, **clean_options)
-    labelled, vocab = assign_species_ids(cut_lineage(clean), order_cols)
+    labelled, vocab = assign_species_ids(cut_lineage(clean))
     split = grouped_split(labelled, order_cols, seed)
     write_manifest(rejected, f"{out}/rejected")
     write_manifest(vocab, f"{out}/species")

@@ -57,7 +57,7 @@ def import_dwca(occurrence: DataFrame, media: DataFrame, occurrence_order, media
         form.alias("image_format"),
         normalize_text(first_nonempty(m("xmpRights:WebStatement"), m("dcterms:rights"))).alias("license"),
     )
-    joined = attach(images, latest, ["core"], media_order, how="inner")
+    joined = attach(images, latest, ["core"], how="inner")
     c = F.col
     rows = joined.select(*media_order, *manifest_row(
         source=F.lit(ARCHIVE_SOURCE), record_id=c("core"), media_id=c("media_id"),

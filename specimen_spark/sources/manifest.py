@@ -58,7 +58,10 @@ def write_manifest(df: DataFrame, path: str, fmt: str = "parquet", partition_by=
     if partition_by:
         writer = writer.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
     if fmt == "csv":
-        writer.options(header=True, quote='"', escape='"', emptyValue="").csv(path)
+        writer.options(
+            header=True, quote=chr(34), escape=chr(34), emptyValue="", ignoreLeadingWhiteSpace=False,
+            ignoreTrailingWhiteSpace=False,
+        ).csv(path)
     else:
         writer.format(fmt).save(path)
 
