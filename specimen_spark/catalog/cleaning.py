@@ -75,7 +75,7 @@ def cleaning_summary(spark, sf):
     judged = cleaning.judge_rows(raw, ORDER)
     # The summary needs three columns of each side, so the cascade is aggregated once.
     judged = judged.select(
-        "row_idx", "source", "reject_reason", F.col("__label.species").alias("species"),
+        "row_idx", "source", "reject_reason", F.col("__species_label").alias("species"),
         F.col("__region").alias("us_region"))
     ok = F.col("reject_reason").isNull()
     return summaries.cleaning_summary(judged.where(ok), judged.where(~ok), ORDER)

@@ -25,7 +25,7 @@ def _careful(text: Column) -> Column:
 def parse_float_any(c) -> Column:
     """Double including nan and the infinities; null when the text is no number."""
     text = as_column(c).cast("string")
-    return F.when(text.rlike(_PLAIN), text.try_cast("double")).otherwise(_careful(text))
+    return let(text, lambda t: F.when(t.rlike(_PLAIN), t.try_cast("double")).otherwise(_careful(t)))
 
 
 def is_finite(c) -> Column:
@@ -35,8 +35,12 @@ def is_finite(c) -> Column:
 
 def parse_float_finite(c) -> Column:
     text = as_column(c).cast("string")
-    odd = let(_careful(text), lambda v: F.when(F.abs(v) < F.lit(float("inf")), v))
-    return F.when(text.rlike(_PLAIN), text.try_cast("double")).otherwise(odd)
+
+    def read(t: Column) -> Column:
+        odd = let(_careful(t), lambda v: F.when(F.abs(v) < F.lit(float("inf")), v))
+        return F.when(t.rlike(_PLAIN), t.try_cast("double")).otherwise(odd)
+
+    return let(text, read)
 
 
 def parse_float(c, default: float = 0.0) -> Column:

@@ -31,29 +31,31 @@ def _qualifies(tokens: Column, text: Column, hint: Column) -> Column:
     )
 
 
-def _label(p) -> Column:
-    """Label from ``hint`` and the text and tokens of the three name columns."""
-    hint = p["hint"]
-
-    def labelled(species: Column, source: str) -> Column:
-        return F.struct(species.alias("species"), F.lit(source).alias("source"))
+def _cases(p) -> list[tuple[Column, Column, str]]:
+    """``(condition, species, source)`` in order, from ``hint`` and the text and tokens of the name columns."""
+    hint, cases = p["hint"], []
 
-    def pair(tokens: Column, source: str) -> Column:
-        binomial = F.concat_ws(" ", title_token(F.get(tokens, F.lit(0))), F.lower(F.get(tokens, F.lit(1))))
-        return labelled(binomial, f"{source}_binomial")
+    def pair(tokens: Column) -> Column:
+        return F.concat_ws(" ", title_token(F.get(tokens, F.lit(0))), F.lower(F.get(tokens, F.lit(1))))
 
-    chosen = None
     for part, source in (("raw", "raw_species"), ("field", "species_field")):
         tokens, text = p[f"{part}_tokens"], p[part]
         only = F.lower(F.get(tokens, F.lit(0)))
         single = (F.size(tokens) == 1) & (hint != "") & ~only.isin(*NON_SPECIES_WORDS)
-        two = _qualifies(tokens, text, hint)
-        chosen = F.when(two, pair(tokens, source)) if chosen is None else chosen.when(two, pair(tokens, source))
-        chosen = chosen.when(single, labelled(F.concat_ws(" ", hint, only), f"{source}_epithet"))
+        cases.append((_qualifies(tokens, text, hint), pair(tokens), f"{source}_binomial"))
+        cases.append((single, F.concat_ws(" ", hint, only), f"{source}_epithet"))
     # A scientific name only counts when its second word starts in lower case.
     tokens, text = p["name_tokens"], p["name"]
-    name_ok = _qualifies(tokens, text, hint) & _starts_lower(F.split_part(text, F.lit(" "), F.lit(2)))
-    return chosen.when(name_ok, pair(tokens, "scientific_name")).otherwise(labelled(F.lit(""), "missing_species"))
+    second_lower = _starts_lower(F.split_part(text, F.lit(" "), F.lit(2)))
+    cases.append((_qualifies(tokens, text, hint) & second_lower, pair(tokens), "scientific_name_binomial"))
+    return cases
+
+
+def _label(p) -> Column:
+    chosen = F
+    for condition, species, source in _cases(p):
+        chosen = chosen.when(condition, F.struct(species.alias("species"), F.lit(source).alias("source")))
+    return chosen.otherwise(F.struct(F.lit("").alias("species"), F.lit("missing_species").alias("source")))
 
 
 def canonical_species(raw_species, species, scientific_name, genus) -> Column:
@@ -67,20 +69,27 @@ def canonical_species(raw_species, species, scientific_name, genus) -> Column:
     return let(parts, _label)
 
 
-def with_species_label(df, raw_species, species, scientific_name, genus, label: str, hint: str):
-    """``canonical_species`` and the genus hint as columns.
+def with_species_label(df, raw_species, species, scientific_name, genus, prefix: str = "__"):
+    """``canonical_species`` as columns ``species_label``, ``species_source`` and ``genus_hint``.
 
-    Same result as the column function; texts and tokens become columns of
-    their own, so everything stays in generated code.
+    Same result as the column function. Texts, tokens and the number of the
+    matching case become columns of their own, so each is computed once.
     """
     texts = {"raw": raw_species, "field": species, "name": scientific_name, "genus": genus}
-    rows = df.select("*", *[normalize_text(c).alias(f"__{n}") for n, c in texts.items()])
-    rows = rows.select("*", *[alpha_tokens(F.col(f"__{n}")).alias(f"__{n}_tokens") for n in texts])
-    first = F.coalesce(F.get(F.col("__genus_tokens"), F.lit(0)), F.lit(""))
-    rows = rows.withColumn(hint, title_token(first))
-    columns = {n: F.col(f"__{n}") for t in ("raw", "field", "name") for n in (t, f"{t}_tokens")}
-    return rows.withColumn(label, _label({"hint": F.col(hint), **columns})).drop(
-        *[f"__{n}" for t in texts for n in (t, f"{t}_tokens")])
+    rows = df.select("*", *[normalize_text(c).alias(f"__t_{n}") for n, c in texts.items()])
+    rows = rows.select("*", *[alpha_tokens(F.col(f"__t_{n}")).alias(f"__t_{n}_tokens") for n in texts])
+    hint = f"{prefix}genus_hint"
+    rows = rows.withColumn(hint, title_token(F.coalesce(F.get(F.col("__t_genus_tokens"), F.lit(0)), F.lit(""))))
+    cases = _cases({"hint": F.col(hint), **{
+        n: F.col(f"__t_{n}") for t in ("raw", "field", "name") for n in (t, f"{t}_tokens")}})
+    which, label, source = F, F, F
+    for i, (condition, value, name) in enumerate(cases):
+        which = which.when(condition, F.lit(i))
+        label = label.when(F.col("__t_case") == i, value)
+        source = source.when(F.col("__t_case") == i, F.lit(name))
+    return rows.withColumn("__t_case", which.otherwise(F.lit(-1))).select(
+        *df.columns, hint, label.otherwise(F.lit("")).alias(f"{prefix}species_label"),
+        source.otherwise(F.lit("missing_species")).alias(f"{prefix}species_source"))
 
 
 def ingest_binomial(scientific_name, genus, species) -> Column:

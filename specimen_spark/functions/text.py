@@ -43,7 +43,7 @@ def _squeezed(text: Column) -> Column:
 def normalize_text(c) -> Column:
     """Null becomes blank; runs of Unicode white space become one space."""
     text = F.coalesce(as_column(c).cast("string"), F.lit(""))
-    return _squeezed(text) if isinstance(c, str) else let(text, _squeezed)
+    return let(text, _squeezed)
 
 
 def blank_to_null(c) -> Column:

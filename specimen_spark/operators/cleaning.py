@@ -53,7 +53,6 @@ def judge_rows(
     validate_required(df, RAW_REQUIRED)
     claims = (
         df.select(blank_to_null("image_url").alias("__url"), *order_cols)
-        .where(F.col("__url").isNotNull())
         .groupBy("__url")
         .agg(F.min(order_struct(order_cols)).alias("__claim"))
     )
@@ -75,7 +74,7 @@ def judge_rows(
         normalize_state(optional(df, "state_province")).alias("__state"),
     )
     rows = with_species_label(
-        rows, optional(df, "raw_species"), optional(df, "species"), "scientific_name", "genus", "__label", "__hint"
+        rows, optional(df, "raw_species"), optional(df, "species"), "scientific_name", "genus"
     ).withColumn("__box", classify_region("__lat", "__lon"))
 
     located = F.col("__lat").isNotNull() & F.col("__lon").isNotNull()
@@ -89,7 +88,7 @@ def judge_rows(
         reason = reason.when(~located, F.lit("missing_coordinate"))
     if filter_us_scope:
         reason = reason.when(located & (F.col("__box") == ""), outside)
-    reason = reason.when(F.col("__label.species") == "", F.lit("missing_species_label"))
+    reason = reason.when(F.col("__species_label") == "", F.lit("missing_species_label"))
     if require_downloaded:
         if existing_paths is None:
             raise ValueError("require_downloaded needs existing_paths, a file listing with a column 'path'")
@@ -99,12 +98,12 @@ def judge_rows(
         reason = reason.when(~status.isin(*DOWNLOADED_STATUSES), F.lit("image_not_downloaded"))
         reason = reason.when((F.col("__path") == "") | F.col("__exists").isNull(), F.lit("missing_local_image"))
     rows = rows.select(
-        *df.columns, "__url", "__lat", "__lon", "__path", "__label", "__hint", "__country", "__state",
+        *df.columns, "__url", "__lat", "__lon", "__path", "__species_label", "__species_source", "__genus_hint", "__country", "__state",
         region.alias("__region"),
         reason.alias("__row_reason"),
     )
     return attach(rows, claims, ["__url"]).select(
-        *df.columns, "__url", "__lat", "__lon", "__path", "__label", "__hint", "__country", "__state", "__region",
+        *df.columns, "__url", "__lat", "__lon", "__path", "__species_label", "__species_source", "__genus_hint", "__country", "__state", "__region",
         F.when(F.col("__url").isNull(), F.lit("missing_image_url"))
         .when(order_struct(order_cols) != F.col("__claim"), F.lit("duplicate_image_url"))
         .otherwise(F.col("__row_reason"))
@@ -120,15 +119,15 @@ def accepted_rows(judged: DataFrame, df: DataFrame, order_cols, family: str = TA
         F.col("source").alias("__source"), F.col("record_id").alias("__record"), "record_image_count"
     )
     kept = attach(kept, counts, ["__source", "__record"])
-    hint = F.col("__hint")
+    hint = F.col("__genus_hint")
     values = {
         "image_path": F.col("__path"),
         "specimen_key": specimen_key("source", "record_id"),
         "record_image_count": F.coalesce(F.col("record_image_count"), F.lit(1).cast("bigint")),
         "family": F.lit(family),
-        "genus": F.when(hint != "", hint).otherwise(F.split_part("__label.species", F.lit(" "), F.lit(1))),
-        "species": F.col("__label.species"),
-        "species_source": F.col("__label.source"),
+        "genus": F.when(hint != "", hint).otherwise(F.split_part("__species_label", F.lit(" "), F.lit(1))),
+        "species": F.col("__species_label"),
+        "species_source": F.col("__species_source"),
         "latitude": F.col("__lat"),
         "longitude": F.col("__lon"),
         "has_coordinates": F.col("__lat").isNotNull() & F.col("__lon").isNotNull(),
