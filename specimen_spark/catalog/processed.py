@@ -1 +1,399 @@
-def flagship(s, d): ...
+"""Queries of processed manifests: filters, joins, ranking, naming, reports."""
+
+from pyspark.sql import functions as F
+
+from specimen_spark.catalog.registry import query
+from specimen_spark.catalog.scalars import RANK_SCORE, READY, RECTANGLE, STATUS
+from specimen_spark.catalog.views import view
+from specimen_spark.functions.quality import assess_readiness, is_preprocess_ok
+from specimen_spark.operators import dedupe, joins, processed
+from specimen_spark.plans import summaries
+
+ORDER = ["source_row_index"]
+_OK = "(preprocess_status = 'ok' AND keep_for_training = 'True')"
+
+
+def manifest(spark, sf):
+    return view(spark, sf, "processed_manifest")
+
+
+@query("C2_preprocess_ok", f"SELECT source_row_index, {_OK} AS ok FROM {{processed_manifest}}")
+def preprocess_ok(spark, sf):
+    df = manifest(spark, sf)
+    return df.select("source_row_index", is_preprocess_ok(df).alias("ok"))
+
+
+@query("C3_trainable", """SELECT source_row_index FROM {processed_manifest}
+WHERE preprocess_status IN ('', 'ok') AND lower(keep_for_training) IN ('', 'true')""")
+def trainable(spark, sf):
+    return processed.trainable(manifest(spark, sf)).select("source_row_index")
+
+
+@query("C4_coordinate_rows", """SELECT row_idx FROM {raw_manifest} WHERE species <> '' AND record_id <> '' AND latitude NOT IN ('', 'nan')""")
+def coordinate_rows(spark, sf):
+    raw = view(spark, sf, "raw_manifest").withColumn("species_id", F.col("record_id"))
+    return processed.coordinate_rows(raw).select("row_idx")
+
+
+_REASON = f"""CASE WHEN NOT {_OK} THEN 'preprocess:' || preprocess_status WHEN {RECTANGLE} THEN 'rectangular_false_positive'
+  WHEN crop_method = 'recovered_from_existing_output' THEN 'recovered_output'
+  WHEN mask_quality_score < 0.3 THEN 'mask_quality_below_threshold' WHEN coverage_ratio < 0.1 THEN 'coverage_below_threshold'
+  WHEN symmetry_score < 0.2 THEN 'symmetry_below_threshold' END"""
+_LIMITS = dict(min_mask_quality=0.3, min_coverage_ratio=0.1, min_symmetry_score=0.2, drop_recovered_output=True)
+
+
+@query("C5_filter_processed", f"SELECT source_row_index, coalesce({_REASON}, '') AS reject_reason FROM {{processed_manifest}}")
+def filter_processed(spark, sf):
+    return processed.filter_processed(manifest(spark, sf), **_LIMITS).select(
+        "source_row_index", F.coalesce("reject_reason", F.lit("")).alias("reject_reason"))
+
+
+_CURATE = """CASE WHEN mask_quality_score IS NULL OR mask_quality_score < 0.3 THEN 'mask_quality_score'
+  WHEN symmetry_score IS NULL OR symmetry_score < 0.2 THEN 'symmetry_score' WHEN fill_ratio < 0.1 THEN 'fill_ratio'
+  WHEN coverage_ratio < 0.045 THEN 'coverage_ratio_low' WHEN coverage_ratio > 0.43 THEN 'coverage_ratio_high'
+  WHEN horizontal_ratio < 1.12 THEN 'horizontal_ratio' WHEN wing_balance_ratio < 0.2 THEN 'wing_balance_ratio'
+  WHEN mask_touches_border THEN 'mask_touches_border' WHEN view_status NOT IN ('', 'accepted', 'metadata_dorsal') THEN 'view_status' END"""
+
+
+def _curated(spark, sf):
+    return processed.curate(
+        manifest(spark, sf), min_mask_quality_score=0.3, min_symmetry_score=0.2, min_fill_ratio=0.1,
+        min_wing_balance_ratio=0.2, drop_border_touch=True)
+
+
+@query("C6_curate", f"SELECT source_row_index, coalesce({_CURATE}, '') AS reject_reason FROM {{processed_manifest}}")
+def curate(spark, sf):
+    return _curated(spark, sf).select("source_row_index", F.coalesce("reject_reason", F.lit("")).alias("reject_reason"))
+
+
+_IMAGES = """images AS (
+  SELECT record_id || '_' || substr(md5(trim(image_url)), 1, 10) ||
+      CASE WHEN regexp_matches(lower(split_part(image_url, '?', 1)), '\\.(jpg|jpeg|png|webp)$') THEN regexp_extract(lower(split_part(image_url, '?', 1)), '\\.[^.]*$') ELSE '.jpg' END AS name,
+    min(row_idx % 700) AS w, max(row_idx % 500) - 20 AS h
+  FROM {raw_manifest} WHERE record_id <> '' AND image_url <> '' GROUP BY 1)"""
+
+
+@query("C7_gate_images", f"""WITH {_IMAGES}, named AS (
+  SELECT *, record_id || '_' || substr(md5(trim(image_url)), 1, 10) ||
+      CASE WHEN regexp_matches(lower(split_part(image_url, '?', 1)), '\\.(jpg|jpeg|png|webp)$') THEN regexp_extract(lower(split_part(image_url, '?', 1)), '\\.[^.]*$') ELSE '.jpg' END AS name
+  FROM {{raw_manifest}})
+SELECT row_idx, CASE WHEN record_id = '' OR image_url = '' OR NOT regexp_matches(lower(license), 'cc0|cc-by|cc by|creativecommons.org/licenses/by') THEN 'skip'
+    WHEN w % 5 = 0 THEN 'done_existing' WHEN w % 7 = 0 THEN 'fail_download' WHEN w >= 256 AND h >= 256 THEN 'ok' ELSE 'fail_quality' END AS status
+FROM named LEFT JOIN images ON named.name = images.name""")
+def gate_images(spark, sf):
+    from specimen_spark.functions.text import guess_extension_simple, stable_name
+
+    raw = view(spark, sf, "raw_manifest").withColumn("occurrence_key", F.col("record_id"))
+    name = F.concat(stable_name("record_id", F.trim("image_url")), guess_extension_simple("image_url"))
+    files = raw.where((F.col("record_id") != "") & (F.col("image_url") != "")).groupBy(name.alias("name")).agg(
+        F.min(F.col("row_idx") % 700).alias("width"), (F.max(F.col("row_idx") % 500) - 20).alias("height"))
+    present = files.where(F.col("width") % 7 != 0)
+    images = present.select(F.concat(F.lit("raw/"), "name").alias("path"), "width", "height")
+    existing = files.where(F.col("width") % 5 == 0).select(F.concat(F.lit("licensed/"), "name").alias("path"))
+    return processed.gate_images(raw, images, existing, raw_dir="raw", licensed_dir="licensed").select("row_idx", "status")
+
+
+@query("C8_preprocess_status", f"""
+SELECT row_idx, CASE WHEN NOT input_exists THEN 'missing_input' WHEN crop OR r <> '' THEN 'rejected_view' ELSE 'ok' END AS preprocess_status,
+  CASE WHEN NOT input_exists THEN '' WHEN crop THEN 'rejected_fallback_crop' ELSE {STATUS.replace('{r}', 'r')} END AS view_status,
+  CASE WHEN NOT input_exists THEN '' WHEN crop THEN 'fallback_crop' ELSE r END AS rejection_reason,
+  CASE WHEN NOT input_exists THEN '' WHEN crop OR r <> '' THEN 'False' ELSE 'True' END AS keep_for_training
+FROM (SELECT *, {READY} AS r, crop_method = 'fallback_center_crop' AS crop FROM {{measured}}) t""")
+def preprocess_status(spark, sf):
+    judged = view(spark, sf, "measured").withColumn("a", assess_readiness()).select(
+        "row_idx", "input_exists", "crop_method", F.col("a.keep").alias("keep"), F.col("a.view_status").alias("view_status"),
+        F.col("a.reason").alias("reason"))
+    return processed.preprocess_status(judged).select(
+        "row_idx", "preprocess_status", "view_status", "rejection_reason", "keep_for_training")
+
+
+_MATCH = """keyed AS (
+  SELECT source_row_index AS i, 1 AS p, 'specimen_key' AS kind, specimen_key AS k1, '' AS k2 FROM {processed_manifest} WHERE specimen_key <> ''
+  UNION ALL SELECT source_row_index, 2, 'record_id', source, record_id FROM {processed_manifest} WHERE source <> ''
+  UNION ALL SELECT source_row_index, 3, 'image_url', image_url, '' FROM {processed_manifest} WHERE image_url <> ''),
+lookup AS (SELECT p, k1, k2, max(i) AS i FROM keyed GROUP BY ALL),
+wanted AS (
+  SELECT strict_idx, 1 AS p, specimen_key AS k1, '' AS k2 FROM {strict_manifest} WHERE specimen_key <> ''
+  UNION ALL SELECT strict_idx, 2, source, record_id FROM {strict_manifest} WHERE source <> ''
+  UNION ALL SELECT strict_idx, 3, image_url, '' FROM {strict_manifest} WHERE image_url <> ''),
+best AS (SELECT strict_idx, min(w.p) AS p, arg_min(l.i, w.p) AS i FROM wanted w JOIN lookup l ON w.p = l.p AND w.k1 = l.k1 AND w.k2 = l.k2 GROUP BY strict_idx),
+joined AS (
+  SELECT s.strict_idx, s.split, coalesce(CASE b.p WHEN 1 THEN 'specimen_key' WHEN 2 THEN 'record_id' WHEN 3 THEN 'image_url' END, '') AS match_key,
+    coalesce(b.i, -1) AS matched_row, CASE WHEN b.i IS NULL THEN 'missing_processed_match' WHEN m.processed_image_path = '' THEN 'missing_processed_image_path'
+      WHEN keep_for_training <> 'True' THEN 'processed_keep_false' WHEN preprocess_status <> 'ok' THEN 'processed_preprocess_not_ok' ELSE 'matched_rows' END AS outcome,
+    coalesce(m.fill_ratio, -1.0) AS fill_ratio, m.processed_image_path
+  FROM {strict_manifest} s LEFT JOIN best b ON s.strict_idx = b.strict_idx LEFT JOIN {processed_manifest} m ON b.i = m.source_row_index)"""
+
+
+def _joined(spark, sf):
+    side = manifest(spark, sf).withColumn("processed_image_absolute_path", F.col("processed_image_path"))
+    return joins.fallback_join(view(spark, sf, "strict_manifest"), side, ORDER, ["strict_idx"])
+
+
+@query("D2_fallback_join", f"WITH {_MATCH} SELECT strict_idx, match_key, outcome, fill_ratio FROM joined")
+def fallback_join(spark, sf):
+    return _joined(spark, sf).select(
+        "strict_idx", F.coalesce("match_key", F.lit("")).alias("match_key"), "outcome",
+        F.coalesce("fill_ratio", F.lit(-1.0)).alias("fill_ratio"))
+
+
+@query("F14_match_summary", f"""WITH {_MATCH} SELECT split, outcome, count(*) AS rows FROM joined GROUP BY ALL
+UNION ALL SELECT 'all', outcome, count(*) FROM joined GROUP BY outcome""")
+def match_summary(spark, sf):
+    return summaries.match_summary(_joined(spark, sf))
+
+
+_OUT = """parsed AS (SELECT path, CAST(regexp_extract(path, '_([0-9]{6,})\\.jpg$', 1) AS BIGINT) AS i FROM {outputs}),
+firsts AS (SELECT i, min(path) AS path, count(*) AS n FROM parsed GROUP BY i)"""
+
+
+def _recovery(spark, sf):
+    return joins.recover_progress(view(spark, sf, "source_rows"), view(spark, sf, "outputs"))
+
+
+@query("D3_recovered", f"""WITH {_OUT}
+SELECT source_row_index, path AS processed_image_path, coalesce(nullif(image_path, ''), local_image_path) AS source_image_path,
+  CASE WHEN view_hint = '' THEN 'unknown' ELSE view_hint END AS view_hint, 'recovered_from_existing_output' AS crop_method
+FROM {{source_rows}} s JOIN firsts f ON s.source_row_index = f.i""")
+def recovered(spark, sf):
+    return _recovery(spark, sf)[0].select(
+        "source_row_index", "processed_image_path", "source_image_path", "view_hint", "crop_method")
+
+
+@query("D3_remaining", f"WITH {_OUT} SELECT source_row_index, record_id FROM {{source_rows}} WHERE source_row_index NOT IN (SELECT i FROM firsts)")
+def remaining(spark, sf):
+    return _recovery(spark, sf)[1].select("source_row_index", "record_id")
+
+
+@query("D3_recovery_counts", f"""WITH {_OUT}
+SELECT count(s.source_row_index) AS recovered_rows, CAST(coalesce(sum(n - 1) FILTER (WHERE s.source_row_index IS NOT NULL), 0) AS BIGINT) AS duplicate_index_count,
+  CAST(coalesce(sum(n) FILTER (WHERE s.source_row_index IS NULL), 0) AS BIGINT) AS missing_source_index_count
+FROM firsts f LEFT JOIN {{source_rows}} s ON s.source_row_index = f.i""")
+def recovery_counts(spark, sf):
+    return _recovery(spark, sf)[2]
+
+
+@query("D4_pending", "SELECT row_idx, record_id FROM {raw_manifest} WHERE record_id NOT IN (SELECT occurrence_key FROM {progress_log} WHERE status = 'ok')")
+def pending(spark, sf):
+    raw = view(spark, sf, "raw_manifest").withColumn("occurrence_key", F.col("record_id"))
+    ledger = view(spark, sf, "progress_log").where(F.col("status") == "ok")
+    return joins.pending(raw, ledger).select("row_idx", "record_id")
+
+
+@query("D5_nearest_record", """WITH records AS (
+  SELECT row_idx, species, image_url, CAST(latitude AS DOUBLE) AS la, CAST(longitude AS DOUBLE) AS lo FROM {raw_manifest} WHERE latitude NOT IN ('', 'nan')),
+sites AS (SELECT la, lo, min(row_idx) AS i FROM records GROUP BY ALL),
+pairs AS (SELECT point_id, sqrt((lat - la) * (lat - la) + (lon - lo) * (lon - lo)) AS d, i FROM {points}, sites),
+best AS (SELECT point_id, min(d) AS d FROM pairs GROUP BY point_id),
+hit AS (SELECT p.point_id, p.d, min(p.i) AS i FROM pairs p JOIN best b ON p.point_id = b.point_id AND p.d = b.d GROUP BY ALL)
+SELECT point_id, round(d, 6) AS distance, CASE WHEN image_url = '' THEN 'Mock Fallback' ELSE species END AS species,
+  CASE WHEN image_url = '' THEN 'none' ELSE image_url END AS image_url FROM hit JOIN records ON i = row_idx""")
+def nearest_record(spark, sf):
+    from specimen_spark.operators.nearest import nearest_record as nearest
+
+    found = nearest(view(spark, sf, "points"), view(spark, sf, "raw_manifest"), ["row_idx"], fallback=("Mock Fallback", "none"))
+    return found.select("point_id", F.round("distance", 6).alias("distance"), "species", "image_url")
+
+
+@query("D6_qc_pairs", """SELECT o.o_orderkey AS source_row_index, coalesce(nullif(s.image_path, ''), s.local_image_path) AS source_image_path,
+  'out/' || o.o_orderkey AS processed_image_path, s.species FROM {source_rows} s JOIN orders o ON s.source_row_index = o.o_orderkey WHERE o.o_orderstatus = 'O'""")
+def qc_pairs(spark, sf):
+    done = view(spark, sf, "orders").where("o_orderstatus = 'O'").select(
+        F.col("o_orderkey").alias("source_row_index"), F.concat(F.lit("out/"), F.col("o_orderkey").cast("string")).alias("processed_image_path"))
+    return joins.qc_pairs(view(spark, sf, "source_rows"), done).select(
+        "source_row_index", "source_image_path", "processed_image_path", "species")
+
+
+@query("D8_resolve_paths", """WITH tries AS (
+  SELECT source_row_index, 1 AS p, '/data/set/' || processed_image_path AS path FROM {processed_manifest} WHERE processed_image_path <> ''
+  UNION ALL SELECT source_row_index, 2, '/data/' || processed_image_path FROM {processed_manifest} WHERE processed_image_path <> ''),
+best AS (SELECT source_row_index, arg_min(t.path, p) AS path FROM tries t JOIN {listing} l ON t.path = l.path GROUP BY source_row_index)
+SELECT m.source_row_index, coalesce(b.path, CASE WHEN processed_image_path <> '' THEN '/data/set/' || processed_image_path
+   ELSE '/data/set/' || image_url END) AS resolved_path, b.path IS NOT NULL AS resolved_path_exists
+FROM (SELECT source_row_index, processed_image_path, replace(image_url, '//', '/') AS image_url FROM {processed_manifest}) m LEFT JOIN best b ON m.source_row_index = b.source_row_index""")
+def resolve_paths(spark, sf):
+    return joins.resolve_paths(
+        manifest(spark, sf), view(spark, sf, "listing"), ("processed_image_path", "image_url"), ORDER, "/data/set"
+    ).select("source_row_index", "resolved_path", "resolved_path_exists")
+
+
+_E3 = """deduped AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY image_url ORDER BY source_row_index) AS n FROM {processed_manifest}) t WHERE n = 1)"""
+
+
+@query("E3_dedupe_processed", f"WITH {_E3} SELECT source_row_index, image_url, species FROM deduped")
+def dedupe_processed(spark, sf):
+    return dedupe.dedupe_processed(manifest(spark, sf), ORDER).select("source_row_index", "image_url", "species")
+
+
+@query("E3_duplicate_count", f"""WITH {_E3} SELECT (SELECT count(*) FROM {{processed_manifest}}) AS input_rows, count(*) AS rows_after_dedupe,
+  (SELECT count(*) FROM {{processed_manifest}}) - count(*) AS duplicate_rows_dropped FROM deduped""")
+def duplicate_count(spark, sf):
+    return dedupe.duplicate_count(manifest(spark, sf))
+
+
+@query("E4_merge_shards", "SELECT source_row_index, source, split FROM {processed_manifest}")
+def merge_shards(spark, sf):
+    df = manifest(spark, sf)
+    shards = [df.where(F.col("split") == s).drop(*drop) for s, drop in (("train", []), ("val", ["species"]), ("test", []))]
+    return dedupe.merge_shards(shards).select("source_row_index", "source", "split")
+
+
+_E5 = """hashed AS (SELECT image_id, sha1(content) AS sha1 FROM {content})"""
+
+
+@query("E5_content_duplicates", f"""WITH {_E5} SELECT * FROM (
+  SELECT min(image_id) OVER (PARTITION BY sha1) AS first, image_id AS duplicate, sha1 FROM hashed) t WHERE first <> duplicate""")
+def content_duplicates(spark, sf):
+    return dedupe.content_duplicates(view(spark, sf, "content"), "content", "image_id", ["image_id"])
+
+
+@query("F5_preprocess_summary", """
+SELECT 'totals' AS section, 'total_rows' AS key, CAST(count(*) AS DOUBLE) AS value FROM {processed_manifest}
+UNION ALL SELECT 'totals', 'processed_ok', CAST(count(*) AS DOUBLE) FROM {processed_manifest} WHERE preprocess_status = 'ok'
+UNION ALL SELECT 'totals', 'fallback_center_crop', CAST(count(*) AS DOUBLE) FROM {processed_manifest} WHERE preprocess_status = 'ok' AND crop_method = 'fallback_center_crop'
+UNION ALL SELECT 'totals', 'missing_input', CAST(count(*) AS DOUBLE) FROM {processed_manifest} WHERE preprocess_status = 'missing_input'
+UNION ALL SELECT 'totals', 'rejected_view', CAST(count(*) AS DOUBLE) FROM {processed_manifest} WHERE preprocess_status = 'rejected_view'
+UNION ALL SELECT 'totals', 'clean_background_enabled', 0.0
+UNION ALL SELECT 'rejection_counts', CASE WHEN rejection_reason = '' THEN 'unknown' ELSE rejection_reason END, CAST(count(*) AS DOUBLE)
+  FROM {processed_manifest} WHERE preprocess_status = 'rejected_view' GROUP BY 2""")
+def preprocess_summary(spark, sf):
+    return summaries.preprocess_summary(manifest(spark, sf))
+
+
+@query("F13_audit_summary", """
+SELECT 'totals' AS section, 'rows' AS key, CAST(count(*) AS DOUBLE) AS value FROM {processed_manifest}
+UNION ALL SELECT 'totals', 'recovered_rows', CAST(count(*) AS DOUBLE) FROM {processed_manifest} WHERE crop_method = 'recovered_from_existing_output'
+UNION ALL SELECT 'totals', 'low_quality_rows', CAST(count(*) AS DOUBLE) FROM {processed_manifest} WHERE mask_quality_score < 0.65
+UNION ALL SELECT 'totals', 'low_coverage_rows', CAST(count(*) AS DOUBLE) FROM {processed_manifest} WHERE coverage_ratio < 0.03
+UNION ALL SELECT 'totals', 'low_symmetry_rows', CAST(count(*) AS DOUBLE) FROM {processed_manifest} WHERE symmetry_score < 0.80
+UNION ALL SELECT 'crop', crop_method, CAST(count(*) AS DOUBLE) FROM {processed_manifest} GROUP BY crop_method
+UNION ALL SELECT 'view', CASE WHEN view_hint = '' THEN 'unknown' ELSE view_hint END, CAST(count(*) AS DOUBLE) FROM {processed_manifest} GROUP BY 2
+UNION ALL SELECT 'source', source, CAST(count(*) AS DOUBLE) FROM {processed_manifest} GROUP BY source""")
+def audit_summary(spark, sf):
+    return summaries.audit_summary(manifest(spark, sf))
+
+
+@query("F14_curation_summary", f"""WITH c AS (SELECT *, {_CURATE} AS reason FROM {{processed_manifest}})
+SELECT split, 'totals' AS section, 'rows' AS key, count(*) FILTER (WHERE reason IS NULL) AS value FROM c GROUP BY split
+UNION ALL SELECT split, 'totals', 'species', count(DISTINCT species) FILTER (WHERE reason IS NULL) FROM c GROUP BY split
+UNION ALL SELECT split, 'rejections', reason, count(*) FROM c WHERE reason IS NOT NULL GROUP BY split, reason""")
+def curation_summary(spark, sf):
+    return summaries.curation_summary(_curated(spark, sf))
+
+
+_GROUP = "coalesce(nullif(specimen_key, ''), nullif(record_id, ''), nullif(image_url, ''))"
+_RANKED = f"""{_E3}, ranked AS (
+  SELECT *, {RANK_SCORE} AS score, {_GROUP} AS group_key, count(*) OVER (PARTITION BY {_GROUP}) AS group_size,
+    row_number() OVER (PARTITION BY {_GROUP} ORDER BY {RANK_SCORE} DESC, source_row_index) AS group_rank
+  FROM deduped WHERE {_REASON} IS NULL)"""
+
+
+def _ranked(spark, sf, k):
+    survivors = processed.kept(processed.filter_processed(dedupe.dedupe_processed(manifest(spark, sf), ORDER), **_LIMITS))
+    return processed.rank_in_group(survivors, k, ORDER)
+
+
+@query("G1_rank_in_group", f"WITH {_RANKED} SELECT source_row_index, round(score, 6) AS rank_score, group_key, group_size, CAST(group_rank AS INT) AS group_rank FROM ranked WHERE group_rank <= 2")
+def rank_in_group(spark, sf):
+    return _ranked(spark, sf, 2).select(
+        "source_row_index", F.round("rank_score", 6).alias("rank_score"), "group_key", "group_size", "group_rank")
+
+
+@query("G1_drop_count", f"""WITH {_RANKED} SELECT count(DISTINCT group_key) AS unique_groups, count(*) FILTER (WHERE group_rank <= 2) AS kept_rows,
+  count(*) FILTER (WHERE group_rank > 2) AS duplicate_drop_count FROM ranked""")
+def drop_count(spark, sf):
+    survivors = processed.kept(processed.filter_processed(dedupe.dedupe_processed(manifest(spark, sf), ORDER), **_LIMITS))
+    return processed.group_drop_count(survivors, 2)
+
+
+@query("F14_assembly_summary", f"""WITH {_RANKED}, judged AS (SELECT *, {_REASON} AS reason FROM deduped)
+SELECT 'totals' AS section, 'input_rows_before_dedupe' AS key, CAST(count(*) AS DOUBLE) AS value FROM {{processed_manifest}}
+UNION ALL SELECT 'totals', 'rows_after_dedupe', CAST(count(*) AS DOUBLE) FROM judged
+UNION ALL SELECT 'totals', 'preprocess_ok_rows', CAST(count(*) AS DOUBLE) FROM judged WHERE reason IS NULL OR reason = 'rectangular_false_positive'
+UNION ALL SELECT 'totals', 'candidate_rows', CAST(count(*) AS DOUBLE) FROM ranked
+UNION ALL SELECT 'totals', 'unique_groups', CAST(count(DISTINCT group_key) AS DOUBLE) FROM ranked
+UNION ALL SELECT 'totals', 'kept_rows', CAST(count(*) AS DOUBLE) FROM ranked WHERE group_rank <= 1
+UNION ALL SELECT 'rejection_counts', reason, CAST(count(*) AS DOUBLE) FROM judged WHERE reason IS NOT NULL GROUP BY reason""")
+def assembly_summary(spark, sf):
+    df = manifest(spark, sf)
+    deduped = dedupe.dedupe_processed(df, ORDER)
+    return summaries.assembly_summary(df, deduped, processed.filter_processed(deduped, **_LIMITS), _ranked(spark, sf, 1))
+
+
+@query("G5_order_by_source", "SELECT source_row_index, species FROM {processed_manifest}")
+def order_by_source(spark, sf):
+    return processed.order_by_source(manifest(spark, sf)).select("source_row_index", "species")
+
+
+_NAMED = """paths AS (
+  SELECT DISTINCT 'shard' || (source_row_index % 5) || '/' || processed_image_path AS path, processed_image_path,
+    min(source_row_index) OVER (PARTITION BY 'shard' || (source_row_index % 5) || '/' || processed_image_path) AS seen
+  FROM {processed_manifest} WHERE processed_image_path <> ''),
+named AS (
+  SELECT path, split_part(processed_image_path, '/', 2) AS base, row_number() OVER (PARTITION BY split_part(processed_image_path, '/', 2) ORDER BY seen, path) AS n FROM paths),
+names AS (SELECT path, CASE WHEN n = 1 THEN base ELSE replace(base, '.jpg', '_' || lpad(CAST(n - 1 AS VARCHAR), 3, '0') || '.jpg') END AS name FROM named)"""
+
+
+def _sources(spark, sf):
+    full = F.concat(F.lit("shard"), (F.col("source_row_index") % 5).cast("string"), F.lit("/"), F.col("processed_image_path"))
+    return manifest(spark, sf).withColumn("full_path", F.when(F.col("processed_image_path") != "", full))
+
+
+@query("G9_destination_names", f"WITH {_NAMED} SELECT path, name FROM names")
+def destination_names(spark, sf):
+    return processed.destination_names(_sources(spark, sf), "full_path", "source_row_index")
+
+
+@query("G9_simple_names", """SELECT source_row_index, CASE WHEN n = 1 THEN base ELSE replace(base, '.jpg', '_' || source_row_index || '.jpg') END AS destination_name, n > 1 AS renamed
+FROM (SELECT source_row_index, split_part(processed_image_path, '/', 2) AS base,
+  row_number() OVER (PARTITION BY processed_image_path ORDER BY source_row_index) AS n FROM {processed_manifest} WHERE processed_image_path <> '') t""")
+def simple_names(spark, sf):
+    rows = manifest(spark, sf).where(F.col("processed_image_path") != "")
+    return processed.destination_names_simple(rows, "processed_image_path", "source_row_index", "source_row_index").select(
+        "source_row_index", "destination_name", "renamed")
+
+
+@query("G10_portable_manifest", f"""WITH {_NAMED}
+SELECT source_row_index, 'images/' || name AS processed_image_path, path AS original_processed_image_absolute_path, '' AS processed_image_absolute_path
+FROM {{processed_manifest}} m JOIN names ON path = 'shard' || (source_row_index % 5) || '/' || m.processed_image_path WHERE m.processed_image_path <> ''""")
+def portable_manifest(spark, sf):
+    rows = _sources(spark, sf)
+    names = processed.destination_names(rows, "full_path", "source_row_index")
+    return processed.portable_manifest(rows, names, "full_path").select(
+        "source_row_index", "processed_image_path", "original_processed_image_absolute_path", "processed_image_absolute_path")
+
+
+@query("F15_check_shards", """SELECT shard, stage, stage = 'complete' AS complete, processed_csv_exists AND summary_json_exists AS outputs_present FROM {shard_progress}""")
+def check_shards(spark, sf):
+    return summaries.check_shards(view(spark, sf, "shard_progress"))
+
+
+@query("F15_shard_totals", """SELECT count(*) AS shard_count, count(*) FILTER (WHERE stage <> 'complete') AS incomplete_shards,
+  count(*) FILTER (WHERE NOT (processed_csv_exists AND summary_json_exists)) AS missing_output_shards,
+  count(*) FILTER (WHERE stage <> 'complete') = 0 AS all_complete, count(*) FILTER (WHERE NOT (processed_csv_exists AND summary_json_exists)) = 0 AS all_outputs_present
+FROM {shard_progress}""")
+def shard_totals(spark, sf):
+    return summaries.shard_totals(view(spark, sf, "shard_progress"))
+
+
+@query("F21_preflight_paths", """WITH tries AS (
+  SELECT source_row_index, '/data/set/' || processed_image_path AS path FROM {processed_manifest} WHERE processed_image_path <> ''
+  UNION ALL SELECT source_row_index, '/data/' || processed_image_path FROM {processed_manifest} WHERE processed_image_path <> ''),
+found AS (SELECT DISTINCT source_row_index FROM tries t JOIN {listing} l ON t.path = l.path)
+SELECT (SELECT count(*) FROM {processed_manifest}) AS rows_checked, count(*) AS existing_paths, (SELECT count(*) FROM {processed_manifest}) - count(*) AS missing_paths FROM found""")
+def preflight_paths(spark, sf):
+    return summaries.preflight_paths(joins.resolve_paths(
+        manifest(spark, sf), view(spark, sf, "listing"), ("processed_image_path",), ORDER, "/data/set"))
+
+
+@query("F23_portable_summary", """WITH used AS (SELECT DISTINCT processed_image_path AS path FROM {processed_manifest}),
+sizes AS (SELECT count(*) AS n, CAST(sum(10000 + length(path) * 37) AS BIGINT) AS b FROM used)
+SELECT 'totals' AS section, 'unique_images' AS key, CAST(n AS DOUBLE) AS value FROM sizes
+UNION ALL SELECT 'totals', 'total_bytes', CAST(b AS DOUBLE) FROM sizes UNION ALL SELECT 'totals', 'total_gib', b / 1073741824.0::DOUBLE FROM sizes
+UNION ALL SELECT 'rows', split, CAST(count(*) AS DOUBLE) FROM {processed_manifest} GROUP BY split
+UNION ALL SELECT 'species', split, CAST(count(DISTINCT species) AS DOUBLE) FROM {processed_manifest} GROUP BY split""")
+def portable_summary(spark, sf):
+    df = manifest(spark, sf)
+    files = df.select(F.col("processed_image_path").alias("path")).distinct().withColumn(
+        "length", (F.length("path") * 37 + 10000).cast("bigint"))
+    return summaries.portable_summary(df, files, "processed_image_path")

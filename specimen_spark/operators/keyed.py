@@ -72,11 +72,11 @@ def bucketed_rank(
         *([F.sum("__size").over(in_group).alias(total)] if total else []),
     )
     in_slice = Window.partitionBy(*group_cols, *bucket_cols).orderBy(*order_cols)
-    ranked = df.withColumn("__rank", F.row_number().over(in_slice))
+    ranked = df.withColumn("__in_slice", F.row_number().over(in_slice))
     return (
         ranked.join(offsets, group_cols + bucket_cols)
-        .withColumn(rank, (F.col("__rank") + F.col("__before")).cast("bigint"))
-        .drop("__rank", "__before")
+        .withColumn(rank, (F.col("__in_slice") + F.col("__before")).cast("bigint"))
+        .drop("__in_slice", "__before")
     )
 
 

@@ -93,7 +93,8 @@ def nearest_record(
 
     asked = points.select(F.col(lat).cast("double").alias("__lat"), F.col(lon).cast("double").alias("__lon"))
     asked = asked.where(finite_pair("__lat", "__lon")).distinct()
-    live = asked.select("__lat", "__lon", F.explode(_prune(top.scalar())).alias("c")).select(
+    asked = asked.withColumn("cells", top.scalar())
+    live = asked.select("__lat", "__lon", F.explode(_prune(F.col("cells"))).alias("c")).select(
         "__lat", "__lon", "c.cy", "c.cx")
     per_point = Window.partitionBy("__lat", "__lon")
     for i, table in enumerate(tables):
