@@ -10,7 +10,7 @@ from specimen_spark.streaming import ingest
 
 def _events(spark, sf):
     schema = table(spark, sf, "events").schema
-    return ingest.landing_stream(spark, f"{sf}/events.parquet", schema)
+    return ingest.landing_stream(spark, f"{sf}/events.parque[t]", schema)
 
 
 def _as_log(events):

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from specimen_spark.fixed_values import NEAREST_FALLBACK_SPECIES, NEAREST_FALLBACK_URL
 from specimen_spark.functions.geo import finite_pair
 from specimen_spark.functions.numbers import number_column
+from specimen_spark.functions.text import let
 from specimen_spark.operators.keyed import attach, first_per_key, order_struct
 from specimen_spark.session import cut_lineage
 
@@ -45,9 +46,16 @@ def _bounds(cell: Column) -> tuple[Column, Column]:
 
 def _prune(cells: Column) -> Column:
     """Cells of an array that may hold the nearest site, with their bounds."""
-    measured = F.transform(cells, lambda c: F.struct(
-        c["cy"].alias("cy"), c["cx"].alias("cx"), _bounds(c)[0].alias("near"), _bounds(c)[1].alias("far")))
-    return F.filter(measured, lambda c: c["near"] <= F.array_min(F.transform(measured, lambda d: d["far"])))
+
+    def measure(c: Column) -> Column:
+        near, far = _bounds(c)
+        return F.struct(c["cy"].alias("cy"), c["cx"].alias("cx"), near.alias("near"), far.alias("far"))
+
+    def keep(p: Column) -> Column:
+        return F.filter(p["cells"], lambda c: c["near"] <= p["limit"])
+
+    return let(F.transform(cells, measure), lambda all_: let(
+        F.struct(all_.alias("cells"), F.array_min(F.transform(all_, lambda c: c["far"])).alias("limit")), keep))
 
 
 def _cell_tables(sites: DataFrame) -> list[DataFrame]:
