@@ -7,6 +7,7 @@ from specimen_spark.catalog.snippets import CLEANED, JUDGED, nt
 from specimen_spark.catalog.views import view
 from specimen_spark.operators import cleaning
 from specimen_spark.plans import summaries
+from specimen_spark.session import cut_lineage
 
 ORDER = ["row_idx"]
 _CLEAN = [
@@ -23,9 +24,11 @@ def cleaned(spark, sf, **options):
 def flagship(spark, sf):
     """Raw manifest to cleaned rows to species ids to counts by region and species."""
     clean, _ = cleaned(spark, sf)
-    labelled, _ = cleaning.assign_species_ids(clean)
-    return labelled.groupBy("us_region", "species", "species_id").agg(
+    # Aggregated first: ids are found and joined on the few counted rows.
+    counts = clean.groupBy("us_region", "species").agg(
         F.count(F.lit(1)).alias("rows"), F.max("record_image_count").alias("max_record_images"))
+    ids = cleaning.species_vocab(counts, rows="rows").drop("rows")
+    return counts.join(ids, "species").select("us_region", "species", "species_id", "rows", "max_record_images")
 
 
 VOCAB = f"""{CLEANED}, vocab AS (
@@ -90,7 +93,8 @@ def record_image_count(spark, sf):
 
 @query("F7_species_ids", f"WITH {VOCAB} SELECT row_idx, c.species, species_id FROM cleaned c JOIN vocab v ON c.species = v.species")
 def species_ids(spark, sf):
-    labelled, _ = cleaning.assign_species_ids(cleaned(spark, sf)[0])
+    clean = cut_lineage(cleaned(spark, sf)[0].select(*ORDER, "species"))
+    labelled, _ = cleaning.assign_species_ids(clean)
     return labelled.select("row_idx", "species", "species_id")
 
 

@@ -24,7 +24,7 @@ def occurrence_pages(spark, sf):
     the others by none of them when their URL has no image ending.
     """
     raw = view(spark, sf, "raw_manifest")
-    line = F.split_part("media_id", F.lit("-"), F.lit(-1)).cast("int")
+    line = F.substring_index("media_id", "-", -1).cast("int")
     media = F.struct(
         F.nullif(F.col("image_url"), F.lit("")).alias("identifier"),
         F.when(line == 1, F.lit("StillImage")).otherwise(F.lit("Sound")).alias("type"),
@@ -109,8 +109,8 @@ def flatten_records(spark, sf):
 def media_pages(spark, sf):
     """Media linked to no, one or two records; some lack a uuid or URI."""
     lines = view(spark, sf, "raw_manifest")
-    record = F.concat(F.lit("u-"), F.split_part("media_id", F.lit("-"), F.lit(1)))
-    line = F.split_part("media_id", F.lit("-"), F.lit(-1)).cast("int")
+    record = F.concat(F.lit("u-"), F.substring_index("media_id", "-", 1))
+    line = F.substring_index("media_id", "-", -1).cast("int")
     item = F.struct(F.struct(
         F.when(line == 6, F.lit("")).otherwise(F.concat(F.lit("m-"), F.col("row_idx").cast("string"))).alias("uuid"),
         F.col("image_url").alias("accessuri"), F.lit("image/jpeg").alias("format"),

@@ -24,12 +24,7 @@ SELECT {_ROW} AS row_idx,
   CASE WHEN l_partkey % 97 = 0 THEN '' ELSE CAST(l_orderkey AS STRING) END AS record_id,
   concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS media_id,
   CASE WHEN l_linenumber = 7 THEN 'Pieridae' WHEN l_linenumber = 6 THEN '' ELSE 'Nymphalidae' END AS family,
-  CASE WHEN l_partkey % 13 = 0 THEN '' ELSE split_part(p_name, ' ', 1) END AS genus,
-  CASE WHEN l_partkey % 11 = 0 THEN 'sp.' WHEN l_partkey % 5 = 0 THEN split_part(p_name, ' ', 2)
-       WHEN l_partkey % 7 = 0 THEN '' ELSE p_name END AS species,
-  CASE WHEN l_partkey % 17 = 0 THEN split_part(p_name, ' ', 2) ELSE '' END AS raw_species,
-  concat(upper(substr(p_name, 1, 1)), substr(CASE WHEN l_partkey % 3 = 0 THEN split_part(p_name, ' ', 1) ELSE p_name END, 2),
-       ' (Author, 1900)') AS scientific_name,
+  genus, species, raw_species, scientific_name,
   CASE WHEN l_suppkey % 23 = 0 THEN '' WHEN l_suppkey % 29 = 0 THEN 'nan'
        ELSE CAST(CAST(1500 + (l_orderkey * 37 + l_partkey * 11) % 6000 AS DOUBLE) / 100 AS STRING) END AS latitude,
   CAST(CAST(-18000 + (l_orderkey * 53 + l_suppkey * 7) % 12000 AS DOUBLE) / 100 AS STRING) AS longitude,
@@ -43,7 +38,13 @@ SELECT {_ROW} AS row_idx,
        WHEN 2 THEN '_under-side' ELSE '.tiff?x=1' END) END AS image_url,
   CASE l_linenumber % 4 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png; q=1' WHEN 2 THEN 'image/tiff' ELSE '' END AS image_format,
   CASE l_linenumber % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'exists' ELSE 'downloaded' END AS download_status
-FROM {{lineitem}} l JOIN {{part}} p ON l_partkey = p_partkey""",
+FROM {{lineitem}} l JOIN (SELECT p_partkey,
+    CASE WHEN p_partkey % 13 = 0 THEN '' ELSE split_part(p_name, ' ', 1) END AS genus,
+    CASE WHEN p_partkey % 11 = 0 THEN 'sp.' WHEN p_partkey % 5 = 0 THEN split_part(p_name, ' ', 2)
+         WHEN p_partkey % 7 = 0 THEN '' ELSE p_name END AS species,
+    CASE WHEN p_partkey % 17 = 0 THEN split_part(p_name, ' ', 2) ELSE '' END AS raw_species,
+    concat(upper(substr(p_name, 1, 1)), substr(CASE WHEN p_partkey % 3 = 0 THEN split_part(p_name, ' ', 1) ELSE p_name END, 2),
+         ' (Author, 1900)') AS scientific_name FROM {{part}} q) p ON l_partkey = p_partkey""",
     "processed_manifest": f"""
 SELECT {_ROW} AS source_row_index,
   CASE l_returnflag WHEN 'A' THEN 'gbif' ELSE 'idigbio' END AS source,

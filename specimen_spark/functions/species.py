@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from specimen_spark.fixed_values import NON_SPECIES_WORDS
 from specimen_spark.functions.text import (
-    alpha_tokens, as_column, let, normalize_text, title_token, tokenize_alpha,
+    alpha_tokens, as_column, let, normalize_text, second_word, title_token, tokenize_alpha,
 )
 
 
@@ -46,7 +46,7 @@ def _cases(p) -> list[tuple[Column, Column, str]]:
         cases.append((single, F.concat_ws(" ", hint, only), f"{source}_epithet"))
     # A scientific name only counts when its second word starts in lower case.
     tokens, text = p["name_tokens"], p["name"]
-    second_lower = _starts_lower(F.split_part(text, F.lit(" "), F.lit(2)))
+    second_lower = _starts_lower(second_word(text))
     cases.append((_qualifies(tokens, text, hint) & second_lower, pair(tokens), "scientific_name_binomial"))
     return cases
 
@@ -100,9 +100,9 @@ def ingest_binomial(scientific_name, genus, species) -> Column:
     """
 
     def candidate(text: Column, *, genus_text: Column | None = None, lower_second: bool = False) -> Column:
-        second = F.split_part(text, F.lit(" "), F.lit(2))
+        second = second_word(text)
         words = F.struct(
-            F.regexp_replace(F.split_part(text, F.lit(" "), F.lit(1)), r"[^A-Za-z-]", "").alias("genus"),
+            F.regexp_replace(F.substring_index(text, " ", 1), r"[^A-Za-z-]", "").alias("genus"),
             F.lower(F.regexp_replace(second, r"[^A-Za-z-]", "")).alias("epithet"),
         )
 

@@ -34,10 +34,13 @@ WHITE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]
 
 
 def _squeezed(text: Column) -> Column:
-    # Nearly all cells are printable ASCII without spare spaces; the wide
-    # character class is ten times slower than these tests.
-    odd = text.contains("  ") | text.startswith(" ") | text.endswith(" ") | text.rlike("[^ -~]")
-    return F.when(odd, F.trim(F.regexp_replace(text, WHITE + "+", " "))).otherwise(text)
+    # Nearly all cells are printable ASCII; the wide character class is ten
+    # times slower than these tests.
+    return F.trim(
+        F.when(text.rlike("[^ -~]"), F.regexp_replace(text, WHITE + "+", " "))
+        .when(text.contains("  "), F.regexp_replace(text, " {2,}", " "))
+        .otherwise(text)
+    )
 
 
 def normalize_text(c) -> Column:
@@ -138,6 +141,11 @@ def normalize_state(c) -> Column:
     return F.initcap(F.lower(normalize_text(c)))
 
 
+def second_word(text: Column) -> Column:
+    """Second of the words of a normalised text, blank when there is one only."""
+    return F.when(text.contains(" "), F.substring_index(F.substring_index(text, " ", 2), " ", -1)).otherwise(F.lit(""))
+
+
 def url_path(c) -> Column:
     """Path part of a URL, tolerant of text that is no valid URI."""
     path = F.regexp_extract(as_column(c), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
@@ -172,7 +180,7 @@ def guess_extension(url, content_type=None) -> Column:
     if content_type is None:
         return F.coalesce(known, F.lit(DEFAULT_SUFFIX))
     table = F.str_to_map(F.lit(_media_type_suffixes()), F.lit("\x01"), F.lit("\x02"))
-    kind = F.lower(F.trim(F.split_part(F.coalesce(as_column(content_type), F.lit("")), F.lit(";"), F.lit(1))))
+    kind = F.lower(F.trim(F.substring_index(F.coalesce(as_column(content_type), F.lit("")), ";", 1)))
     return F.coalesce(known, F.try_element_at(table, kind), F.lit(DEFAULT_SUFFIX))
 
 

@@ -125,7 +125,7 @@ def accepted_rows(judged: DataFrame, df: DataFrame, order_cols, family: str = TA
         "specimen_key": specimen_key("source", "record_id"),
         "record_image_count": F.coalesce(F.col("record_image_count"), F.lit(1).cast("bigint")),
         "family": F.lit(family),
-        "genus": F.when(hint != "", hint).otherwise(F.split_part("__species_label", F.lit(" "), F.lit(1))),
+        "genus": F.when(hint != "", hint).otherwise(F.substring_index("__species_label", " ", 1)),
         "species": F.col("__species_label"),
         "species_source": F.col("__species_source"),
         "latitude": F.col("__lat"),
@@ -142,20 +142,26 @@ def accepted_rows(judged: DataFrame, df: DataFrame, order_cols, family: str = TA
     return kept.select(*[{**copied, **values}[c].alias(c) for c in CLEAN_COLUMNS], *order_kept)
 
 
-def species_vocab(df: DataFrame, species: str = "species") -> DataFrame:
+def species_vocab(df: DataFrame, species: str = "species", rows: str | None = None) -> DataFrame:
     """``species, species_id, rows``: 0-based ids by falling count, then name.
 
+    ``rows`` names a column of row counts when ``df`` is aggregated already.
+
     Only the aggregated vocabulary is ranked, in slices of equal count and
     equal leading letters.
     """
-    counts = df.groupBy(species).agg(F.count(F.lit(1)).alias("rows"))
+    total = F.count(F.lit(1)) if rows is None else F.sum(rows)
+    counts = df.groupBy(species).agg(total.alias("rows"))
     sliced = counts.withColumn("__fewer", -F.col("rows")).withColumn("__lead", F.substring(species, 1, 3))
     ranked = bucketed_rank(sliced, [], ["__fewer", "__lead"], [species], "__id")
     return ranked.select(species, (F.col("__id") - 1).cast("int").alias("species_id"), "rows")
 
 
 def assign_species_ids(df: DataFrame, species: str = "species") -> tuple[DataFrame, DataFrame]:
-    """Rows with ``species_id`` and the vocabulary they refer to."""
+    """Rows with ``species_id`` and the vocabulary they refer to.
+
+    ``df`` is read for both; store or checkpoint it first when it is costly.
+    """
     vocab = species_vocab(df, species)
     vocab = vocab.drop("rows")
     return attach(df, vocab, [species], how="inner"), vocab
