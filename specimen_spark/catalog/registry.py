@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +22,3 @@ def query(name: str, oracle: str | None = None):
         return fn
 
     return wrap
-
-
-def words(text: str) -> set[str]:
-    return set(re.findall(r"[a-z_]+", text))
