@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specimen_spark.llm import quality
+from specimen_spark.llm import quality, urls
 from specimen_spark.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -48,3 +48,41 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         quality.rejected_by("base").alias("base_failed"), (~quality.rejected_by("v1")).alias("kept"),
     )
+
+
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+URL_SQL = r"""
+WITH RECURSIVE rules(rule_host, rule_path, action) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), found AS (
+  SELECT url, unnest([
+    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS target,
+    regexp_extract(url, '(?s)^.*?://[^/?#]*') AS origin
+  FROM pages WHERE url IS NOT NULL AND html IS NOT NULL
+), edges AS (
+  SELECT split_part(url, '#', 1) AS a, split_part(CASE WHEN contains(target, '://') THEN target
+    WHEN starts_with(target, '/') THEN origin || target ELSE origin || '/' || target END, '#', 1) AS b
+  FROM found WHERE target <> ''
+), linked AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges UNION SELECT a, a FROM edges UNION SELECT b, b FROM edges
+), reached AS (SELECT a, b FROM linked UNION SELECT r.a, l.b FROM reached r JOIN linked l ON r.b = l.a
+), placed AS (
+  SELECT u AS node, translate(coalesce(regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM (SELECT url AS u FROM pages UNION SELECT b FROM edges)
+), judged AS (
+  SELECT DISTINCT node, host, path, arg_min(rule_host || rule_path, (-length(rule_host || rule_path), action)) AS rule, arg_min(action, (-length(rule_host || rule_path), action)) AS action
+  FROM placed LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY ALL
+), alias AS (
+  SELECT r.a AS node, min(j.action) AS action FROM reached r JOIN judged j ON split_part(j.node, '#', 1) = r.b GROUP BY 1
+)
+SELECT page_id, host, path, rule, coalesce(j.action, s.action, 'allow') AS verdict
+FROM pages p JOIN judged j ON p.url IS NOT DISTINCT FROM j.node LEFT JOIN alias s ON s.node = split_part(p.url, '#', 1)
+"""
+
+
+@query("op7_url_filters", URL_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages", "page_id", "url", "html"), urls.rule_table(spark, URL_RULES))
