@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specimen_spark.llm import quality, urls
+from specimen_spark.llm import bpe, quality, urls
 from specimen_spark.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer file; the same on every machine of the cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUALITY_SQL = r"""
 WITH lines AS (
   SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
@@ -86,3 +95,8 @@ FROM pages p JOIN judged j ON p.url IS NOT DISTINCT FROM j.node LEFT JOIN alias
 @query("op7_url_filters", URL_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages", "page_id", "url", "html"), urls.rule_table(spark, URL_RULES))
+
+
+@query("op10_bpe_tokenizer")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("word_bpe_49k.json"))
