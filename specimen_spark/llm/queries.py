@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specimen_spark.llm import bpe, packing, quality, urls
+from specimen_spark.llm import bpe, packing, quality, urls, warc
 from specimen_spark.llm.registry import ORACLES, QUERIES, query, table
+from specimen_spark.session import scratch_path
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -105,3 +106,24 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_best_fit_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"), with_ids=False)
+
+
+WARC_SQL = """
+WITH payloads AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS digest FROM pages),
+largest AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS holder FROM payloads),
+bits AS (
+  SELECT *, [('0x' || digest[10 * i + 1:10 * i + 10])::BIGINT FOR i IN range(4)] AS parts FROM largest
+)
+SELECT page_id, octet_length(payload) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((parts[k // 8 + 1] >> (35 - 5 * (k % 8))) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id < holder THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < holder THEN holder END AS refers_to
+FROM bits
+"""
+
+
+@query("op4_warc", WARC_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages", "page_id", "url", "html"), target, shard_bytes=16 << 20, roll_bytes=4 << 20)
+    return warc.read_archives(spark, target, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
