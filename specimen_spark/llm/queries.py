@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specimen_spark.llm import bpe, packing, quality, urls, warc
+from specimen_spark.llm import bpe, langid, packing, quality, urls, warc
 from specimen_spark.llm.registry import ORACLES, QUERIES, query, table
 from specimen_spark.session import scratch_path
 
@@ -127,3 +127,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages", "page_id", "url", "html"), target, shard_bytes=16 << 20, roll_bytes=4 << 20)
     return warc.read_archives(spark, target, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = langid.learn(docs.where(langid.fold("doc_id", 3) != 1))
+    predicted = langid.predict(docs.select("doc_id", "text"), model)
+    return predicted.select("doc_id", (langid.fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "n_words", "n_spans")
