@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specimen_spark.llm import bpe, langid, packing, quality, urls, warc
+from specimen_spark.llm import bpe, langid, minhash, packing, quality, urls, warc
 from specimen_spark.llm.registry import ORACLES, QUERIES, query, table
 from specimen_spark.session import scratch_path
 
@@ -135,3 +135,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.learn(docs.where(langid.fold("doc_id", 3) != 1))
     predicted = langid.predict(docs.select("doc_id", "text"), model)
     return predicted.select("doc_id", (langid.fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "n_words", "n_spans")
+
+
+@query("op1_minhash_near_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), width=3, num=85, den=100)
