@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specimen_spark.llm import bpe, langid, minhash, packing, quality, urls, warc
+from specimen_spark.llm import ann, bpe, langid, minhash, packing, quality, urls, warc
 from specimen_spark.llm.registry import ORACLES, QUERIES, query, table
 from specimen_spark.session import scratch_path
 
@@ -140,3 +140,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_minhash_near_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), width=3, num=85, den=100)
+
+
+@query("op5_nearest_neighbours")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
