@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specimen_spark.llm import ann, bpe, langid, minhash, packing, quality, suffix, urls, warc
+from specimen_spark.llm import ann, bpe, langid, lm, minhash, packing, quality, suffix, urls, warc
 from specimen_spark.llm.registry import ORACLES, QUERIES, query, table
 from specimen_spark.session import scratch_path
 
@@ -151,3 +151,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_lm_scores")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents", "doc_id", "text"), langid.fold("doc_id", 10) == 0)
