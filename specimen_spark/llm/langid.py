@@ -251,6 +251,26 @@ def predict(docs: DataFrame, model: Model, penalty: float = 6.0) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, PREDICTED)
 
 
+def filter_documents(docs: DataFrame, model: Model, least_share: float, penalty: float = 6.0) -> DataFrame:
+    """The rows of docs (text and any others) in which one language has at least ``least_share`` of the letters."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(shared.value, penalty)
+        for batch in batches:
+            keep, split, size = [], [], 0
+            for text in batch["text"].to_pylist():
+                split.append((text or "").split())
+                size += len(split[-1])
+                if size >= GROUP_WORDS:
+                    keep += [lang != "und" and share >= least_share for lang, share, *_ in labeller.label(split)]
+                    split, size = [], 0
+            keep += [lang != "und" and share >= least_share for lang, share, *_ in labeller.label(split)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(doc_id: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id is in fold 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds)), F.lit(0))

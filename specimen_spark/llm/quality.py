@@ -10,7 +10,9 @@ with null or repeated ids each get a row of their own. Words are runs of bytes o
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,6 +102,17 @@ def ledger(docs: DataFrame) -> DataFrame:
     return map_columns(docs.select(F.col("doc_id").cast("bigint"), "text"), rows, LEDGER)
 
 
+def filter_documents(docs: DataFrame, policy: str) -> DataFrame:
+    """The rows of docs (text and any others) that the policy keeps."""
+    rejecting = mask(policy)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not fail_bits(*measure(t)) & rejecting for t in batch["text"].to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def rejected_by(policy: str, bits: Column | str = "fail_bits") -> Column:
     bits = F.col(bits) if isinstance(bits, str) else bits
     return bits.bitwiseAND(F.lit(mask(policy)).cast("bigint")) != 0
