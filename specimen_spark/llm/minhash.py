@@ -8,8 +8,9 @@
    D be what a member has and the centre has not, R what it lacks. Two members ``c`` and ``x`` of which ``c`` is a
    stray can only be similar if they share enough of their differences (D with D, R with R). The number needed
    follows from the sizes, so the two share an element among the first few of their differences in any common
-   order. Those prefixes are the buckets of the next round, which no longer hold the centre; so rounds end, and no
-   pair of a bucket is left undecided.
+   order. A star whose sets are bounded is decided in one task, by union-find over the members that share an element
+   of their prefixes. For a larger one the prefixes are the buckets of the next round, which no longer hold the
+   centre; so rounds end, and no pair of a bucket is left undecided.
 5. Components of the verified links; a document's component is the smallest id in it.
 
 Defined cases: texts that are null or have no word have no shingles, link with nothing and are kept. Rows that repeat an id are expected to have the
@@ -33,6 +34,7 @@ from specimen_spark.operators.keyed import attach
 from specimen_spark.session import cut_lineage
 
 BANDS, ROWS = 24, 5
+STAR_BYTES = 16 << 20
 SIGNED = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>"
 VERIFIED = "a bigint, b bigint, linked boolean, prefix array<bigint>"
 
@@ -123,6 +125,45 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(run, VERIFIED)
 
 
+def decide(num: int, den: int):
+    """Links between the members of one star: a member and those it shares a prefix element with, unless connected."""
+    out = arrow_schema("a bigint, b bigint")
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, linked = table["b"].to_pylist(), table["linked"].to_pylist()
+        prefixes = [p.values.to_numpy() for p in table["prefix"]]
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["elements"]]
+        parent = list(range(len(ids)))
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        first = next((i for i, x in enumerate(linked) if x), 0)
+        for i in (i for i, x in enumerate(linked) if x):
+            parent[i] = first
+        member = np.repeat(np.arange(len(ids)), list(map(len, prefixes)))
+        elements = np.concatenate(prefixes)
+        order = np.argsort(elements, kind="stable")
+        elements, member = elements[order], member[order]
+        found = []
+        for c in (i for i, x in enumerate(linked) if not x):
+            low, high = (np.searchsorted(elements, prefixes[c], side) for side in ("left", "right"))
+            others = np.unique(np.concatenate([member[a:b] for a, b in zip(low, high)])) if len(low) else ()
+            for x in others:
+                small, large = sorted((len(sets[c]), len(sets[x])))
+                if den * small >= num * large and root(c) != root(x):
+                    inter = len(np.intersect1d(sets[c], sets[x], assume_unique=True))
+                    if den * inter >= num * (small + large - inter):
+                        found.append((min(ids[c], ids[x]), max(ids[c], ids[x])))
+                        parent[root(c)] = root(x)
+        return pa.table([pa.array(c, pa.int64()) for c in zip(*found)], schema=out) if found else out.empty_table()
+
+    return run
+
+
 def stars(buckets: DataFrame) -> DataFrame:
     """Distinct (smallest member, other member) of rows (key..., doc_id)."""
     keys = [c for c in buckets.columns if c != "doc_id"]
@@ -137,13 +178,19 @@ def links(representatives: DataFrame, docs: DataFrame, width: int, num: int, den
     pairs = cut_lineage(stars(banded.select("key", "doc_id")))
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = cut_lineage(set_table(docs, representatives.join(ids, "doc_id").select("doc_id", "set_key"), width))
+    sizes = sets.select(F.col("doc_id").alias("b"), F.octet_length("elements").alias("bytes"))
     found = spark.createDataFrame([], "a bigint, b bigint")
     while not pairs.isEmpty():
         verified = cut_lineage(verify(pairs, sets, num, den))
         found = found.union(verified.where("linked").select("a", "b"))
-        star = verified.groupBy("a").agg(F.count("*").alias("n"), F.min("linked").alias("all")).where("n > 1 AND NOT all").select("a")
+        measured = attach(verified.select("a", "b", "linked"), sizes, ["b"], "inner")
+        star = measured.groupBy("a").agg(F.count("*").alias("n"), F.min("linked").alias("all"), F.sum("bytes").alias("bytes"))
+        star = cut_lineage(star.where("n > 1 AND NOT all").select("a", "bytes"))
         open_stars = attach(verified, star, ["a"], "inner")
-        rows = open_stars.select("a", F.explode("prefix").alias("element"), F.col("b").alias("doc_id"), "linked")
+        bounded = open_stars.where(F.col("bytes") <= STAR_BYTES).drop("bytes")
+        with_sets = attach(bounded, sets.select(F.col("doc_id").alias("b"), "elements"), ["b"], "inner")
+        found = found.union(cut_lineage(with_sets.groupBy("a").applyInArrow(decide(num, den), "a bigint, b bigint")))
+        rows = open_stars.where(F.col("bytes") > STAR_BYTES).select("a", F.explode("prefix").alias("element"), F.col("b").alias("doc_id"), "linked")
         # A bucket without a stray connects nothing new.
         strays = rows.groupBy("a", "element").agg(F.min("linked").alias("all"), F.count("*").alias("n")).where("n > 1 AND NOT all").select("a", "element")
         buckets = attach(rows, strays, ["a", "element"], "inner").select("a", "element", "doc_id")
