@@ -67,8 +67,9 @@ def merge_shards(dfs, index: str = "source_row_index") -> DataFrame:
 
 
 def content_duplicates(df: DataFrame, content: str, id_col: str, order_cols) -> DataFrame:
-    """``first, duplicate, sha1`` for every later row with equal bytes."""
+    """``first, duplicate, sha1`` for every later row with equal bytes; the smaller id is first among equal orders."""
     hashed = df.select(*dict.fromkeys([id_col, *order_cols]), F.sha1(content).alias("sha1"))
+    order_cols = list(dict.fromkeys([*order_cols, id_col]))
     firsts = hashed.groupBy("sha1").agg(
         F.min(order_struct(order_cols)).alias("__first"),
         F.min_by(id_col, order_struct(order_cols)).alias("first"),

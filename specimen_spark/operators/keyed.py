@@ -4,7 +4,7 @@
   sends at most one row per key.
 * ``attach`` joins a one-row-per-key table to a row table so that adaptive
   execution can split the partitions of hot keys.
-* ``bucketed_rank`` numbers rows exactly inside a group without sorting the
+* ``sorted_rank`` numbers rows exactly inside a group without sorting the
   group in one task.
 """
 
@@ -13,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from specimen_spark.session import cut_lineage
+
+
 def order_struct(order_cols) -> Column:
     """The order columns as one comparable value; a single column stays itself and hashes faster."""
     columns = [F.col(c) for c in order_cols]
@@ -56,50 +59,63 @@ def attach(rows: DataFrame, lookup: DataFrame, keys, how: str = "left") -> DataF
 def bucketed_rank(
     df: DataFrame, group_cols, bucket_cols, order_cols, rank: str, total: str | None = None
 ) -> DataFrame:
-    """1-based exact rank inside each group.
+    """1-based exact rank inside each group; nulls are a group, a slice and a value of their own, and come first.
 
     ``bucket_cols`` cut the sort order of a group into consecutive slices.
     Rows are ranked inside a slice and shifted by the size of the slices
-    before it; only the small table of slice sizes is accumulated per group.
+    before it; only the table of slice sizes is accumulated per group.
     """
     group_cols, bucket_cols = list(group_cols), list(bucket_cols)
-    slices = df.groupBy(*group_cols, *bucket_cols).agg(F.count(F.lit(1)).alias("__size"))
+    keys = [*group_cols, *bucket_cols]
+    slices = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
     in_group = Window.partitionBy(*(group_cols or [F.lit(0)]))
     before = in_group.orderBy(*bucket_cols).rowsBetween(Window.unboundedPreceding, -1)
     offsets = slices.select(
-        *group_cols, *bucket_cols,
+        *[F.col(c).alias(f"__of_{c}") for c in keys],
         F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"),
         *([F.sum("__size").over(in_group).alias(total)] if total else []),
     )
-    in_slice = Window.partitionBy(*group_cols, *bucket_cols).orderBy(*order_cols)
+    in_slice = Window.partitionBy(*keys).orderBy(*order_cols)
     ranked = df.withColumn("__in_slice", F.row_number().over(in_slice))
+    same = [ranked[c].eqNullSafe(offsets[f"__of_{c}"]) for c in keys]
     return (
-        ranked.join(offsets, group_cols + bucket_cols)
+        ranked.join(offsets, same)
         .withColumn(rank, (F.col("__in_slice") + F.col("__before")).cast("bigint"))
-        .drop("__in_slice", "__before")
+        .drop("__in_slice", "__before", *[f"__of_{c}" for c in keys])
     )
 
 
+def sorted_rank(
+    df: DataFrame, group_cols, order_cols, rank: str, total: str | None = None, slice_rows: int = 500_000
+) -> DataFrame:
+    """1-based exact rank inside each group, in slices of about ``slice_rows`` rows whatever the values are.
+
+    The slices are the partitions of a range partitioning by group and order,
+    so neither a hot group nor an outlier fills one; the input is computed
+    once and stored. Equal values of all ``order_cols`` share a slice.
+    """
+    stored = cut_lineage(df)
+    least = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(least, stored.count() // slice_rows + 1)
+    columns = [F.col(c) if isinstance(c, str) else c for c in (*group_cols, *order_cols)]
+    ranged = cut_lineage(stored.repartitionByRange(slices, *columns).withColumn("__slice", F.spark_partition_id()))
+    return bucketed_rank(ranged, group_cols, ["__slice"], order_cols, rank, total).drop("__slice")
+
+
 def hash_rank(
     df: DataFrame, group_cols, key_cols, seed, rank: str, total: str | None = None
 ) -> DataFrame:
-    """Exact rank in the order of ``md5(seed:key)``; the digest's first byte is the slice."""
+    """Exact rank in the order of ``md5(seed:key)``."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key_cols]))
-    hashed = df.withColumn("__digest", digest).withColumn("__slice", F.substring("__digest", 1, 2))
-    return bucketed_rank(
-        hashed, group_cols, ["__slice"], ["__digest", *key_cols], rank, total
-    ).drop("__digest", "__slice")
+    hashed = df.withColumn("__digest", digest)
+    return sorted_rank(hashed, group_cols, ["__digest", *key_cols], rank, total).drop("__digest")
 
 
 def number_rank(
-    df: DataFrame, group_cols, number_col: str, tie_cols, rank: str, total: str | None = None, slices: int = 256
+    df: DataFrame, group_cols, number_col: str, tie_cols, rank: str, total: str | None = None
 ) -> DataFrame:
-    """Exact rank in the order of a numeric column, cut into equal-width slices of its range."""
-    low = df.agg(F.min(number_col).cast("double").alias("low")).scalar()
-    high = df.agg(F.max(number_col).cast("double").alias("high")).scalar()
-    position = (F.col(number_col).cast("double") - low) / (high - low + 1.0)
-    sliced = df.withColumn("__slice", F.floor(position * slices).cast("int"))
-    return bucketed_rank(sliced, group_cols, ["__slice"], [number_col, *tie_cols], rank, total).drop("__slice")
+    """Exact rank in the order of a numeric column: null first, NaN last."""
+    return sorted_rank(df, group_cols, [number_col, *tie_cols], rank, total)
 
 
 def with_row_numbers(df: DataFrame, order_col: str, tie_cols=(), name: str = "source_row_index") -> DataFrame:

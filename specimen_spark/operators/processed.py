@@ -247,17 +247,25 @@ def path_suffix_raw(c):
 
 
 def destination_names_simple(df: DataFrame, path_col: str, order_col: str, index: str) -> DataFrame:
-    """Per row: base name for its first user, ``<stem>_<row index>`` for every later row."""
-    based = df.withColumn("__base", file_name(path_col))
-    firsts = based.groupBy("__base").agg(F.min(order_col).alias("__first"))
-    joined = attach(based, firsts, ["__base"])
-    tail = F.coalesce(blank_to_null(index), F.lit("dup"))
-    return joined.select(
+    """Per row: base name for its first user, ``<stem>_<row index>`` for every later row.
+
+    Later rows with the same index (or none) go on with ``_2``, ``_3`` and so
+    on. A row with a blank path has no name.
+    """
+    tail = F.coalesce(blank_to_null(index).cast("string"), F.lit("dup"))
+    named = df.where(blank_to_null(path_col).isNotNull()).withColumn("__base", file_name(path_col))
+    ranked = number_rank(named, ["__base"], order_col, [index], "__n")
+    later = number_rank(ranked.where("__n > 1").withColumn("__tail", tail), ["__base", "__tail"], order_col, ["__n"], "__m")
+    more = F.when(F.col("__m") > 1, F.concat(F.lit("_"), F.col("__m").cast("string"))).otherwise(F.lit(""))
+    firsts = ranked.where("__n = 1").select(*df.columns, F.col("__base").alias("destination_name"), F.lit(False).alias("renamed"))
+    others = later.select(
         *df.columns,
-        F.when(F.col(order_col) == F.col("__first"), F.col("__base")).otherwise(
-            F.concat(file_stem("__base"), F.lit("_"), tail, path_suffix_raw("__base"))).alias("destination_name"),
-        (F.col(order_col) != F.col("__first")).alias("renamed"),
+        F.concat(file_stem("__base"), F.lit("_"), "__tail", more, path_suffix_raw("__base")).alias("destination_name"),
+        F.lit(True).alias("renamed"),
     )
+    blank = df.where(blank_to_null(path_col).isNull()).select(
+        "*", F.lit(None).cast("string").alias("destination_name"), F.lit(False).alias("renamed"))
+    return firsts.union(others).union(blank)
 
 
 def portable_manifest(df: DataFrame, names: DataFrame, path_col: str, folder: str = "images") -> DataFrame:

@@ -15,7 +15,7 @@ from specimen_spark.fixed_values import RECOVERED_CROP
 from specimen_spark.functions.geo import hash_uniform
 from specimen_spark.functions.numbers import number_column
 from specimen_spark.functions.text import as_column, normalize_text
-from specimen_spark.operators.keyed import attach, bucketed_rank, explode_tags, hash_rank, order_struct
+from specimen_spark.operators.keyed import attach, explode_tags, hash_rank, order_struct, sorted_rank
 from specimen_spark.operators.processed import manifest_group_key
 from specimen_spark.schemas import optional
 
@@ -179,7 +179,7 @@ def qc_sample(df: DataFrame, n: int, seed: int, key_cols) -> DataFrame:
 
 
 def balanced_sample(df: DataFrame, class_col: str, key_cols, seed, n: int | None = None) -> DataFrame:
-    """``n`` draws with replacement, each class equally likely, uniform inside a class.
+    """``n`` draws with replacement, each class equally likely, uniform inside a class; null is a class.
 
     A draw picks a class and then a position in it; positions are exact ranks,
     so the draws find their rows by an equi-join. ``n`` defaults to the number
@@ -187,16 +187,17 @@ def balanced_sample(df: DataFrame, class_col: str, key_cols, seed, n: int | None
     """
     spark = df.sparkSession
     n = df.count() if n is None else n
-    members = hash_rank(df, [class_col], key_cols, f"{seed}:member", "__position")
-    classes = df.groupBy(class_col).agg(F.count(F.lit(1)).alias("__count"))
-    classes = bucketed_rank(classes, [], [class_col], [class_col], "__class")
-    total = df.agg(F.countDistinct(class_col).alias("n")).scalar()
+    rows = df.withColumn("__blank", F.col(class_col).isNull()).withColumn("__name", F.coalesce(F.col(class_col).cast("string"), F.lit("")))
+    members = hash_rank(rows, ["__blank", "__name"], key_cols, f"{seed}:member", "__position")
+    classes = rows.groupBy("__blank", "__name").agg(F.count(F.lit(1)).alias("__count"))
+    classes = sorted_rank(classes, [], ["__blank", "__name"], "__class", "__classes")
+    total = classes.agg(F.max("__classes").alias("n")).scalar()
     draws = spark.range(n).select(
         F.col("id").alias("draw"),
         (F.floor(hash_uniform(seed, F.lit("class"), F.col("id")) * total) + 1).alias("__class"),
         hash_uniform(seed, F.lit("row"), F.col("id")).alias("__u"),
     )
     located = attach(draws, classes, ["__class"], how="inner").select(
-        "draw", class_col, (F.floor(F.col("__u") * F.col("__count")) + 1).cast("bigint").alias("__position")
+        "draw", "__blank", "__name", (F.floor(F.col("__u") * F.col("__count")) + 1).cast("bigint").alias("__position")
     )
-    return attach(located, members, [class_col, "__position"], how="inner").select("draw", *df.columns)
+    return attach(located, members, ["__blank", "__name", "__position"], how="inner").select("draw", *df.columns)
