@@ -30,11 +30,13 @@ def build_session(app: str = "specimen-spark", master: str | None = None, conf:
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors reach: the cluster's checkpoint folder.
 
-    A local temporary folder is chosen only when the session names none,
-    which is the case in tests.
+    A local temporary folder is chosen only when the session names none and
+    runs on this machine alone, which is the case in tests.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -8,28 +8,68 @@ from pyspark.sql import functions as F
 from specimen_spark.schemas import RAW_SCHEMA, validate_required
 
 
+def manifest_files(spark: SparkSession, paths) -> list[str]:
+    """The files that paths, folders and globs name, each once, in the order of the paths."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found: dict[str, None] = {}
+
+    def add(fs, status) -> None:
+        path = status.getPath()
+        if status.isDirectory():
+            for inner in sorted(fs.listStatus(path), key=lambda s: s.getPath().getName()):
+                if not inner.getPath().getName().startswith(("_", ".")):
+                    add(fs, inner)
+        else:
+            found[path.toString()] = None
+
+    for text in [paths] if isinstance(paths, str) else paths:
+        path = jvm.org.apache.hadoop.fs.Path(text)
+        fs = path.getFileSystem(conf)
+        matches = fs.globStatus(path)
+        if not matches:
+            raise FileNotFoundError(text)
+        for status in matches:
+            add(fs, status)
+    return list(found)
+
+
+def _header(spark: SparkSession, file: str) -> str:
+    """First line of a file."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine() or ""
+    finally:
+        stream.close()
+
+
 def read_manifest(
-    spark: SparkSession, paths, required=(), max_rows: int | None = None, columns=None
+    spark: SparkSession, paths, required=(), max_rows: int | None = None, columns=None, order_cols=(),
+    multi_line: bool = True, mode: str = "PERMISSIVE",
 ) -> DataFrame:
     """CSV manifests as text columns; quotes, embedded newlines and globs are understood.
 
-    A path given twice is read once; files with different headers are joined
-    by column name. Blank cells come back as '' and absent ones as null.
+    A file is read once, however often it is named; files are grouped by
+    header line and the groups joined by column name. Blank and absent cells
+    come back as ''. ``max_rows`` takes the first rows by ``order_cols``.
+    Large files are split between tasks only without ``multi_line``; ``mode``
+    says what becomes of malformed rows (``FAILFAST`` raises).
     """
-    listed = [paths] if isinstance(paths, str) else list(paths)
-    unique = list(dict.fromkeys(p.rstrip("/") for p in listed))
+    if max_rows is not None and not order_cols:
+        raise ValueError("max_rows needs order_cols")
+    by_header: dict[str, list[str]] = {}
+    for file in manifest_files(spark, paths):
+        by_header.setdefault(_header(spark, file), []).append(file)
     reader = spark.read.options(
-        header=True, multiLine=True, quote='"', escape='"', nullValue="\u0000", emptyValue="", mode="PERMISSIVE"
+        header=True, multiLine=multi_line, quote='"', escape='"', nullValue="\u0000", emptyValue="", mode=mode
     )
-    frames = [reader.csv(p) for p in unique]
-    df = frames[0]
-    for other in frames[1:]:
-        df = df.unionByName(other, allowMissingColumns=True)
+    df = union_manifests([reader.csv(files) for files in by_header.values()])
     df = df.select([F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
     validate_required(df, required)
     if columns:
         df = df.select(*columns)
-    return df.limit(max_rows) if max_rows is not None else df
+    return df.orderBy(*order_cols).limit(max_rows) if max_rows is not None else df
 
 
 def read_raw_parquet(spark: SparkSession, path: str) -> DataFrame:

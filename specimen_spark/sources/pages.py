@@ -104,8 +104,10 @@ def flatten_occurrences(pages: DataFrame, keep=()) -> DataFrame:
     ))
 
 
-def flatten_simple(pages: DataFrame, max_rows: int | None = None, keep=()) -> DataFrame:
-    """Six columns per medium that has an identifier."""
+def flatten_simple(pages: DataFrame, max_rows: int | None = None, keep=(), order_cols=()) -> DataFrame:
+    """Six columns per medium that has an identifier; ``max_rows`` takes the first by ``order_cols``."""
+    if max_rows is not None and not order_cols:
+        raise ValueError("max_rows needs order_cols")
     occ = pages.select(*keep, F.explode("results").alias("o"))
     media = occ.select("*", F.explode("o.media").alias("m"))
     names, m_names = _struct_fields(media, "o"), _struct_fields(media, "m")
@@ -119,7 +121,7 @@ def flatten_simple(pages: DataFrame, max_rows: int | None = None, keep=()) -> Da
         url.alias("image_url"),
         field(m_names, "m", "license").alias("license"),
     )
-    return rows.limit(max_rows) if max_rows is not None else rows
+    return rows.orderBy(*order_cols).limit(max_rows) if max_rows is not None else rows
 
 
 def _geopoint(df: DataFrame, path: str) -> Column:

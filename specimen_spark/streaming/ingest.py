@@ -22,28 +22,34 @@ def landing_stream(
 
 
 def _table_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Stored table, or an empty one before the first write."""
+    """Stored table, or an empty one before the first write; any other failure is raised."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
 def stream_ingest(
     stream: DataFrame, dst: str, ledger: str, checkpoint: str, keys=("occurrence_key",), transform=None
 ) -> StreamingQuery:
-    """Append new rows to ``dst`` and their keys to ``ledger``; rows with a known key are skipped.
+    """Append new rows to ``dst`` and their keys to ``ledger``; rows whose key an earlier run took are skipped.
 
-    A batch writes below its own number and replaces that folder when it is
-    replayed after a failure. Reading the ledger leaves the batch's own folder
-    out, so a replay sees what the first attempt saw.
+    The rule is the ledger as it stands when the query starts: all rows of a
+    key that arrive during one run are taken, however the run is cut into
+    batches, and none in later runs. A batch writes below its own number and
+    replaces that folder when it is replayed after a failure; a run that is
+    started again after a failure counts as a later one.
     """
     keys = list(keys)
     key_schema = ", ".join(f"{k} string" for k in keys) + ", batch bigint"
+    known = _table_or_empty(stream.sparkSession, ledger, key_schema).agg(F.max("batch")).first()[0]
+    last_known = -1 if known is None else known
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        done = _table_or_empty(spark, ledger, key_schema).where(F.col("batch") != batch_id)
+        done = _table_or_empty(spark, ledger, key_schema).where((F.col("batch") <= last_known) & (F.col("batch") != batch_id))
         fresh = pending(batch, done, keys)
         out = transform(fresh) if transform else fresh
         out.write.mode("overwrite").parquet(f"{dst}/batch={batch_id}")
