@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,8 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specimen_spark.functions.text import file_stem
-
 
 def pixels_rgb(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     """Height x width x 3 array in red-green-blue order from the image source's bytes."""
@@ -23,18 +22,19 @@ def pixels_rgb(data: bytes, height: int, width: int, channels: int) -> np.ndarra
 def channel_stats(images: DataFrame) -> DataFrame:
     """Pixel-weighted mean and deviation per channel over all decodable images.
 
-    Tasks reduce each batch to six sums; Spark adds the sums.
+    A batch becomes one histogram of levels per channel, from which the sums
+    follow; Spark adds the sums.
     """
+    level = np.arange(256) / 255.0
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            total, square, pixels = np.zeros(3), np.zeros(3), 0
+            histogram = np.zeros((3, 256), dtype=np.int64)
             for row in batch.itertuples(index=False):
-                flat = pixels_rgb(row.data, row.height, row.width, row.nChannels).reshape(-1, 3) / 255.0
-                total += flat.sum(axis=0)
-                square += np.square(flat).sum(axis=0)
-                pixels += len(flat)
-            yield pd.DataFrame([[len(batch), pixels, *total, *square]], columns=names)
+                planes = pixels_rgb(row.data, row.height, row.width, row.nChannels).reshape(-1, 3)
+                histogram += [np.bincount(plane, minlength=256) for plane in planes.T]
+            pixels = int(histogram[0].sum())
+            yield pd.DataFrame([[len(batch), pixels, *(histogram @ level), *(histogram @ level ** 2)]], columns=names)
 
     names = ["images", "pixels", "s0", "s1", "s2", "q0", "q1", "q2"]
     schema = "images bigint, pixels bigint, " + ", ".join(f"{n} double" for n in names[2:])
@@ -74,58 +74,80 @@ _METRICS = (
 )
 
 
+def extent(projection: np.ndarray) -> tuple[int, int]:
+    """First and one past the last position that is not empty."""
+    used = np.flatnonzero(projection)
+    return int(used[0]), int(used[-1]) + 1
+
+
 def measure_mask(rgb: np.ndarray, mask: np.ndarray) -> tuple:
-    """Geometry of a binary mask and saturation below it."""
+    """Geometry of a binary mask, from its row and column counts, and saturation below it."""
     on = mask > 0
-    height, width = rgb.shape[:2]
-    if not on.any():
+    per_row, per_column = on.sum(axis=1), on.sum(axis=0)
+    area = int(per_row.sum())
+    if area == 0:
         return (False, None, None, None, None, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.5, 0.5, False, 0.0, 1.0)
-    ys, xs = np.nonzero(on)
-    x0, x1, y0, y1 = int(xs.min()), int(xs.max()) + 1, int(ys.min()), int(ys.max()) + 1
-    box = on[y0:y1, x0:x1]
-    half = (x1 - x0) // 2
-    symmetry = balance = 0.0
-    if half:
-        left, right = box[:, :half], box[:, box.shape[1] - half:]
-        union = np.logical_or(left, right[:, ::-1]).sum()
-        symmetry = float(np.logical_and(left, right[:, ::-1]).sum() / union) if union else 0.0
-        areas = sorted((float(left.sum()), float(right.sum())))
-        balance = areas[0] / max(areas[1], 1.0)
-    high = rgb.max(axis=2).astype(np.float64)
-    spread = high - rgb.min(axis=2)
-    # 8-bit saturation, rounded half to even.
-    saturation = np.rint(np.divide(spread * 255.0, high, out=np.zeros_like(high), where=high > 0))[on]
-    margin = max(2, int(min(width, height) * 0.01))
-    border = x0 <= margin or y0 <= margin or x1 >= width - margin or y1 >= height - margin
-    area = int(on.sum())
+    height, width = on.shape
+    (y0, y1), (x0, x1) = extent(per_row), extent(per_column)
+    # Columns at equal distance from both sides of the box are mirror images in a symmetric mask.
+    left = np.arange(x0, x0 + (x1 - x0) // 2)
+    right = x0 + x1 - 1 - left
+    in_both = int((on[:, left] & on[:, right]).sum())
+    left_area, right_area = int(per_column[left].sum()), int(per_column[right].sum())
+    in_either = left_area + right_area - in_both
+    pixels = rgb[on].astype(np.float64)
+    high, low = pixels.max(axis=1), pixels.min(axis=1)
+    # 8-bit saturation, rounded half to even; black has none.
+    saturation = np.rint((high - low) * 255.0 / np.where(high > 0, high, 1.0))
+    edge = max(2, min(height, width) // 100)
+    gap = min(x0, y0, width - x1, height - y1)
     return (
-        True, x0, y0, x1, y1, area, area / max((x1 - x0) * (y1 - y0), 1), area / max(height * width, 1),
-        (x1 - x0) / max(y1 - y0, 1), symmetry, balance, float(xs.mean() / max(width, 1)),
-        float(ys.mean() / max(height, 1)), bool(border), float(saturation.mean()), float((saturation < 28).mean()),
+        True, x0, y0, x1, y1, area, area / ((x1 - x0) * (y1 - y0)), area / on.size, (x1 - x0) / (y1 - y0),
+        in_both / in_either if in_either else 0.0, min(left_area, right_area) / max(left_area, right_area, 1),
+        float(per_column @ np.arange(width)) / area / width, float(per_row @ np.arange(height)) / area / height,
+        gap <= edge, float(saturation.mean()), float((saturation < 28).mean()),
     )
 
 
-def mask_metrics(images: DataFrame, masks: DataFrame) -> DataFrame:
-    """Mask measurements per image; image and mask files pair by file stem."""
+def relative_path(path, root: str):
+    """Path below ``root`` (a scheme in front does not count) without its ending; images and their masks share it."""
+    inner = F.regexp_replace(path, f"^(?:[a-z0-9]+:(?://)?)?{re.escape(root.rstrip('/'))}/", "")
+    return F.regexp_replace(inner, r"\.[^./]*$", "")
+
+
+def mask_metrics(images: DataFrame, masks: DataFrame, image_root: str, mask_root: str) -> DataFrame:
+    """Mask measurements per image with a ``reason`` where there are none.
+
+    Image and mask pair by their path below the roots. The reason is
+    ``missing_mask`` or ``size_mismatch``; such rows hold the values of an
+    empty mask.
+    """
     left = images.where(F.col("height") > 0).select(
-        file_stem("path").alias("stem"), "path", "height", "width", "nChannels", "data")
+        relative_path("path", image_root).alias("pair"), "path", "height", "width", "nChannels", "data")
     right = masks.where(F.col("height") > 0).select(
-        file_stem("path").alias("stem"), F.col("nChannels").alias("mask_channels"), F.col("data").alias("mask_data"),
+        relative_path("path", mask_root).alias("pair"), F.col("nChannels").alias("mask_channels"), F.col("data").alias("mask_data"),
         F.col("height").alias("mask_height"), F.col("width").alias("mask_width"))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["path"] + [part.strip().split(" ")[0] for part in _METRICS.split(",")]
+        names = ["path", "reason"] + [part.strip().split(" ")[0] for part in _METRICS.split(",")]
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
-                mask = np.frombuffer(r.mask_data, dtype=np.uint8).reshape(r.mask_height, r.mask_width, r.mask_channels)
-                rows.append((r.path, *measure_mask(pixels_rgb(r.data, r.height, r.width, r.nChannels), mask[:, :, 0])))
+                rgb, reason = pixels_rgb(r.data, r.height, r.width, r.nChannels), None
+                mask = np.zeros((r.height, r.width), np.uint8)
+                if r.mask_data is None:
+                    reason = "missing_mask"
+                elif (r.mask_height, r.mask_width) != (r.height, r.width):
+                    reason = "size_mismatch"
+                else:
+                    mask = np.frombuffer(r.mask_data, dtype=np.uint8).reshape(r.height, r.width, int(r.mask_channels))[:, :, 0]
+                rows.append((r.path, reason, *measure_mask(rgb, mask)))
             out = pd.DataFrame(rows, columns=names)
             for box in ("x0", "y0", "x1", "y1"):
                 out[box] = out[box].astype("Int32")
             yield out
 
-    return left.join(right, "stem").drop("stem").mapInPandas(measure, "path string, " + _METRICS)
+    return left.join(right, "pair", "left").drop("pair").mapInPandas(measure, "path string, reason string, " + _METRICS)
 
 
 def cache_features(
