@@ -346,10 +346,10 @@ def destination_names(spark, sf):
 
 @query("G9_simple_names", """SELECT source_row_index, CASE WHEN n = 1 THEN base ELSE replace(base, '.jpg', '_' || source_row_index || '.jpg') END AS destination_name, n > 1 AS renamed
 FROM (SELECT source_row_index, split_part(processed_image_path, '/', 2) AS base,
-  row_number() OVER (PARTITION BY processed_image_path ORDER BY source_row_index) AS n FROM {processed_manifest} WHERE processed_image_path <> '') t""")
+  row_number() OVER (PARTITION BY processed_image_path ORDER BY source_row_index) AS n FROM {processed_manifest} WHERE processed_image_path <> '') t
+UNION ALL SELECT source_row_index, NULL, false FROM {processed_manifest} WHERE processed_image_path = ''""")
 def simple_names(spark, sf):
-    rows = manifest(spark, sf).where(F.col("processed_image_path") != "")
-    return processed.destination_names_simple(rows, "processed_image_path", "source_row_index", "source_row_index").select(
+    return processed.destination_names_simple(manifest(spark, sf), "processed_image_path", "source_row_index", "source_row_index").select(
         "source_row_index", "destination_name", "renamed")
 
 

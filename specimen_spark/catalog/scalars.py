@@ -180,17 +180,15 @@ def regions(spark, sf):
 
 
 @query("B15_normalize_latlon", f"""
-SELECT row_idx, lat IS NOT NULL AND lon IS NOT NULL AS valid,
-  round((least(greatest(lat, 18.5), 72.5) - 18.5) / 54.0, 6) AS lat_norm,
-  round((least(greatest(lon, -180.0), -66.0) + 180.0) / 114.0, 6) AS lon_norm,
-  round(least(greatest(lat, 18.5), 72.5), 6) AS lat_back, round(least(greatest(lon, -180.0), -66.0), 6) AS lon_back
-FROM (SELECT row_idx, {finite('latitude')} AS lat, {finite('longitude')} AS lon FROM {{raw_manifest}}) t
-WHERE lat IS NOT NULL AND lon IS NOT NULL""")
+SELECT row_idx, valid, CASE WHEN valid THEN round((la - 18.5) / 54.0, 6) END AS lat_norm, CASE WHEN valid THEN round((lo + 180.0) / 114.0, 6) END AS lon_norm,
+  CASE WHEN valid THEN round(la, 6) END AS lat_back, CASE WHEN valid THEN round(lo, 6) END AS lon_back
+FROM (SELECT row_idx, lat IS NOT NULL AND lon IS NOT NULL AS valid, least(greatest(lat, 18.5), 72.5) AS la, least(greatest(lon, -180.0), -66.0) AS lo
+  FROM (SELECT row_idx, {finite('latitude')} AS lat, {finite('longitude')} AS lon FROM {{raw_manifest}}) r) t""")
 def normalize_latlon(spark, sf):
-    raw = view(spark, sf, "raw_manifest").where(geo.has_valid_latlon("latitude", "longitude"))
-    rows = raw.select(
-        "row_idx", geo.has_valid_latlon("latitude", "longitude").alias("valid"),
-        geo.normalize_latlon(F.col("latitude").cast("double"), F.col("longitude").cast("double")).alias("n"))
+    valid = geo.has_valid_latlon("latitude", "longitude")
+    raw = view(spark, sf, "raw_manifest").withColumn("valid", valid)
+    number = lambda c: F.when(F.col("valid"), F.col(c).try_cast("double"))
+    rows = raw.select("row_idx", "valid", geo.normalize_latlon(number("latitude"), number("longitude")).alias("n"))
     back = geo.denormalize_latlon("n.lat_norm", "n.lon_norm")
     return rows.select(
         "row_idx", "valid", F.round("n.lat_norm", 6).alias("lat_norm"), F.round("n.lon_norm", 6).alias("lon_norm"),

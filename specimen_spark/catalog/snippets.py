@@ -74,7 +74,7 @@ _SPECIES_CASES = [
 ]
 
 # CTE ``labelled``: raw rows with canonical species and provenance.
-LABELLED = f"""labelled AS (
+LABELLED = f"""labelled AS MATERIALIZED (
   SELECT * EXCLUDE (rt, st, nt_, rx, sx, nx),
     CASE {' '.join(f'WHEN {c} THEN {v}' for c, v, _ in _SPECIES_CASES)} ELSE '' END AS canonical,
     CASE {' '.join(f"WHEN {c} THEN '{s}'" for c, _, s in _SPECIES_CASES)} ELSE 'missing_species' END AS provenance
@@ -88,7 +88,7 @@ JUDGED = f"""{LABELLED}, claimed AS (
     row_number() OVER (PARTITION BY {nt('image_url')} ORDER BY row_idx) AS claim_no,
     CASE WHEN {nt('record_id')} = '' THEN 1
          ELSE count(*) OVER (PARTITION BY {nt('source')}, {nt('record_id')}) END AS images
-  FROM labelled), judged AS (
+  FROM labelled), judged AS MATERIALIZED (
   SELECT *, {region('lat', 'lon')} AS region,
     CASE WHEN url = '' THEN 'missing_image_url' WHEN claim_no > 1 THEN 'duplicate_image_url'
          WHEN {nt('family')} <> '' AND lower({nt('family')}) <> 'nymphalidae' THEN 'non_nymphalidae_family'
@@ -99,7 +99,7 @@ JUDGED = f"""{LABELLED}, claimed AS (
          WHEN canonical = '' THEN 'missing_species_label' END AS reason
   FROM claimed)"""
 
-CLEANED = f"""{JUDGED}, cleaned AS (
+CLEANED = f"""{JUDGED}, cleaned AS MATERIALIZED (
   SELECT row_idx, {nt('source')} AS source, {nt('record_id')} AS record_id, {nt('media_id')} AS media_id,
     {nt('source')} || ':' || {nt('record_id')} AS specimen_key, CAST(images AS BIGINT) AS record_image_count,
     'Nymphalidae' AS family, CASE WHEN hint <> '' THEN hint ELSE split_part(canonical, ' ', 1) END AS genus,

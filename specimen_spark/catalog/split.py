@@ -75,10 +75,9 @@ def partition_by_weight(spark, sf):
     return split.partition_by_weight(view(spark, sf, "raw_manifest"), [3, 2, 1], 42, ["row_idx"]).select("row_idx", "part")
 
 
-@query("G8_assign_shard", "SELECT row_idx, CAST((row_idx - 1) % 16 AS INT) AS shard FROM {raw_manifest} WHERE row_idx > 0")
+@query("G8_assign_shard", "SELECT row_idx, CAST((row_idx - 1) % 16 AS INT) AS shard FROM {raw_manifest}")
 def assign_shard(spark, sf):
-    raw = view(spark, sf, "raw_manifest").where("row_idx > 0")
-    return split.assign_shard(raw, 16, row="row_idx").select("row_idx", "shard")
+    return split.assign_shard(view(spark, sf, "raw_manifest"), 16, row="row_idx").select("row_idx", "shard")
 
 
 _BUCKETS = """tagged AS (

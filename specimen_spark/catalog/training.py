@@ -9,7 +9,7 @@ from specimen_spark.plans import summaries
 
 
 def _vocab(spark, sf):
-    """Names of the ten score classes that occur as target, from the scores themselves."""
+    """Names of the score classes, from the scores themselves."""
     ids = view(spark, sf, "scores").select("species_id").distinct()
     return ids.withColumn("species", F.concat(F.lit("name_"), F.col("species_id").cast("string")))
 

@@ -137,7 +137,7 @@ UNION SELECT DISTINCT concat('/data/images/', CAST(o_orderkey % 900 AS STRING),
     "outputs": """
 SELECT concat('shard_', CAST(l_linenumber AS STRING), '/images/', CASE l_returnflag WHEN 'A' THEN 'gbif' ELSE 'idigbio' END, '_',
   CAST(l_orderkey AS STRING), '_', lpad(CAST(l_orderkey * CASE WHEN l_linenumber = 3 THEN 3 ELSE 1 END AS STRING), 12, '0'), '.jpg') AS path
-FROM {lineitem} l WHERE l_returnflag <> 'R'""",
+FROM {lineitem} l""",
     "source_rows": """
 SELECT o_orderkey AS source_row_index, CASE o_custkey % 2 WHEN 0 THEN 'gbif' ELSE 'idigbio' END AS source,
   CAST(o_orderkey AS STRING) AS record_id, o_orderpriority AS species,
@@ -151,7 +151,7 @@ FROM {orders} o""",
 SPARK_ONLY = {
     "scores": """
 SELECT vec_id AS example_id, label AS target, CAST(k AS INT) AS species_id, CAST(v AS DOUBLE) * 10 AS logit
-FROM {embeddings} LATERAL VIEW posexplode(slice(embedding, 1, 10)) t AS k, v""",
+FROM {embeddings} LATERAL VIEW posexplode(embedding) t AS k, v""",
     "pixels": """
 SELECT vec_id, k AS pos, CAST(least(greatest(floor((CAST(v AS DOUBLE) + 0.5) * 255), 0), 255) AS INT) AS level
 FROM {embeddings} LATERAL VIEW posexplode(embedding) t AS k, v""",
@@ -159,7 +159,7 @@ FROM {embeddings} LATERAL VIEW posexplode(embedding) t AS k, v""",
 DUCK_ONLY = {
     "scores": """
 SELECT vec_id AS example_id, label AS target, k AS species_id, CAST(embedding[k + 1] AS DOUBLE) * 10 AS logit
-FROM {embeddings} e, (SELECT CAST(range AS INT) AS k FROM range(10)) r""",
+FROM {embeddings} e, (SELECT CAST(range AS INT) AS k FROM range(64)) r""",
     "pixels": """
 SELECT vec_id, k AS pos, CAST(least(greatest(floor((CAST(embedding[k + 1] AS DOUBLE) + 0.5) * 255), 0), 255) AS INT) AS level
 FROM {embeddings} e, (SELECT CAST(range AS INT) AS k FROM range(64)) r""",

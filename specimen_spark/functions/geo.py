@@ -82,7 +82,7 @@ def finite_pair(lat, lon) -> Column:
 
 
 def _clamp(c: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), c))
+    return F.when(c.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), c)))
 
 
 def normalize_latlon(lat, lon, bounds=NORMALIZE_BOUNDS, clamp: bool = True) -> Column:
