@@ -72,29 +72,24 @@ def test_rounding_is_half_even(spark):
     assert (got["left"], got["right"]) == (8, 17)
 
 
-def sizes(n, val, test):
-    """Direct reading of the split rule."""
-    if n <= 3:
-        return [(0, 0, 0), (1, 0, 0), (1, 1, 0), (1, 1, 1)][max(n, 0)]
-    v, t = max(1, round(n * val)), max(1, round(n * test))
-    if n - v - t <= 0:
-        extra = 1 - (n - v - t)
-        if t >= v and t > 1:
-            t -= extra
-        else:
-            v = max(1, v - extra)
-    if n - v - t <= 0:
-        left = n - max(1, n - 2)
-        v = max(1, left // 2)
-        t = left - v
-    return n - v - t, v, t
+# Worked out by hand: (groups, val share, test share) -> train, val, test.
+SIZES = {
+    (0, 0.1, 0.1): (0, 0, 0), (1, 0.1, 0.1): (1, 0, 0), (2, 0.1, 0.1): (1, 1, 0), (3, 0.1, 0.1): (1, 1, 1), (4, 0.1, 0.1): (2, 1, 1),
+    (10, 0.1, 0.1): (8, 1, 1), (25, 0.1, 0.1): (21, 2, 2), (35, 0.1, 0.1): (27, 4, 4), (101, 0.1, 0.1): (81, 10, 10),
+    (4, 0.4, 0.5): (1, 2, 1), (5, 0.4, 0.5): (1, 2, 2), (6, 0.4, 0.5): (1, 2, 3), (10, 0.4, 0.5): (1, 4, 5),
+    (4, 0.5, 0.5): (1, 2, 1), (5, 0.5, 0.5): (1, 2, 2), (7, 0.5, 0.5): (1, 4, 2), (10, 0.5, 0.5): (1, 5, 4),
+}
 
 
 def test_split_sizes(spark):
-    numbers_ = [*range(13), 25, 35, 101]
-    for val, test in ((0.1, 0.1), (0.4, 0.5), (0.5, 0.5)):
-        got = column(spark, numbers_, lambda c: split.split_sizes(c, val, test), "int")
-        assert [tuple(r) for r in got] == [sizes(n, val, test) for n in numbers_]
+    for (n, val, test), want in SIZES.items():
+        assert tuple(column(spark, [n], lambda c: split.split_sizes(c, val, test), "int")[0]) == want, (n, val, test)
+
+
+def test_split_sizes_always_add_up(spark):
+    for val, test in ((0.1, 0.1), (0.3, 0.6), (0.45, 0.45), (0.9, 0.9)):
+        for n, got in enumerate(column(spark, list(range(60)), lambda c: split.split_sizes(c, val, test), "int")):
+            assert sum(got) == n and min(got) >= 0 and (n == 0 or got["train"] >= 1)
 
 
 def test_partition_counts(spark):

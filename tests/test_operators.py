@@ -4,6 +4,8 @@ import random
 import struct
 import zlib
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,35 +120,125 @@ def test_nearest_matches_brute_force(spark):
         assert got[n] == f"u{want[0]}"
 
 
-def test_diverse_selection_matches_a_loop(spark):
-    rng = random.Random(3)
-    rows = []
-    for request in range(3):
-        for c in range(6):
-            angle = rng.random()
-            rows.append((request, c, rng.random() * (0.3 if request == 2 else 1), rng.random() * 0.3, [angle, 1 - angle]))
-    df = spark.createDataFrame(rows, "request int, c int, quality_score double, foreground_luminance double, embedding array<double>")
-    got = {}
-    for r in select.diverse_select(df, "request", "c", 3, 0.5, 0.35, 0.1).orderBy("pick").collect():
-        got.setdefault(r.request, []).append(r.c)
-    for request in range(3):
-        pool = sorted([r for r in rows if r[0] == request], key=lambda r: -r[2])
-        good = [r for r in pool if r[2] >= 0.35 and r[3] >= 0.1]
-        left, chosen = (good if len(good) >= 3 else pool), []
-
-        def unit(v):
-            size = sum(x * x for x in v) ** 0.5
-            return [x / size for x in v]
-
-        while left and len(chosen) < 3:
-            def value(r):
-                dark = 0.08 * max(0.1 - r[3], 0) / 0.1
-                near = max((sum(a * b for a, b in zip(unit(r[4]), unit(s[4]))) for s in chosen), default=0)
-                return r[2] - (0.5 * near if chosen else 0) - dark
-            best = max(left, key=value)
-            chosen.append(best)
-            left = [r for r in left if r is not best]
-        assert got[request] == [r[1] for r in chosen]
+def test_masks_pair_by_path_and_size(spark):
+    def table(rows):
+        return spark.createDataFrame([(p, h, 2, 1, bytearray(b"\1" * 2 * h)) for p, h in rows], "path string, height int, width int, nChannels int, data binary")
+
+    pictures, masks = table([("i/a/x.png", 2), ("i/b/x.png", 3), ("i/c.png", 2)]), table([("m/a/x.tif", 2), ("m/b/x.tif", 2)])
+    got = {r.path: (r.found, r.reason) for r in images.mask_metrics(pictures, masks, "i", "m").collect()}
+    assert got == {"i/a/x.png": (True, None), "i/b/x.png": (False, "size_mismatch"), "i/c.png": (False, "missing_mask")}
+
+
+def test_every_diverse_pick_beats_what_is_left(spark):
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame({
+        "request": np.repeat([0, 1, 2], 6), "c": np.tile(np.arange(6), 3), "quality_score": rng.random(18) * np.repeat([1, 1, 0.3], 6),
+        "foreground_luminance": rng.random(18) * 0.3, "angle": rng.random(18)})
+    frame["embedding"] = [[a, 1 - a] for a in frame.pop("angle")]
+    picks = select.diverse_select(spark.createDataFrame(frame), "request", "c", 3, 0.5, 0.35, 0.1).toPandas()
+    for request, pool in frame.groupby("request"):
+        chosen = picks[picks.request == request].sort_values("pick").c.tolist()
+        assert len(set(chosen)) == 3
+        pool = pool.set_index("c")
+        good = pool[(pool.quality_score >= 0.35) & (pool.foreground_luminance >= 0.1)]
+        pool = good if len(good) >= 3 else pool
+        vectors = np.stack(pool.embedding)
+        units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        cosines = pd.DataFrame(units @ units.T, pool.index, pool.index)
+        plain = pool.quality_score - 0.8 * (0.1 - pool.foreground_luminance).clip(lower=0)
+        for n, pick in enumerate(chosen):
+            worth = plain - (0.5 * cosines[chosen[:n]].max(axis=1) if n else 0)
+            assert worth[pick] >= worth.drop(chosen[:n]).max() - 1e-12
+
+
+def test_ranks_keep_every_row(spark):
+    """Null groups, null and NaN values: as many rows come out as went in, nulls first, NaN last."""
+    nan = float("nan")
+    rows = [(1, "a", 1.0), (2, "a", None), (3, "a", nan), (4, None, 2.0), (5, None, None), (6, "b", 1e300), (7, "b", -1e300), (8, "a", 1.0)]
+    df = spark.createDataFrame(rows, "i int, g string, x double")
+    got = {r.i: (r.r, r.n) for r in keyed.number_rank(df, ["g"], "x", ["i"], "r", "n").collect()}
+    assert got == {2: (1, 4), 1: (2, 4), 8: (3, 4), 3: (4, 4), 5: (1, 2), 4: (2, 2), 7: (1, 2), 6: (2, 2)}
+    assert keyed.hash_rank(df, ["g"], ["x"], 1, "r").count() == 8
+    assert keyed.with_row_numbers(df, "x", ["i"]).select("source_row_index").distinct().count() == 8
+    assert keyed.number_rank(df.where("false"), ["g"], "x", ["i"], "r").count() == 0
+
+
+def test_no_slice_of_a_rank_is_large(spark):
+    """One outlier and one hot group: slices follow the rows, not the range of values."""
+    df = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, F.col("id") % 7).otherwise(F.lit(99)).alias("g"), F.when(
+        F.col("id") == 5, F.lit(1e18)).otherwise(F.col("id").cast("double")).alias("x"))
+    sizes = []
+    original = keyed.bucketed_rank
+
+    def measured(ranged, *args):
+        sizes.extend(r["count"] for r in ranged.groupBy("__slice").count().collect())
+        return original(ranged, *args)
+
+    keyed.bucketed_rank = measured
+    try:
+        ranked = keyed.sorted_rank(df, ["g"], ["x"], "r", slice_rows=300)
+    finally:
+        keyed.bucketed_rank = original
+    assert sum(sizes) == 60_000 and max(sizes) <= 0.01 * 60_000
+    assert ranked.groupBy("g").agg((F.max("r") == F.count("*")).alias("ok")).where("NOT ok").count() == 0
+
+
+def test_balanced_sample_keeps_the_null_class(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else "a") for i in range(20)], "i int, k string")
+    drawn = split.balanced_sample(df, "k", ["i"], 3, 60)
+    assert drawn.count() == 60 and {r.k for r in drawn.collect()} == {"a", None}
+
+
+def test_names_of_blank_and_repeated_indexes_differ(spark):
+    rows = [(1, "a/x.jpg", "1"), (2, "b/x.jpg", None), (3, "c/x.jpg", ""), (4, "d/x.jpg", "7"), (5, "e/x.jpg", "7"), (6, "f/x.jpg", "7"), (None, "g/y.jpg", "9"), (8, " ", "8")]
+    df = spark.createDataFrame(rows, "i int, path string, idx string")
+    got = {r.path: r.destination_name for r in processed.destination_names_simple(df, "path", "i", "idx").collect()}
+    assert got == {"a/x.jpg": "x.jpg", "b/x.jpg": "x_dup.jpg", "c/x.jpg": "x_dup_2.jpg", "d/x.jpg": "x_7.jpg", "e/x.jpg": "x_7_2.jpg", "f/x.jpg": "x_7_3.jpg",
+                   "g/y.jpg": "y.jpg", " ": None}
+
+
+def test_path_without_an_order_keeps_its_name(spark):
+    df = spark.createDataFrame([(None, "a/x.jpg"), (2, "b/x.jpg")], "i int, path string")
+    assert {r.path: r.name for r in processed.destination_names(df, "path", "i").collect()} == {"a/x.jpg": "x.jpg", "b/x.jpg": "x_001.jpg"}
+
+
+def test_equal_orders_leave_one_first_row(spark):
+    df = spark.createDataFrame([(1, 5, "t"), (2, 5, "t"), (3, 6, "u")], "id int, o int, content string")
+    assert [tuple(r)[:2] for r in dedupe.content_duplicates(df, "content", "id", ["o"]).collect()] == [(1, 2)]
+
+
+def test_manifests_of_unlike_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("source,record_id,image_url\ns1,r1,u1\n")
+    (tmp_path / "b.csv").write_text("image_url,source,record_id\nu2,s2,r2\n")
+    (tmp_path / "c.csv").write_text('source,extra\ns3,"two\nlines"\n')
+    df = manifest.read_manifest(spark, [f"{tmp_path}/*.csv", f"{tmp_path}/a.csv", str(tmp_path)])
+    assert sorted(tuple(r[c] for c in ("source", "record_id", "image_url", "extra")) for r in df.collect()) == [
+        ("s1", "r1", "u1", ""), ("s2", "r2", "u2", ""), ("s3", "", "", "two\nlines")]
+    first = manifest.read_manifest(spark, f"{tmp_path}/*.csv", max_rows=1, order_cols=["source"]).collect()
+    assert [r.source for r in first] == ["s1"]
+    with pytest.raises(ValueError):
+        manifest.read_manifest(spark, f"{tmp_path}/*.csv", max_rows=1)
+    with pytest.raises(FileNotFoundError):
+        manifest.read_manifest(spark, f"{tmp_path}/none*.csv")
+
+
+@pytest.mark.parametrize("max_files", [1, 2, None])
+def test_ingest_does_not_depend_on_batches(spark, tmp_path, max_files):
+    schema = "occurrence_key string, image_url string"
+
+    def land(rows, name):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+
+    def run(name):
+        src = f"{tmp_path}/*" if name == "all" else f"{tmp_path}/{name}"
+        ingest.stream_ingest(ingest.landing_stream(spark, src, schema, max_files=max_files), f"{tmp_path}_out", f"{tmp_path}_ledger", f"{tmp_path}_cp").awaitTermination()
+        return sorted(r.image_url for r in spark.read.parquet(f"{tmp_path}_out").collect())
+
+    for i in range(3):
+        land([("k1", f"u{i}"), (f"other{i}", f"v{i}"), (None, f"w{i}")], "in")
+    assert run("in") == ["u0", "u1", "u2", "v0", "v1", "v2", "w0", "w1", "w2"]
+    land([("k1", "late"), ("new", "n")], "in")
+    assert run("in") == ["n", "u0", "u1", "u2", "v0", "v1", "v2", "w0", "w1", "w2"]
 
 
 def test_no_group_is_in_two_splits(spark):
@@ -201,7 +293,7 @@ def test_image_files(spark, tmp_path):
     assert (stats.images_used, stats.total_pixels, stats.mean_r, stats.mean_g) == (1, 32, 1.0, 0.0)
     assert abs(stats.mean_b - 0.2) < 1e-9
     assert sorted(r.decodable for r in images.image_profile(pictures, 4).collect()) == [False, True]
-    mask = images.mask_metrics(pictures, image_files.read_images(spark, str(tmp_path / "m"))).first()
+    mask = images.mask_metrics(pictures, image_files.read_images(spark, str(tmp_path / "m")), str(tmp_path / "i"), str(tmp_path / "m")).where("found").first()
     assert (mask.x0, mask.y0, mask.x1, mask.y1, mask.area) == (2, 1, 6, 4, 12)
     assert (mask.symmetry_score, mask.wing_balance_ratio, mask.mean_saturation) == (1.0, 1.0, 255.0)
     files = image_files.list_files(spark, str(tmp_path / "i"), "*.png")
