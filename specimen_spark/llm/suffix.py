@@ -34,8 +34,8 @@ from specimen_spark.llm.batches import arrow_schema, block_of
 
 LENGTH, Q = 50, 24
 SPAN = LENGTH - Q + 1  # q-grams in a string, so at most so many strings have one anchor
-BLOCK_BYTES = 16 << 20
-CHUNK = 1 << 20
+BLOCK_BYTES = 8 << 20
+CHUNK = 1 << 18
 HASH_BYTES = 6
 K = np.uint64(0x9E3779B97F4A7C15)
 LOW = np.uint64(0xFFFFFFFF)
@@ -95,7 +95,8 @@ class Block:
             key = np.minimum(key[:len(key) - (SPAN - width)], key[SPAN - width:])
             place = (key & LOW).astype(np.int64)
             string = np.arange(low, high)
-            doc = np.searchsorted(self.ends, string, side="right")
+            ended = self.ends[np.searchsorted(self.ends, low, side="right"):np.searchsorted(self.ends, high, side="left")]
+            doc = np.searchsorted(self.ends, low, side="right") + np.cumsum(np.bincount(ended - low, minlength=high - low))
             inside = np.flatnonzero((string + LENGTH <= self.ends[doc]) & self.known[doc])
             if not len(inside):
                 continue
@@ -110,7 +111,8 @@ class Block:
 
 def bucket_slices(hashes: np.ndarray, n_buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """Sorted distinct truncated hashes of each bucket."""
-    short = np.unique(hashes >> np.uint64(64 - 8 * HASH_BYTES))
+    short = np.sort(hashes >> np.uint64(64 - 8 * HASH_BYTES))
+    short = short[np.append(True, short[1:] != short[:-1])] if len(short) else short
     bucket = bucket_numbers(short, n_buckets)
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
@@ -272,7 +274,7 @@ def find_strings(table: pa.Table) -> pa.Table:
                     schema=pa.schema([("block", pa.int32()), ("found", pa.binary())]))
 
 
-def cut_texts(out: pa.Schema, columns: list[str]):
+def cut_texts(out: pa.Schema, columns: list[str], as_text: bool):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return out.empty_table()
@@ -294,6 +296,8 @@ def cut_texts(out: pa.Schema, columns: list[str]):
             cuts = [low, *inner, high]
             spans = [(a - low, b - a) for a, b in zip(cuts, cuts[1:]) if b > a and gone[a]]
             kept = b"".join(data[a:b].tobytes() for a, b in zip(cuts, cuts[1:]) if b > a and not gone[a])
+            if as_text:
+                kept = kept.decode(errors="ignore")
             rows.append((kept, high - low, sum(n for _, n in spans), len(spans), [{"start": s, "length": n} for s, n in spans]))
         extra = [pa.array(c, out.field(len(columns) + i).type) for i, c in enumerate(zip(*rows))]
         return pa.Table.from_arrays([*[block.table[c].cast(out.field(i).type) for i, c in enumerate(columns)], *extra], schema=out)
@@ -301,12 +305,13 @@ def cut_texts(out: pa.Schema, columns: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs (doc_id, text and any others) with kept (bytes), n_bytes, n_removed, n_spans and spans.
+def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, as_text: bool = False) -> DataFrame:
+    """The rows of docs (doc_id, text and any others) with kept, n_bytes, n_removed, n_spans and spans.
 
-    Columns of those names in ``docs`` are replaced.
+    ``kept`` holds bytes, or text without the characters that were cut through. Columns of those names in ``docs``
+    are replaced.
     """
-    added = "kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start: bigint, length: bigint>>"
+    added = f"kept {'string' if as_text else 'binary'}, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start: bigint, length: bigint>>"
     taken = {*StructType.fromDDL(added).names, "block"}
     docs = docs.select(*[c for c in docs.columns if c not in taken]).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     columns = docs.columns
@@ -320,4 +325,4 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     strings = by_block.cogroup(shared.groupBy("block")).applyInArrow(send_strings(n_blocks), STRINGS)
     found = strings.groupBy("bucket").applyInArrow(find_strings, FOUND)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + added
-    return by_block.cogroup(found.groupBy("block")).applyInArrow(cut_texts(arrow_schema(schema), columns), schema)
+    return by_block.cogroup(found.groupBy("block")).applyInArrow(cut_texts(arrow_schema(schema), columns, as_text), schema)
