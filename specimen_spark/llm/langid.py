@@ -68,7 +68,8 @@ class WordFeatures:
         grams, owners, rolling = [], [], np.zeros(len(codes), np.uint64)
         for order in ORDERS:
             shifted = np.zeros_like(codes)
-            shifted[:len(codes) - order + 1] = codes[order - 1:]
+            n = max(0, len(codes) - order + 1)
+            shifted[:n] = codes[order - 1:order - 1 + n]
             rolling = (rolling * np.uint64(0x100000001B3)) ^ (shifted + np.uint64(order))
             inside = left >= order
             mixed = (rolling[inside] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
