@@ -376,6 +376,17 @@ def shard_totals(spark, sf):
     return summaries.shard_totals(view(spark, sf, "shard_progress"))
 
 
+@query("F15_failing_shards", """SELECT 'incomplete' AS section, shard FROM {shard_progress} WHERE stage <> 'complete'
+UNION ALL SELECT 'missing_output', shard FROM {shard_progress} WHERE NOT (processed_csv_exists AND summary_json_exists)""")
+def failing_shards(spark, sf):
+    """The flags are found again from the paths of the files they stand for."""
+    known = view(spark, sf, "shard_progress")
+    path = lambda name: F.concat(F.lit("/out/"), "shard", F.lit(f"/{name}"))
+    listing = known.where("processed_csv_exists").select(path("processed.csv").alias("path")).union(
+        known.where("summary_json_exists").select(path("summary.json")))
+    return summaries.failing_shards(summaries.with_listed_outputs(known, listing))
+
+
 @query("F21_preflight_paths", """WITH tries AS (
   SELECT source_row_index, '/data/set/' || processed_image_path AS path FROM {processed_manifest} WHERE processed_image_path <> ''
   UNION ALL SELECT source_row_index, '/data/' || processed_image_path FROM {processed_manifest} WHERE processed_image_path <> ''),

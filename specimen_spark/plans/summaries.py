@@ -222,6 +222,26 @@ def check_shards(progress: DataFrame, expected: int = 0) -> DataFrame:
     return report if not expected else report.withColumn("expected_shards", F.lit(expected))
 
 
+def with_listed_outputs(progress: DataFrame, listing: DataFrame, files=("processed.csv", "summary.json")) -> DataFrame:
+    """``shard, stage`` rows with the flags ``check_shards`` reads, from a listing of output files.
+
+    ``listing`` has a column ``path``; a shard's outputs are ``<shard>/<file>``, below any folder.
+    """
+    name, shard = F.regexp_extract("path", r"([^/]+)$", 1), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
+    found = listing.select(shard.alias("shard"), name.alias("file")).where(F.col("file").isin(*files))
+    flags = found.groupBy("shard").agg(*[F.max(F.col("file") == f).alias(f"__{i}") for i, f in enumerate(files)])
+    joined = progress.select("shard", "stage").join(flags, "shard", "left")
+    return joined.select("shard", "stage", *[
+        F.coalesce(F.col(f"__{i}"), F.lit(False)).alias(flag) for i, flag in enumerate(("processed_csv_exists", "summary_json_exists"))])
+
+
+def failing_shards(progress: DataFrame) -> DataFrame:
+    """``section, shard``: names of the incomplete shards and of those that lack an output."""
+    report = check_shards(progress)
+    return report.where(~F.col("complete")).select(F.lit("incomplete").alias("section"), "shard").unionByName(
+        report.where(~F.col("outputs_present")).select(F.lit("missing_output").alias("section"), "shard"))
+
+
 def shard_totals(progress: DataFrame) -> DataFrame:
     report = check_shards(progress)
     return report.agg(
