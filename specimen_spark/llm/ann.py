@@ -12,8 +12,9 @@ smallest one that holds ``target`` of the true neighbours of sampled queries ins
 Lists that are hot are split by hash on both sides, vectors and queries.
 
 Defined cases: vectors that are null, zero, or hold a null or non-finite component, rows without an id, and vectors
-that are not as long as most take no part. Rows that repeat the id of a query are the query's own. Ties go to the
-smaller id.
+that are not as long as most take no part. An id asks once: of the rows that share a query id, the vector that sorts
+first asks. All of them are the query's own and never its neighbours, nor do they count among the rows it looks at.
+Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -68,9 +69,10 @@ def fit(rows: DataFrame, k: int, sample_rows: int, target: float, seed: int) ->
     size = rows.agg(F.count("*").alias("n"), F.max(norm).alias("m")).first()
     n = size["n"]
     step = max(1, n // sample_rows)
-    sample = np.array([r["v"] for r in rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(step)) == 0).orderBy("vec_id").select("v").collect()])
-    if len(sample) == 0:
-        sample = np.array([r["v"] for r in rows.orderBy("vec_id").limit(sample_rows).select("v").collect()])
+    taken = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(step)) == 0).orderBy("vec_id").select("vec_id", "v").collect()
+    if not taken:
+        taken = rows.orderBy("vec_id").limit(sample_rows).select("vec_id", "v").collect()
+    ids, sample = np.array([r["vec_id"] for r in taken]), np.array([r["v"] for r in taken])
     rng = np.random.default_rng(seed)
     x = extend(sample, length := float(np.sqrt(size["m"])))
     rotation, _ = np.linalg.qr(rng.standard_normal((x.shape[1], x.shape[1])))
@@ -86,7 +88,7 @@ def fit(rows: DataFrame, k: int, sample_rows: int, target: float, seed: int) ->
     asked = rng.choice(len(x), min(256, len(x)), replace=False)
     queries = np.hstack([sample[asked], np.zeros((len(asked), 1))])
     inner = queries @ x.T
-    inner[np.arange(len(asked)), asked] = -np.inf
+    inner[ids[asked][:, None] == ids] = -np.inf
     true = np.argsort(-inner, axis=1)[:, :min(k, max(1, len(x) - 1))]
     order = nearest(queries, centroids)
     place = np.argsort(order, axis=1)
@@ -95,15 +97,19 @@ def fit(rows: DataFrame, k: int, sample_rows: int, target: float, seed: int) ->
     return Index(centroids, rotation, length, probes)
 
 
-def scan(queries: np.ndarray, vectors: np.ndarray, k: int, confidence: float = 2.1) -> list[np.ndarray]:
-    """Candidates left for each query (rotated, as are the vectors); blocks of columns, then tests."""
+def scan(queries: np.ndarray, vectors: np.ndarray, k: int, own: np.ndarray, confidence: float = 2.1) -> list[np.ndarray]:
+    """Candidates left for each query (rotated, as are the vectors); blocks of columns, then tests.
+
+    ``own`` has the first row that is the query's own and the one after the last; they set no bound.
+    """
     dims = vectors.shape[1]
     columns = [np.ascontiguousarray(vectors[:, a:a + BLOCK]) for a in range(0, dims, BLOCK)]
     left = []
-    for q in queries:
-        first = ((vectors[:4 * k] - q) ** 2).sum(axis=1)
+    for q, (low, high) in zip(queries, own):
+        alive = np.concatenate([np.arange(low), np.arange(high, len(vectors))])
+        first = ((vectors[alive[:4 * k]] - q) ** 2).sum(axis=1)
         bound = np.partition(first, k - 1)[k - 1] * (1 + 1e-5) if len(first) >= k else np.inf
-        alive, partial, done = np.arange(len(vectors)), np.zeros(len(vectors)), 0
+        partial, done = np.zeros(len(alive)), 0
         for column in columns:
             width = column.shape[1]
             partial = partial + ((column[alive] - q[done:done + width]) ** 2).sum(axis=1)
@@ -140,7 +146,6 @@ def search(vectors: DataFrame, k: int = 20, query_step: int = 20, sample_rows: i
     indexed = cut_lineage(rows.mapInArrow(assign, placed))
     sizes = {r["list"]: r["n"] for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # one per list
     list_sizes = np.array([sizes.get(i, 0) for i in range(len(index.centroids))])
-    wanted = 4 * k + 1  # a query goes on to further lists until it has seen that many rows
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +154,8 @@ def search(vectors: DataFrame, k: int = 20, query_step: int = 20, sample_rows: i
             v = np.array(batch["v"].to_pylist())
             order = nearest(np.hstack([v, np.zeros((len(v), 1))]), shared.value.centroids)
             seen = np.cumsum(list_sizes[order], axis=1)
-            take = np.maximum(shared.value.probes, (seen < wanted).sum(axis=1) + 1)
+            wanted = 4 * k + batch["own"].to_numpy()  # a query goes on to further lists until it has seen that many rows
+            take = np.maximum(shared.value.probes, (seen < wanted[:, None]).sum(axis=1) + 1)
             take = np.minimum(take, order.shape[1])
             for start in range(0, len(v), 256):
                 own = np.concatenate([order[i, :take[i]] for i in range(start, min(start + 256, len(v)))]).astype(np.int32)
@@ -157,8 +163,9 @@ def search(vectors: DataFrame, k: int = 20, query_step: int = 20, sample_rows: i
                 part = batch.take(pa.array(who))
                 yield pa.RecordBatch.from_arrays([pa.array(own), part["vec_id"], part["v"].cast(placed_arrow.field(2).type)], schema=placed_arrow)
 
-    queries = indexed.where(F.col("vec_id") % query_step == 0)
-    probing = cut_lineage(queries.select("vec_id", "v").repartition(max(1, -(-queries.count() // 2000)), "vec_id").mapInArrow(probe, placed))
+    asking = indexed.where(F.col("vec_id") % query_step == 0).groupBy("vec_id")
+    queries = cut_lineage(asking.agg(F.min("v").alias("v"), F.count("*").alias("own")))
+    probing = cut_lineage(queries.repartition(max(1, -(-queries.count() // 2000)), "vec_id").mapInArrow(probe, placed))
     asked = {r["list"]: r["n"] for r in probing.groupBy("list").agg(F.count("*").alias("n")).collect()}
     parts = spark.createDataFrame(
         [(i, -(-sizes[i] // list_rows), -(-asked[i] // list_rows)) for i in sizes if i in asked], "list int, nv int, nq int")
@@ -180,8 +187,8 @@ def search(vectors: DataFrame, k: int = 20, query_step: int = 20, sample_rows: i
         turned = (extend(v, shared.value.length) @ rotation).astype(np.float32)
         asked_turned = (np.hstack([q, np.zeros((len(q), 1))]) @ rotation).astype(np.float32)
         out = []
-        for i, alive in enumerate(scan(asked_turned, turned, k + 1)):
-            alive = alive[ids[alive] != query_ids[i]]
+        own = np.stack([np.searchsorted(ids, query_ids, side) for side in ("left", "right")], axis=1)
+        for i, alive in enumerate(scan(asked_turned, turned, k, own)):
             scores = (v[alive] * q[i]).sum(axis=1)
             best = np.lexsort((ids[alive], -scores))[:k]
             out.append((np.full(len(best), query_ids[i]), ids[alive][best], scores[best]))

@@ -389,6 +389,26 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann.search(vectors.where("false")).count() == 0
 
 
+def test_neighbours_of_repeated_queries(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.standard_normal((300, 8)))]
+    rows += [rows[20]] + [rows[40]] * 2 + [rows[60]] * 150 + [(80, rng.standard_normal(8).tolist())]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.search(vectors, target=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert set(got) == set(range(0, 300, 20))
+    recall = 0
+    for q, found in got.items():
+        asks = np.array(min(v for i, v in rows if i == q))
+        scores = sorted((-float(np.dot(v, asks)), i) for i, v in rows if i != q)
+        assert [n for n, _ in found] == list(range(1, 21)) and q not in {i for _, i in found}
+        if q in (20, 40, 80):  # repeats of 60 are neighbours of their own to other queries
+            assert len({i for _, i in found} - {60}) + sum(i == 60 for _, i in found) == 20
+        recall += len({i for _, i in scores[:20]} & {i for _, i in found}) / len({i for _, i in scores[:20]})
+    assert recall >= 0.9 * len(got)
+
+
 # -- url filters ------------------------------------------------------------------------------------------------
 
 
