@@ -4,8 +4,12 @@ A page's own longest fitting rule decides. A url without a fitting rule takes th
 urls connected with it by redirects (``<meta http-equiv=refresh>`` or rows of ``redirects``) and canonical links.
 If any alias is explicitly allowed, it is allowed; else if any is blocked, it is blocked; else it is allowed.
 
-Defined cases: a url that is null or has no ``://`` has an empty host and path, no rule and no aliases. Fragments
-do not tell aliases apart. Repeated rows get equal verdicts. Of rules of equal length, the smaller action wins
+Every canonical and refresh tag of a page counts. Targets are resolved against the page's url as in RFC 3986: absolute
+only if they start with a scheme, else ``//host``, ``/path``, ``?query``, or relative to the page's directory; dot
+segments are removed.
+
+Defined cases: a url that is null or has no ``://`` has an empty host and path, no rule and no aliases; a target that
+resolves to none (``mailto:``, ``javascript:``) is no link. Fragments do not tell aliases apart. Repeated rows get equal verdicts. Of rules of equal length, the smaller action wins
 (allow before block). Everything is DataFrame operations.
 """
 
@@ -18,10 +22,12 @@ from specimen_spark.llm.components import components
 from specimen_spark.operators.keyed import attach
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-CANONICAL_TAG = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-REFRESH_TAG = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+LINK_TAG, META_TAG = r"(?is)<link\b[^>]*>", r"(?is)<meta\b[^>]*>"
+CANONICAL = r"(?is)[\s\"'/]rel\s*=\s*(?:\"(?:[^\"]*\s)?canonical[\s\"]|'(?:[^']*\s)?canonical[\s']|canonical(?:[\s/>]|$))"
+REFRESH = r"(?is)\bhttp-equiv\s*=\s*[\"']?\s*refresh\b"
+HREF = r"(?is)[\s\"'/]href\s*=\s*[\"']?\s*([^\"'\s>]+)"
+REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)"
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,16 +49,46 @@ def without_fragment(url: Column) -> Column:
     return F.substring_index(url, "#", 1)
 
 
+def without_dots(url: Column) -> Column:
+    """The url with the ``.`` and ``..`` segments of its path removed."""
+    path, segments = F.regexp_extract(url, URL, 2), F.split(F.regexp_extract(url, URL, 2), "/", -1)
+    start = F.array().cast("array<string>")
+
+    def step(kept: Column, segment: Column) -> Column:
+        return F.when(segment == ".", kept).when(segment == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(
+            F.concat(kept, F.array(segment)))
+
+    kept = F.aggregate(F.slice(segments, 2, F.size(segments)), start, step)
+    end = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(start)
+    clean = F.concat(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*", 0), F.lit("/"), F.array_join(F.concat(kept, end), "/"),
+                     F.regexp_extract(url, r"(?s)^.*?://[^?#]*(.*)$", 1))
+    return F.when(path.contains("/."), clean).otherwise(url)
+
+
+def resolve(base: Column, target: Column) -> Column:
+    """The target of a link on the page ``base``."""
+    origin, page = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*", 0), F.regexp_extract(base, r"(?s)^[^?#]*", 0)
+    folder = F.coalesce(F.nullif(F.regexp_extract(base, r"(?s)^.*?://[^/?#]*/(?:[^?#]*/)?", 0), F.lit("")), F.concat(origin, F.lit("/")))
+    return without_dots(
+        F.when(target.rlike(SCHEME), target)
+        .when(F.startswith(target, F.lit("//")), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), target))
+        .when(F.startswith(target, F.lit("/")), F.concat(origin, target))
+        .when(F.startswith(target, F.lit("?")), F.concat(page, target))
+        .when(F.startswith(target, F.lit("#")), F.concat(without_fragment(base), target))
+        .otherwise(F.concat(folder, target)))
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) urls of the canonical link and the refresh of each page; relative targets are resolved."""
-    origin = F.regexp_extract("url", r"(?s)^.*?://[^/?#]*", 0)
-    found = [F.regexp_extract(F.regexp_extract("html", tag, 0), target, 1)
-             for tag, target in ((CANONICAL_TAG, HREF), (REFRESH_TAG, REFRESH_URL))]
-    raw = pages.where("url IS NOT NULL AND html IS NOT NULL").select("url", F.explode(F.array(*found)).alias("to")).where("to <> ''")
-    return raw.select(
-        F.col("url").alias("src"),
-        F.when(F.col("to").contains("://"), F.col("to")).when(F.startswith("to", F.lit("/")), F.concat(origin, "to"))
-        .otherwise(F.concat(origin, F.lit("/"), "to")).alias("dst"))
+    """(src, dst) urls of all canonical links and refreshes of each page; relative targets are resolved."""
+
+    def targets(tag: str, kind: str, target: str) -> Column:
+        tags = F.filter(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda t: t.rlike(kind))
+        return F.transform(tags, lambda t: F.regexp_extract(t, target, 1))
+
+    found = F.concat(targets(LINK_TAG, CANONICAL, HREF), targets(META_TAG, REFRESH, REFRESH_URL))
+    raw = pages.where("url IS NOT NULL AND html IS NOT NULL").select("url", F.explode(found).alias("to")).where("to <> ''")
+    edges = raw.select(F.col("url").alias("src"), resolve(F.col("url"), F.col("to")).alias("dst"))
+    return edges.where(F.col("dst").rlike(SCHEME + "//"))
 
 
 def fitting_rules(places: DataFrame, rules: DataFrame) -> DataFrame:

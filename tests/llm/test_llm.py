@@ -441,6 +441,32 @@ def test_url_filter_matches_sql(spark):
     assert urls.judge_urls(pages_df.where("false"), urls.rule_table(spark, URL_RULES)).count() == 0
 
 
+def test_link_targets_are_resolved(spark):
+    page = "http://h.org/dir/page1?q=1#f"
+    cases = {
+        "//www.net/es/x": "http://www.net/es/x", "page2.html": "http://h.org/dir/page2.html", "/go?next=https://a.net/es/1": "http://h.org/go?next=https://a.net/es/1",
+        "?p=2": "http://h.org/dir/page1?p=2", "../x/./y": "http://h.org/x/y", "../../..": "http://h.org/", "./": "http://h.org/dir/",
+        "HTTPS://a.net/es/../fr/1": "HTTPS://a.net/fr/1", "go?to=http://a.net/../b": "http://h.org/dir/go?to=http://a.net/../b", "mailto:a@b.net": None,
+    }
+    html = "".join(f'<link href="{t}" rel="canonical">' for t in cases)
+    html = "<link rel=canonical><meta http-equiv=refresh content=5>" + html + "<link rel='alternate canonical' href='http://second.org/'>"
+    html += '<link rel="canonical-not" href="http://no.org/"><link rel=stylesheet href="http://no.org/2">'
+    html += "<meta content='0; url=/r1' http-equiv=refresh><meta http-equiv='Refresh' content='1; URL=http://r.org/2'>"
+    pages = spark.createDataFrame([(page, html), ("http://bare.org", "<link rel=canonical href=x>")], "url string, html string")
+    got = {(r.src, r.dst) for r in urls.link_edges(pages).collect()}
+    want = {(page, d) for d in cases.values() if d} | {(page, d) for d in ("http://second.org/", "http://h.org/r1", "http://r.org/2")}
+    assert got == want | {("http://bare.org", "http://bare.org/x")}
+
+
+def test_url_verdicts_follow_resolved_links(spark):
+    rows = [(1, "http://a.org/1", '<link rel="canonical" href="//www.net/es/x">'), (2, "http://b.org/dir/page1", "<link rel=canonical href=page2.html>"),
+            (3, "http://b.org/dir/page2.html", "<meta http-equiv=refresh content='0; url=http://a.net/fr/1'>"),
+            (4, "http://c.org/1", "<link rel=canonical href='/go?next=https://a.net/es/1'>"), (5, "http://b.org/page2.html", "")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    verdicts = {r.page_id: r.verdict for r in urls.judge_urls(pages, urls.rule_table(spark, URL_RULES)).collect()}
+    assert verdicts == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow"}
+
+
 def test_url_filter_runs_no_python(spark):
     plan = QUERIES["op7_url_filters"](spark, SF)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
