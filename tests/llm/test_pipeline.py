@@ -70,3 +70,16 @@ def test_odd_documents_go_through(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() >= 0
         assert stage(spark, docs.where("false"), SF).count() == 0
+
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def test_copies_are_decided_by_row(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (1, a), (None, b), (None, b), (None, b + " more"), (2, a + " more"), (2, c), (None, d), (9, d), (5, None), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.keep_first_of_copies(spark, docs, SF).collect()]
+    kept_b = [t for _, t in got if t and t.startswith("b")]
+    assert len(kept_b) == 1
+    assert sorted(map(str, [x for x in got if x[1] not in kept_b])) == sorted(map(str, [(1, a), (2, c), (9, d), (5, None), (5, None)]))
