@@ -66,6 +66,7 @@ class WordFeatures:
         starts = np.cumsum(self.sizes) - self.sizes
         left = (starts + self.sizes)[word] - np.arange(len(codes))  # characters to the end of the word
         grams, owners, rolling = [], [], np.zeros(len(codes), np.uint64)
+        self.n_single = len(codes)  # the first grams are single characters, which say little
         for order in ORDERS:
             shifted = np.zeros_like(codes)
             n = max(0, len(codes) - order + 1)
@@ -105,9 +106,9 @@ class Model:
         used = scripts[:, :OTHER] / np.maximum(scripts[:, :OTHER].sum(axis=1, keepdims=True), 1)
         self.uses = used >= 0.02
 
-    def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def word_scores(self, words: list[str], features: WordFeatures | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Scores (word x language, the best one 0) and letters of each word."""
-        features, n = WordFeatures(words), len(words)
+        features, n = features or WordFeatures(words), len(words)
         scores = np.stack([np.bincount(features.owners, weights=self.scores[features.grams, k], minlength=n)
                            for k in range(len(self.languages))], axis=1)
         scores[features.letters == 0] = 0
@@ -116,6 +117,18 @@ class Model:
         return (scores - scores.max(axis=1, keepdims=True)).astype(np.float32), features.letters
 
 
+    def fitting(self, features: WordFeatures) -> np.ndarray:
+        """Whether each word (x language) has a script of the language and n-grams likelier in it than by chance."""
+        owners, grams = features.owners[features.n_single:], features.grams[features.n_single:]
+        n = len(features.letters)
+        chance = np.bincount(owners, minlength=n) * -np.log(BUCKETS)
+        evidence = np.stack([np.bincount(owners, weights=self.scores[grams, k], minlength=n) for k in range(len(self.languages))], axis=1)
+        known_scripts = features.scripts[:, :OTHER]
+        # A word without a script of the table is told by its n-grams only.
+        script = (known_scripts.astype(np.int32) @ self.uses.T.astype(np.int32) > 0) | ~known_scripts.any(axis=1)[:, None]
+        return script & (evidence >= chance[:, None])
+
+
 def viterbi(scores: np.ndarray, starts: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
     """Best language of every word; documents (longest first) advance word by word together."""
     n_words, n_langs = scores.shape
@@ -144,14 +157,15 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, sizes: np.ndarray, penalty:
 class Labeller:
     """Labels texts with a model; keeps scores of words it has seen."""
 
-    def __init__(self, model: Model, penalty: float):
-        self.model, self.penalty = model, penalty
+    def __init__(self, model: Model, penalty: float, judges: bool = False):
+        self.model, self.penalty, self.judges = model, penalty, judges
         self.reset()
 
     def reset(self) -> None:
         self.index: dict[str, int] = {}
         self.scores = np.zeros((0, len(self.model.languages)), np.float32)
         self.letters = np.zeros(0, np.int64)
+        self.fits = np.zeros((0, len(self.model.languages)), bool)
 
     def lookup(self, words: list[str]) -> np.ndarray:
         known = self.index
@@ -162,24 +176,45 @@ class Labeller:
         new = list({w for w in words if w not in known})
         for word in new:
             known[word] = len(known)
-        scores, letters = self.model.word_scores(new)
+        features = WordFeatures(new)
+        scores, letters = self.model.word_scores(new, features)
+        if self.judges:
+            self.fits = np.concatenate([self.fits, self.model.fitting(features)])
         self.scores, self.letters = np.concatenate([self.scores, scores]), np.concatenate([self.letters, letters])
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
-    def label(self, split: list[list[str]]) -> list[tuple]:
-        """(language, score, words, spans) of each list of words."""
+    def spans(self, split: list[list[str]]) -> tuple | None:
+        """Documents with words, longest first: numbers, sizes, and of every word its document, number and language."""
         if len(self.index) > CACHED_WORDS:
             self.reset()
-        out: list[tuple] = [("und", 0.0, len(words), 0) for words in split]
         order = sorted((i for i, words in enumerate(split) if words), key=lambda i: -len(split[i]))
         if not order or not self.model.languages:
-            return out
+            return None
         sizes = np.array([len(split[i]) for i in order])
         starts = np.cumsum(sizes) - sizes
         ids = self.lookup([w for i in order for w in split[i]])
         labels = viterbi(self.scores[ids], starts, sizes, self.penalty)
+        return order, sizes, np.repeat(np.arange(len(order)), sizes), ids, labels
+
+    def fitting_share(self, split: list[list[str]]) -> list[float]:
+        """Share of the letters of each list of words that fit the language of their span; 0 without letters."""
+        out = [0.0] * len(split)
+        if (found := self.spans(split)) is None:
+            return out
+        order, _, owner, ids, labels = found
+        letters = self.letters[ids]
+        total, fit = (np.bincount(owner, weights=w, minlength=len(order)) for w in (letters, letters * self.fits[ids, labels]))
+        for row, i in enumerate(order):
+            out[i] = float(fit[row] / total[row]) if total[row] else 0.0
+        return out
+
+    def label(self, split: list[list[str]]) -> list[tuple]:
+        """(language, score, words, spans) of each list of words."""
+        out: list[tuple] = [("und", 0.0, len(words), 0) for words in split]
+        if (found := self.spans(split)) is None:
+            return out
+        order, sizes, owner, ids, labels = found
         n_langs = len(self.model.languages)
-        owner = np.repeat(np.arange(len(order)), sizes)
         share = np.bincount(owner * n_langs + labels, weights=self.letters[ids], minlength=len(order) * n_langs).reshape(-1, n_langs)
         changes = np.append(False, (labels[1:] != labels[:-1]) & (owner[1:] == owner[:-1]))
         spans = np.bincount(owner, weights=changes, minlength=len(order)).astype(int) + 1
@@ -253,20 +288,31 @@ def predict(docs: DataFrame, model: Model, penalty: float = 6.0) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, model: Model, least_share: float, penalty: float = 6.0) -> DataFrame:
-    """The rows of docs (text and any others) in which one language has at least ``least_share`` of the letters."""
+    """The rows of docs (text and any others) of whose letters at least ``least_share`` fit the language of their span.
+
+    Letters do not fit if their word is in a script that the language does not use, or its n-grams are less likely in
+    the language than by chance. How many languages a text has does not matter. A model without languages says
+    nothing about a text, so all rows stay.
+    """
+    if not model.languages:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(shared.value, penalty)
+        labeller = Labeller(shared.value, penalty, judges=True)
+
+        def judged(split: list[list[str]]) -> list[bool]:
+            return [share > 0 and share >= least_share for share in labeller.fitting_share(split)]
+
         for batch in batches:
             keep, split, size = [], [], 0
             for text in batch["text"].to_pylist():
                 split.append((text or "").split())
                 size += len(split[-1])
                 if size >= GROUP_WORDS:
-                    keep += [lang != "und" and share >= least_share for lang, share, *_ in labeller.label(split)]
+                    keep += judged(split)
                     split, size = [], 0
-            keep += [lang != "und" and share >= least_share for lang, share, *_ in labeller.label(split)]
+            keep += judged(split)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force, each on its own input."""
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,13 @@ def test_odd_documents_go_through(spark):
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
+def clean_words(lang, seed, n=60):
+    table = pq.read_table(f"{SF}/documents.parquet").to_pydict()
+    texts = [t for t, known in zip(table["text"], table["lang"]) if known == lang and t]
+    words = " ".join(texts).split()
+    return " ".join(words[seed * n:(seed + 1) * n])
+
+
 def test_copies_are_decided_by_row(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
     rows = [(1, a), (1, a), (None, b), (None, b), (None, b + " more"), (2, a + " more"), (2, c), (None, d), (9, d), (5, None), (5, None)]
@@ -83,3 +91,17 @@ def test_copies_are_decided_by_row(spark):
     kept_b = [t for _, t in got if t and t.startswith("b")]
     assert len(kept_b) == 1
     assert sorted(map(str, [x for x in got if x[1] not in kept_b])) == sorted(map(str, [(1, a), (2, c), (9, d), (5, None), (5, None)]))
+
+
+def test_language_stage_without_labels(spark):
+    docs = spark.createDataFrame([(i, clean_words("en", i), None, "s", 1) for i in range(3)], DOCS)
+    assert corpus_pipeline.keep_one_language(spark, docs, SF).count() == 3
+
+
+def test_language_stage_judges_spans(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    langs = sorted(r.lang for r in table.where("lang IS NOT NULL").select("lang").distinct().collect())[:3]
+    mixed = " ".join(clean_words(lang, 1) for lang in langs)
+    odd = [(-1, mixed, None), (-2, "\u6f22\u5b57\u6587\u7ae0 " * 60, None), (-3, "zqxjvk wqzzxj kvxqjz jqzwxv " * 40, None)]
+    docs = table.union(spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in odd], DOCS))
+    assert {r.doc_id for r in corpus_pipeline.keep_one_language(spark, docs, SF).where("doc_id < 0").collect()} == {-1}
