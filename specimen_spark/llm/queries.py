@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specimen_spark.llm import ann, bpe, langid, lm, minhash, packing, quality, suffix, urls, warc
+from specimen_spark.llm import ann, bpe, langid, lm, minhash, packing, quality, sharding, suffix, urls, warc
 from specimen_spark.llm.registry import ORACLES, QUERIES, query, table
 from specimen_spark.session import scratch_path
 
@@ -156,3 +156,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_lm_scores")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents", "doc_id", "text"), langid.fold("doc_id", 10) == 0)
+
+
+@query("op13_sharding")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents", "doc_id", "text"), scratch_path(spark, "shards")
+    sharding.write_shards(docs, target, n_shards=24, seed=20)
+    return sharding.ledger(sharding.read_shards(spark, target, docs.schema))
