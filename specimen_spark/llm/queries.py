@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specimen_spark.llm import ann, bpe, langid, lm, minhash, packing, quality, sharding, suffix, urls, warc
+from specimen_spark.llm import ann, bpe, langid, lm, minhash, packing, quality, sharding, suffix, urls, variants, warc
 from specimen_spark.llm.registry import ORACLES, QUERIES, query, table
 from specimen_spark.session import scratch_path
 
@@ -163,3 +163,46 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, target = table(spark, sf_dir, "documents", "doc_id", "text"), scratch_path(spark, "shards")
     sharding.write_shards(docs, target, n_shards=24, seed=20)
     return sharding.ledger(sharding.read_shards(spark, target, docs.schema))
+
+
+def crc32_sql(data: str) -> str:
+    """DuckDB expression: unsigned crc32 of a text's UTF-8 bytes; needs the table ``crc(steps)`` of ``CRC_SQL`` in scope."""
+    octets = f"list_transform(range(octet_length(encode({data}))), lambda i: ('0x' || substr(hex(encode({data})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1])), 4294967295)"
+
+
+CRC_SQL = """crc AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS steps
+  FROM (SELECT unnest(range(256)) AS i))"""
+
+VARIANTS_SQL = f"""
+WITH RECURSIVE {CRC_SQL},
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents
+), counted AS (SELECT id || ':' || run AS hashed, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL
+), marked AS (SELECT run, n, {crc32_sql("hashed")} AS h FROM counted, crc
+), words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM marked GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5
+), shorter AS (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words)
+), links AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM shorter a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM shorter a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS form, max(near_n) AS form_n FROM links GROUP BY word
+), formed AS (
+  SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), followed AS (
+  SELECT word, word AS root, form AS further FROM formed
+  UNION ALL SELECT f.word, g.word, g.form FROM followed f JOIN formed g ON f.further = g.word
+)
+SELECT word, n, n_near, form, form_n, root FROM formed JOIN (SELECT word, root FROM followed WHERE further IS NULL) USING (word)
+"""
+
+
+@query("op12_spelling_variants", VARIANTS_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents", "doc_id", "text"))
