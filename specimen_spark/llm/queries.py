@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specimen_spark.llm import ann, bpe, langid, lm, minhash, packing, quality, sharding, suffix, urls, variants, warc
+from specimen_spark.llm import ann, bpe, langid, lm, minhash, packing, quality, sharding, suffix, trie, urls, variants, warc
 from specimen_spark.llm.registry import ORACLES, QUERIES, query, table
 from specimen_spark.session import scratch_path
 
@@ -206,3 +206,46 @@ SELECT word, n, n_near, form, form_n, root FROM formed JOIN (SELECT word, root F
 @query("op12_spelling_variants", VARIANTS_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+TRIE_SQL = f"""
+WITH RECURSIVE {CRC_SQL},
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (SELECT conv_id, conv_id - conv_id % 20 AS head, {crc32_sql("conv_id::VARCHAR")} % 4 AS taken FROM (SELECT DISTINCT conv_id FROM turns), crc
+), opened AS (
+  SELECT conv_id, head, taken, least(taken, coalesce(there, 0)) AS opened
+  FROM ids LEFT JOIN (SELECT conv_id AS head, count(*) AS there FROM turns GROUP BY 1) USING (head)
+), rebuilt AS (
+  SELECT o.conv_id, place AS depth, role, text FROM opened o JOIN turns t ON t.conv_id = head WHERE place <= taken
+  UNION ALL SELECT conv_id, place - taken + opened, role, text FROM turns JOIN opened USING (conv_id) WHERE place > taken
+), lists AS (
+  SELECT o.conv_id, count(depth) AS turns, list(md5(length(role) || ':' || role || text) ORDER BY depth) AS steps,
+    list(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) ORDER BY depth) AS words
+  FROM opened o LEFT JOIN rebuilt USING (conv_id) GROUP BY o.conv_id
+), prefixes AS (
+  SELECT conv_id, depth, md5(coalesce(array_to_string(steps[1:depth], ''), '')) AS node, CASE WHEN depth > 0 THEN words[depth] ELSE 0 END AS words, depth = turns AS ended
+  FROM (SELECT *, unnest(range(0, turns + 1)) AS depth FROM lists)
+), nodes AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256
+  FROM prefixes GROUP BY node, depth
+), up AS (
+  SELECT p.node, p.depth, n.node AS below, n.depth AS below_depth, (n.n_convs - 1) * n.words AS saved FROM nodes n JOIN prefixes p ON p.conv_id = n.conv_id AND p.depth <= n.depth
+), children AS (SELECT node, depth, count(*) FILTER (below_depth = depth + 1) AS n_children FROM up GROUP BY node, depth
+), sums AS (
+  SELECT u.node, u.depth, sum(saved) AS saved_tokens, count(*) FILTER (c.n_children = 0) AS n_leaves
+  FROM up u JOIN children c ON c.node = below AND c.depth = below_depth GROUP BY u.node, u.depth
+), parents AS (
+  SELECT u.below AS node, u.below_depth AS depth, n.conv_id AS parent_conv_id FROM up u JOIN nodes n ON n.node = u.node AND n.depth = u.depth WHERE u.depth = u.below_depth - 1
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM nodes JOIN children USING (node, depth) JOIN sums USING (node, depth) LEFT JOIN parents USING (node, depth)
+"""
+
+
+@query("op11_conversation_trie", TRIE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
