@@ -45,10 +45,10 @@ def shuffled(docs: DataFrame, n_shards: int, n_buckets: int, seed: int) -> DataF
     scattered = scatter(docs, n_buckets, seed)
     # Sorted by place, so that a bucket's shuffle starts from the same order whenever it runs.
     buckets = (
-        scattered.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "key")
+        scattered.repartitionById(n_buckets, "bucket").sortWithinPartitions("bucket", "key")
         .groupBy("bucket").agg(F.collect_list("record").alias("records"))
     )
-    starts = bucket_starts(scattered).repartition(n_buckets, "bucket").hint("shuffle_hash")
+    starts = bucket_starts(scattered).repartitionById(n_buckets, "bucket").hint("shuffle_hash")
     mixed = buckets.join(starts, "bucket").select("before", "total", F.posexplode(F.shuffle("records", seed)).alias("at", "record"))
     # Shard s begins at place floor(s * total / n_shards).
     place = mixed.select("record", "total", (F.col("before") + F.col("at")).alias("place"))
