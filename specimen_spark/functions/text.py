@@ -29,14 +29,6 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-_BARE = re.compile(r"Column<'[A-Za-z_][\w.]*'>")
-
-
-def is_bare(c: Column) -> bool:
-    """Whether a column is a plain reference, which costs nothing to repeat."""
-    return _BARE.fullmatch(str(c)) is not None
-
-
 # Unicode white space, and the four separators that text splitting also drops.
 WHITE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
@@ -53,10 +45,7 @@ def _squeezed(text: Column) -> Column:
 
 def normalize_text(c) -> Column:
     """Null becomes blank; runs of Unicode white space become one space."""
-    c = as_column(c)
-    text = F.coalesce(c.cast("string"), F.lit(""))
-    # The lambda of ``let`` is interpreted; plain references go without it and stay in generated code.
-    return _squeezed(text) if is_bare(c) else let(text, _squeezed)
+    return let(F.coalesce(as_column(c).cast("string"), F.lit("")), _squeezed)
 
 
 def blank_to_null(c) -> Column:

@@ -4,8 +4,8 @@
   sends at most one row per key.
 * ``attach`` joins a one-row-per-key table to a row table so that adaptive
   execution can split the partitions of hot keys.
-* ``sorted_rank`` numbers rows exactly inside a group without sorting the
-  group in one task.
+* ``sorted_rank`` and ``hash_rank`` number rows exactly inside a group without
+  sorting the group in one task.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from specimen_spark.session import cut_lineage
 
+# Hexadecimal digits of a digest that tell slices of a rank apart: 4,096 slices a group.
+SLICE_DIGITS = 3
+
 
 def order_struct(order_cols) -> Column:
     """The order columns as one comparable value; a single column stays itself and hashes faster."""
@@ -86,29 +89,48 @@ def bucketed_rank(
 
 
 def sorted_rank(
-    df: DataFrame, group_cols, order_cols, rank: str, total: str | None = None, slice_rows: int = 500_000
+    df: DataFrame, group_cols, order_cols, rank: str, total: str | None = None
 ) -> DataFrame:
-    """1-based exact rank inside each group, in slices of about ``slice_rows`` rows whatever the values are.
-
-    The slices are the partitions of a range partitioning by group and order,
-    so neither a hot group nor an outlier fills one; the input is computed
-    once and stored. Equal values of all ``order_cols`` share a slice.
+    """1-based exact rank inside each group; nulls are a group and a value of their own, and come first.
+
+    One range exchange sorts the rows by group and order, and then a row's rank follows from its position: the low
+    part of ``monotonically_increasing_id`` counts rows inside a partition, and a table of one row per group and
+    partition tells where the group begins there and how many of its rows lie in partitions before. Rows that are
+    equal in all ``order_cols`` keep the order they come in and may lie in several partitions, so neither a hot group,
+    an outlier nor a repeated value fills one. The sorted rows are stored once, since another run might cut them
+    elsewhere.
     """
-    stored = cut_lineage(df)
-    least = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slices = max(least, stored.count() // slice_rows + 1)
-    columns = [F.col(c) if isinstance(c, str) else c for c in (*group_cols, *order_cols)]
-    ranged = cut_lineage(stored.repartitionByRange(slices, *columns).withColumn("__slice", F.spark_partition_id()))
-    return bucketed_rank(ranged, group_cols, ["__slice"], order_cols, rank, total).drop("__slice")
+    group_cols = list(group_cols)
+    order = [F.col(c) if isinstance(c, str) else c for c in (*group_cols, *order_cols)] + [F.col("__tie")]
+    ranged = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*order)
+    placed = ranged.sortWithinPartitions(*order).drop("__tie").withColumn("__at", F.monotonically_increasing_id())
+    placed = cut_lineage(placed.withColumn("__slice", F.shiftright("__at", 33)))
+    keys = [*group_cols, "__slice"]
+    in_group = Window.partitionBy(*(group_cols or [F.lit(0)]))
+    before = in_group.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    runs = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"), F.min("__at").alias("__start"))
+    runs = runs.select(
+        *[F.col(c).alias(f"__of_{c}") for c in keys],
+        (F.coalesce(F.sum("__size").over(before), F.lit(0)) - F.col("__start") + 1).alias("__shift"),
+        *([F.sum("__size").over(in_group).alias(total)] if total else []),
+    )
+    same = [placed[c].eqNullSafe(runs[f"__of_{c}"]) for c in keys]
+    return placed.join(runs, same).select(
+        *df.columns, (F.col("__at") + F.col("__shift")).cast("bigint").alias(rank), *([total] if total else []))
 
 
 def hash_rank(
     df: DataFrame, group_cols, key_cols, seed, rank: str, total: str | None = None
 ) -> DataFrame:
-    """Exact rank in the order of ``md5(seed:key)``."""
+    """Exact rank in the order of ``md5(seed:key)``.
+
+    Digests are spread evenly, so their first digits cut every group into slices of known order without sampling or
+    storing anything: one exchange of the rows, beside counts of the slices. ``df`` runs twice and must give the same
+    rows both times.
+    """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key_cols]))
-    hashed = df.withColumn("__digest", digest)
-    return sorted_rank(hashed, group_cols, ["__digest", *key_cols], rank, total).drop("__digest")
+    hashed = df.withColumn("__digest", digest).withColumn("__slice", F.substring("__digest", 1, SLICE_DIGITS))
+    return bucketed_rank(hashed, group_cols, ["__slice"], ["__digest", *key_cols], rank, total).drop("__digest", "__slice")
 
 
 def number_rank(

@@ -1,5 +1,6 @@
 """Operators on small fixtures: semantics, skew, brute force."""
 
+import hashlib
 import random
 import struct
 import zlib
@@ -164,23 +165,42 @@ def test_ranks_keep_every_row(spark):
 
 
 def test_no_slice_of_a_rank_is_large(spark):
-    """One outlier and one hot group: slices follow the rows, not the range of values."""
+    """An outlier, a hot group and a repeated value: sorted partitions follow the rows, not the values."""
     df = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, F.col("id") % 7).otherwise(F.lit(99)).alias("g"), F.when(
-        F.col("id") == 5, F.lit(1e18)).otherwise(F.col("id").cast("double")).alias("x"))
-    sizes = []
-    original = keyed.bucketed_rank
+        F.col("id") == 5, F.lit(1e18)).when(F.col("id") % 2 == 0, F.lit(3.0)).otherwise(F.col("id").cast("double")).alias("x"))
+    stored = []
+    original, partitions = keyed.cut_lineage, spark.conf.get("spark.sql.shuffle.partitions")
 
-    def measured(ranged, *args):
-        sizes.extend(r["count"] for r in ranged.groupBy("__slice").count().collect())
-        return original(ranged, *args)
+    def measured(placed):
+        stored.append(original(placed))
+        return stored[-1]
 
-    keyed.bucketed_rank = measured
+    keyed.cut_lineage = measured
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        ranked = keyed.sorted_rank(df, ["g"], ["x"], "r", slice_rows=300)
+        ranked = keyed.sorted_rank(df, ["g"], ["x"], "r", "n")
     finally:
-        keyed.bucketed_rank = original
-    assert sum(sizes) == 60_000 and max(sizes) <= 0.01 * 60_000
-    assert ranked.groupBy("g").agg((F.max("r") == F.count("*")).alias("ok")).where("NOT ok").count() == 0
+        keyed.cut_lineage = original
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in stored[0].groupBy("__slice").count().collect()]
+    assert len(stored) == 1 and sum(sizes) == 60_000 and max(sizes) <= 0.03 * 60_000
+    exact = ranked.groupBy("g").agg((F.count_distinct("r") == F.count("*")).alias("one"), (F.max("r") == F.count("*")).alias("all"), (F.max("n") == F.count("*")).alias("n"))
+    assert exact.where("NOT (one AND all AND n)").count() == 0
+    above = ranked.alias("a").join(ranked.alias("b"), F.expr("a.g = b.g AND a.r + 1 = b.r AND a.x > b.x"))
+    assert above.count() == 0
+
+
+def test_hash_rank_moves_rows_once_and_stores_nothing(spark):
+    df = spark.range(30_000).select("id", F.when(F.col("id") % 3 > 0, F.lit("hot")).alias("g"))
+    ranked = keyed.hash_rank(df, ["g"], ["id"], 7, "r", "n")
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and len([x for x in plan.splitlines() if "Exchange hashpartitioning(g" in x and "__slice" in x]) <= 2
+    rows = ranked.collect()
+    for g in ("hot", None):
+        own = sorted((hashlib.md5(f"7:{r.id}".encode()).hexdigest(), r.r, r.n) for r in rows if r.g == g)
+        assert [r for _, r, _ in own] == list(range(1, len(own) + 1)) and {n for _, _, n in own} == {len(own)}
 
 
 def test_balanced_sample_keeps_the_null_class(spark):
