@@ -14,7 +14,7 @@ from specimen_spark.functions.species import group_key
 from specimen_spark.functions.text import (
     blank_to_null, file_name, guess_extension_simple, normalize_text, path_suffix, file_stem, stable_name,
 )
-from specimen_spark.operators.keyed import attach, first_per_key, number_rank
+from specimen_spark.operators.keyed import attach, first_per_key, number_rank, sorted_rank
 from specimen_spark.schemas import optional
 
 GROUP_COLUMNS = ("specimen_key", "record_id", "image_url", "image_path")
@@ -210,37 +210,42 @@ def destination_names(df: DataFrame, path_col: str, order_col: str) -> DataFrame
 
     The first path of a base name keeps it, later ones get ``_001``, ``_002``
     and so on. A suffixed name that is itself the base name of some path is
-    passed over for the next free number.
+    passed over for the next free number; only numbers spelled as these are block.
+
+    The j-th later path takes the j-th free number. A blocked number ``b``, the k-th of its base name, has ``b - k``
+    free numbers before it. So if the blocked and the wanted ones of a base name are sorted together by that count,
+    a wanted one's place is its number, and no list of numbers is gathered.
     """
     paths = df.where(blank_to_null(path_col).isNotNull()).groupBy(F.col(path_col).alias("path")).agg(
         F.min(order_col).alias("__seen")
     ).withColumn("base", file_name("path"))
     ranked = number_rank(paths, ["base"], "__seen", ["path"], "__n")
     firsts = ranked.where(F.col("__n") == 1).select("path", F.col("base").alias("name"))
-    later = ranked.where(F.col("__n") > 1)
-    stem, suffix = file_stem("base"), path_suffix_raw("base")
-    # Base names that look like a numbered variant block that number.
-    taken = paths.select("base").distinct().select(
-        F.concat(F.regexp_extract("base", r"^(.*)_\d{3,}(?:\.[^.]*)?$", 1), path_suffix_raw("base")).alias("root"),
-        F.regexp_extract("base", r"^.*_(\d{3,})(?:\.[^.]*)?$", 1).try_cast("bigint").alias("number"),
-    ).where(F.col("number").isNotNull() & (F.col("number") > 0))
-    # Only look-alikes of a base name that has later paths matter. The j-th
-    # later path takes the j-th free number: j plus the blocked numbers up to it.
-    taken = taken.join(later.select(F.col("base").alias("root")).distinct(), "root", "left_semi")
-    blocked = taken.groupBy("root").agg(F.sort_array(F.collect_set("number")).alias("__blocked"))
-    numbered = later.select("path", "base", (F.col("__n") - 1).alias("__j")).join(
-        blocked.withColumnRenamed("root", "base"), "base", "left"
-    )
-    shifted = F.aggregate(
-        F.coalesce("__blocked", F.array().cast("array<bigint>")), F.col("__j").cast("bigint"),
-        lambda number, block: F.when(block <= number, number + 1).otherwise(number),
-    )
-    width = F.greatest(F.length(shifted.cast("string")), F.lit(3))
-    names = numbered.select("path", F.concat(
-        stem, F.lit("_"), F.lpad(shifted.cast("string"), width, F.lit("0")), suffix).alias("name"))
+    wanted = ranked.where(F.col("__n") > 1).select("base", (F.col("__n") - 1).alias("__free"), F.lit(0).alias("__taken"), "path")
+    blocked = number_rank(_taken_numbers(paths.select("base").distinct()), ["base"], "__number", [], "__k")
+    blocked = attach(blocked, wanted.select("base").distinct(), ["base"], "left_semi").select(
+        "base", (F.col("__number") - F.col("__k")).alias("__free"), F.lit(1).alias("__taken"), F.lit(None).cast("string").alias("path"))
+    merged = sorted_rank(wanted.union(blocked), ["base"], ["__free", "__taken"], "__number").where("__taken = 0")
+    names = merged.select("path", F.concat(
+        file_stem("base"), F.lit("_"), _spelled("__number"), path_suffix_raw("base")).alias("name"))
     return firsts.unionByName(names)
 
 
+def _spelled(number: str):
+    digits = F.col(number).cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(3)), F.lit("0"))
+
+
+def _taken_numbers(bases: DataFrame) -> DataFrame:
+    """(base, __number) of distinct base names that look like a numbered variant of another."""
+    variant = r"^(.*)_(\d{3,})(?:\.[^.]*)?$"
+    taken = bases.select(
+        F.concat(F.regexp_extract("base", variant, 1), path_suffix_raw("base")).alias("root"),
+        F.regexp_extract("base", variant, 2).alias("__digits")
+    ).withColumn("__number", F.col("__digits").try_cast("bigint"))
+    return taken.where((F.col("__number") > 0) & (F.col("__digits") == _spelled("__number"))).select(F.col("root").alias("base"), "__number")
+
+
 def path_suffix_raw(c):
     """File ending as written (case kept)."""
     return F.regexp_extract(F.regexp_replace(file_name(c), r"^\.+", ""), r"(\.[^.]*)$", 1)

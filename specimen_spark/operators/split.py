@@ -23,7 +23,13 @@ SPLITS = ("train", "val", "test")
 
 
 def split_sizes(n, val_fraction: float, test_fraction: float) -> Column:
-    """``struct<train, val, test>`` group counts for ``n`` groups of one species."""
+    """``struct<train, val, test>`` group counts for ``n`` groups of one species.
+
+    Every size is 0 or more and they add up to ``n``. Shares below 0, or above 1 together, are an error; if they
+    are 1 together, one group is still left to train on.
+    """
+    if min(val_fraction, test_fraction) < 0 or val_fraction + test_fraction > 1:
+        raise ValueError(f"val and test shares must be 0 or more and at most 1 together, not {val_fraction} and {test_fraction}")
     n = as_column(n).cast("bigint")
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
 

@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from specimen_spark.functions import geo, media, numbers, quality, species, text
@@ -87,9 +88,12 @@ def test_split_sizes(spark):
 
 
 def test_split_sizes_always_add_up(spark):
-    for val, test in ((0.1, 0.1), (0.3, 0.6), (0.45, 0.45), (0.9, 0.9)):
+    for val, test in ((0.1, 0.1), (0.3, 0.6), (0.6, 0.3), (0.45, 0.45), (0.0, 0.99), (0.5, 0.5), (0.3, 0.7), (0.95, 0.05), (0.0, 1.0), (1.0, 0.0), (0.0, 0.0)):
         for n, got in enumerate(column(spark, list(range(60)), lambda c: split.split_sizes(c, val, test), "int")):
             assert sum(got) == n and min(got) >= 0 and (n == 0 or got["train"] >= 1)
+    for val, test in ((0.9, 0.9), (0.51, 0.5), (-0.1, 0.2), (1.0, 0.1)):
+        with pytest.raises(ValueError, match="shares"):
+            split.split_sizes(F.lit(4), val, test)
 
 
 def test_partition_counts(spark):

@@ -75,6 +75,48 @@ def test_destination_names_skip_taken_numbers(spark):
     assert {got["b/x.jpg"], got["d/x.jpg"]} == {"x_002.jpg", "x_003.jpg"}
 
 
+def plain_names(paths):
+    """Names given one path after another, as the naming says: a base name, else its first number that no name has."""
+    bases = {p.rsplit("/", 1)[-1] for p in paths}
+    used, names = {}, {}
+    for path in dict.fromkeys(paths):
+        base = path.rsplit("/", 1)[-1]
+        stem, dot, end = base.rpartition(".")
+        name, n = base, 0
+        while name in used or (n and name in bases):
+            n += 1
+            name = f"{stem}_{n:03d}{dot}{end}"
+        used[name], names[path] = path, name
+    return names
+
+
+def test_destination_names_match_plain_naming(spark):
+    """Look-alikes with other spellings of a number do not block it; blocked runs, gaps and numbers of four digits."""
+    tails = ["a.jpg", "a_001.jpg", "a_0001.jpg", "a_002.jpg", "a_000.jpg", "a_1000.jpg", "a_01.jpg", "a_999.jpg", "a_004.png", "a_001_001.jpg", "b.jpg", "b_003.jpg"]
+    rng = random.Random(7)
+    paths = [f"{rng.randrange(400)}/{rng.choice(tails)}" for _ in range(1500)] + [f"{k}/a.jpg" for k in range(1100)]
+    df = spark.createDataFrame(list(enumerate(paths)), "i int, path string")
+    assert {r.path: r.name for r in processed.destination_names(df, "path", "i").collect()} == plain_names(paths)
+    few = ["x/a.jpg", "y/a.jpg", "z/a_0001.jpg"]
+    df = spark.createDataFrame(list(enumerate(few)), "i int, path string")
+    assert {r.path: r.name for r in processed.destination_names(df, "path", "i").collect()}["y/a.jpg"] == "a_001.jpg"
+
+
+def test_many_blocked_numbers_of_one_name(spark):
+    """A base name with 100,000 paths and as many blocked numbers: every second number is taken."""
+    n = 100_000
+    wanted = spark.range(n).select(F.col("id").alias("i"), F.concat(F.col("id").cast("string"), F.lit("/a.jpg")).alias("path"))
+    number = (F.col("id") * 2 + 2).cast("string")
+    blocks = spark.range(n).select((F.col("id") + n).alias("i"), F.concat(
+        F.lit("q/a_"), F.lpad(number, F.greatest(F.length(number), F.lit(3)), F.lit("0")), F.lit(".jpg")).alias("path"))
+    names = processed.destination_names(wanted.union(blocks), "path", "i")
+    later = names.where("path LIKE '%/a.jpg' AND path <> '0/a.jpg'").select(
+        F.split("path", "/")[0].cast("int").alias("j"), F.regexp_extract("name", r"_(\d+)\.", 1).cast("int").alias("number"))
+    odd = later.agg(F.count("*").alias("n"), F.count_distinct("number").alias("d"), F.sum((F.col("number") != 2 * F.col("j") - 1).cast("int")).alias("wrong")).first()
+    assert (odd.n, odd.d, odd.wrong) == (n - 1, n - 1, 0)
+    assert names.agg(F.count_distinct("name")).first()[0] == 2 * n
+
+
 def test_ranks_are_exact_in_a_hot_group(spark):
     df = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, F.col("id") % 7).otherwise(F.lit(99)).alias("g"))
     for ranked in (keyed.number_rank(df, ["g"], "id", [], "r", "n"), keyed.hash_rank(df, ["g"], ["id"], 1, "r", "n")):
