@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from specimen_spark.functions.numbers import integer_column
 from specimen_spark.functions.text import blank_to_null, normalize_text
-from specimen_spark.operators.keyed import attach, first_per_key, order_struct
+from specimen_spark.operators.keyed import attach, order_struct, winning_rows
 from specimen_spark.schemas import optional
 from specimen_spark.sources.manifest import union_manifests
 
 
 def dedupe_by_url(df: DataFrame, order_cols) -> DataFrame:
-    """First row per normalised URL; rows without URL are dropped. One aggregate, no join."""
+    """First row per normalised URL; rows without URL are dropped."""
     keyed = df.withColumn("__url", blank_to_null("image_url")).where(F.col("__url").isNotNull())
-    return first_per_key(keyed, ["__url"], order_cols, df.columns).select(*df.columns)
+    return winning_rows(keyed, ["__url"], order_cols).select(*df.columns)
 
 
 def merge_manifests(dfs: dict[str, DataFrame], order_cols) -> tuple[DataFrame, DataFrame]:
@@ -49,7 +49,7 @@ def processed_key(df: DataFrame):
 def dedupe_processed(df: DataFrame, order_cols) -> DataFrame:
     """First row per coalesced key."""
     keyed = df.withColumn("__key", processed_key(df))
-    return first_per_key(keyed, ["__key"], order_cols, df.columns).select(*df.columns)
+    return winning_rows(keyed, ["__key"], order_cols).select(*df.columns)
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from specimen_spark.fixed_values import RECOVERED_CROP
 from specimen_spark.functions.numbers import flag_column, integer_column, parse_int
 from specimen_spark.functions.text import as_column, blank_to_null, normalize_text, source_index_from_path
-from specimen_spark.operators.keyed import attach, last_per_key, order_struct
+from specimen_spark.operators.keyed import attach, order_struct, winning_rows
 from specimen_spark.schemas import optional
 from specimen_spark.sources.pages import specimen_manifest_row
 
@@ -16,7 +16,7 @@ from specimen_spark.sources.pages import specimen_manifest_row
 def join_records_media(records: DataFrame, media: DataFrame, record_order, media_order) -> DataFrame:
     """Media joined to the last record of their uuid; unlinked media and records are dropped."""
     keyed = records.withColumn("record_uuid", blank_to_null("record_uuid")).where(F.col("record_uuid").isNotNull())
-    latest = last_per_key(keyed, ["record_uuid"], record_order)
+    latest = winning_rows(keyed, ["record_uuid"], record_order, last=True)
     latest = latest.drop(*[c for c in record_order if c not in ("record_uuid",)])
     linked = media.withColumn("record_uuid", blank_to_null("record_uuid")).where(F.col("record_uuid").isNotNull())
     joined = attach(linked, latest, ["record_uuid"], how="inner")

@@ -39,6 +39,32 @@ def last_per_key(df: DataFrame, keys, order_cols, columns=None) -> DataFrame:
     return best.select(*keys, "__row.*")
 
 
+def winning_rows(df: DataFrame, keys, order_cols, last: bool = False) -> DataFrame:
+    """Whole rows of ``df`` that come first (or last) of their key; rows without an order come after those with one.
+
+    Late materialisation: only keys and orders are aggregated, by hash, and wide rows move once, unsorted, to a hash
+    join with the winners. The join is on key and order together, so the rows of a hot key spread out. Keys whose
+    best order several rows share are settled by a hash of the row; of rows that are equal throughout one stays.
+    ``df`` runs twice. Null keys are a key.
+    """
+    keys, order_cols = list(keys), list(order_cols)
+    pick, pick_by = (F.max, F.max_by) if last else (F.min, F.min_by)
+    names = [f"__k{i}" for i in range(len(keys))]
+    orders = [f"__o{i}" for i in range(len(order_cols))]
+    narrow = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *[F.col(c).alias(o) for c, o in zip(order_cols, orders)])
+    counted = narrow.groupBy(*names, *orders).agg(F.count(F.lit(1)).alias("__n"))
+    best = counted.groupBy(*names).agg(pick(order_struct(orders)).alias("__best"), pick_by("__n", order_struct(orders)).alias("__n"))
+    best = best.select(*names, F.coalesce("__n", F.lit(2)).alias("__n"), *(
+        [F.col("__best").alias(orders[0])] if len(orders) == 1 else [F.col(f"__best.{o}").alias(o) for o in orders]))
+    same = [df[k].eqNullSafe(best[n]) for k, n in [*zip(keys, names), *zip(order_cols, orders)]]
+    won = df.join(best.hint("shuffle_hash"), same).select(*df.columns, "__n")
+    tied = won.where("__n > 1").drop("__n")
+    tied = tied.withColumn("__row", F.xxhash64(*[F.col(c) for c in df.columns]))
+    settled = tied.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.min("__row").alias("__least"))
+    one = tied.join(settled, [*[tied[k].eqNullSafe(settled[n]) for k, n in zip(keys, names)], tied["__row"] == settled["__least"]])
+    return won.where("__n = 1").drop("__n").union(one.select(*df.columns).distinct())
+
+
 def attach(rows: DataFrame, lookup: DataFrame, keys, how: str = "left") -> DataFrame:
     """Join ``lookup`` (one row per key, usually aggregated) to ``rows`` on ``keys``.
 

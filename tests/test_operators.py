@@ -385,3 +385,22 @@ def test_stream_restart_adds_nothing(spark, tmp_path):
     assert run() == first
     rows.write.mode("append").parquet(landing)
     assert run() == 40 and run() == 40
+
+
+def test_winning_rows(spark):
+    """First and last rows of keys: null keys and orders, ties, rows equal throughout, composite orders; no wide sort."""
+    rows = [("a", 2, 1, "x"), ("a", 1, 5, "y"), ("a", 1, 3, "z"), ("b", 1, 1, "u"), ("b", 1, 1, "u"), ("c", None, 1, "p"), ("c", 7, 1, "q"),
+            ("d", None, None, "r"), (None, 4, 1, "n"), (None, 3, 1, "m"), ("e", 1, 1, "s"), ("e", 1, 1, "t")]
+    df = spark.createDataFrame(rows, "k string, o int, p int, v string")
+    first = sorted((r.k or "", r.v) for r in keyed.winning_rows(df, ["k"], ["o", "p"]).where("k <> 'e' AND k <> 'c' OR k IS NULL").collect())
+    assert first == [("", "m"), ("a", "z"), ("b", "u"), ("d", "r")]
+    single = keyed.winning_rows(df, ["k"], ["o"]).collect()
+    assert len(single) == 6 and {r.k: r.v for r in single if r.k in ("c", "d", None)} == {"c": "q", "d": "r", None: "m"}
+    assert {r.v for r in single if r.k == "a"} <= {"y", "z"} and {r.v for r in single if r.k == "e"} <= {"s", "t"}
+    last = {r.k: r.v for r in keyed.winning_rows(df, ["k"], ["o"], last=True).collect()}
+    assert {k: last[k] for k in ("a", "c", None)} == {"a": "x", "c": "q", None: "n"}
+    assert keyed.winning_rows(df.where("false"), ["k"], ["o"]).count() == 0
+    hot = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), F.col("id").alias("o"))
+    assert keyed.winning_rows(hot, ["k"], ["o"]).where("k = 'hot'").collect()[0].o == 0 and keyed.winning_rows(hot, ["k"], ["o"]).count() == 20_001
+    plan = keyed.winning_rows(hot, ["k"], ["o"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "SortMergeJoin" not in plan.split("Union")[0]
