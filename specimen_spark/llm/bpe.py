@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from specimen_spark.llm.batches import arrow_schema, map_columns
 
 GROUP_BYTES = 8 << 20
-CACHED_PIECES = 600_000
+CACHED_WORDS = 400_000
+TAIL = 4
 DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -39,7 +40,7 @@ def byte_alphabet() -> list[str]:
 
 
 class WordEncoder:
-    """Encodes texts with the vocabulary and merges of a tokenizer file."""
+    """Encodes texts with the vocabulary and merges of a tokenizer file. Tokens are known by their ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -49,52 +50,117 @@ class WordEncoder:
         model = spec["model"]
         self.end = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"]
-        self.ranks = {tuple(pair): rank for rank, pair in enumerate(model["merges"])}
-        self.longest = max(map(len, self.ids))
         self.alphabet = byte_alphabet()
         self.normalize = Tokenizer.from_file(path).normalizer.normalize_str
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.by_id = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.id_text: dict[bytes, bytes] = {}
-        self.token_text: dict[bytes, bytes] = {}
+        self.base = max(self.by_id) + 1
+        self.learn_merges(model["merges"])
+        self.written = {i: (b"%d" % i, t.encode()) for i, t in self.by_id.items()}
+        self.fits: dict[int, bool] = {}
+        self.young: dict[str, tuple[bytes, bytes]] = {s: self.written[i] for s, i in self.special.items()}
+        self.old: dict[str, tuple[bytes, bytes]] = {}
 
     # -- merges -----------------------------------------------------------------------------------------------
 
-    def merged(self, symbols: list[str]) -> list[str]:
-        """What the merges make of symbols, lowest rank first; only run on two tokens at a time."""
-        symbols = list(symbols)
+    def learn_merges(self, merges) -> None:
+        """Rank of each pair, and of each token the merge that forms it, which its recorded pair tells unless it has several."""
+        ids, base = self.ids, self.base
+        self.ranks: dict[int, int] = {}
+        self.formed, self.left, self.right = [-1] * base, [-1] * base, [-1] * base
+        several = set()
+        for rank, (first, second) in enumerate(merges):
+            a, b, token = ids[first], ids[second], ids[first + second]
+            self.ranks[a * base + b] = rank
+            if self.formed[token] >= 0:
+                several.add(token)
+            else:
+                self.formed[token], self.left[token], self.right[token] = rank, a, b
+        for token in several:
+            self.formed[token], self.left[token], self.right[token] = self.last_merge(token)
+        # Only tokens that their own text is encoded as ever occur; merges put parts before wholes.
+        self.inner: dict[str, int] = {}
+        self.final: dict[str, int] = {}
+        alive = set()
+        for token in sorted(ids.values(), key=self.formed.__getitem__):
+            a, b, rank = self.left[token], self.right[token], self.formed[token]
+            if rank >= 0 and not (a in alive and b in alive and not self.crossed(a, b, rank)):
+                continue
+            alive.add(token)
+            text = self.by_id[token]
+            if text.endswith(self.end) and text != self.end:
+                self.final[text.removesuffix(self.end)] = token
+            else:
+                self.inner[text] = token
+        # How long the tokens are that end in given characters; where none does, only shorter ones can.
+        self.inner_tails, self.final_tails = {}, {}
+        for found, tails in ((self.inner, self.inner_tails), (self.final, self.final_tails)):
+            for text in found:
+                if len(text) >= TAIL:
+                    tails[text[-TAIL:]] = max(len(text), tails.get(text[-TAIL:], 0))
+        self.size = [0] * base
+        for found in (self.inner, self.final):
+            for text, token in found.items():
+                self.size[token] = len(text)
+
+    def last_merge(self, token: int) -> tuple[int, int, int]:
+        """Rank and parts of the merge that forms a token out of its characters; -1 if none does."""
+        text = self.by_id[token]
+        inner = text.removesuffix(self.end)
+        symbols = [self.ids[s] for s in [*inner[:-1], inner[-1] + text[len(inner):]]]
         while len(symbols) > 1:
-            rank, at = min((self.ranks.get(pair, 1 << 60), i) for i, pair in enumerate(zip(symbols, symbols[1:])))
+            rank, at = min((self.ranks.get(a * self.base + b, 1 << 60), i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])))
             if rank == 1 << 60:
                 break
-            symbols[at:at + 2] = ["".join(symbols[at:at + 2])]
-        return symbols
-
-    def follows(self, before: str, token: str) -> bool:
-        """Whether ``token`` stays itself after ``before`` (which is empty at the start of a word)."""
-        known = self.fits.get((before, token))
-        if known is None:
-            inner = token.removesuffix(self.end)
-            symbols = [*before, *inner[:-1], inner[-1] + token[len(inner):]]
-            known = self.merged(symbols) == ([before, token] if before else [token])
-            if len(self.fits) >= 2_000_000:
-                self.fits.clear()
-            self.fits[before, token] = known
-        return known
-
-    def last_token(self, word: str, depth: int, last: list[str], suffix: str) -> str:
-        for size in range(min(self.longest, depth), 0, -1):
-            token = word[depth - size:depth] + suffix
-            if token in self.ids and self.follows(last[depth - size], token):
+            if len(symbols) == 2:
+                return rank, symbols[0], symbols[1]
+            symbols[at:at + 2] = [self.ids[self.by_id[symbols[at]] + self.by_id[symbols[at + 1]]]]
+        return 1 << 60, -1, -1
+
+    def crossed(self, a: int, b: int, limit: int = 1 << 60) -> bool:
+        """Whether a merge of rank below ``limit`` joins the end of token ``a`` to the start of ``b`` behind it.
+
+        The merges that formed the two are taken back, the latest first. What then meets at the border met there at
+        that time, and was merged if its rank came before that of the merge just taken back. Of equal ranks the merge
+        further left comes first.
+        """
+        ranks, formed, base = self.ranks, self.formed, self.base
+        while True:
+            rank = ranks.get(a * base + b)
+            if rank is not None and rank < limit:
+                return True
+            if formed[a] > formed[b]:
+                limit, a = formed[a], self.right[a]
+            elif formed[b] >= 0:
+                limit, b = formed[b] + 1, self.left[b]
+            else:
+                return False
+
+    def last_token(self, word: str, depth: int, last: list[int], tokens: dict[str, int], tails: dict[str, int]) -> int:
+        """The token that ends the encoding of the first ``depth`` characters, given those of all shorter prefixes."""
+        fits, base = self.fits, self.base
+        low = depth - tails.get(word[depth - TAIL:depth], TAIL - 1) if depth >= TAIL else 0
+        for start in range(low if low > 0 else 0, depth):
+            token = tokens.get(word[start:depth])
+            if token is None:
+                continue
+            if not start:
+                return token
+            pair = last[start] * base + token
+            known = fits.get(pair)
+            if known is None:
+                if len(fits) >= 1_000_000:
+                    fits.clear()
+                known = fits[pair] = not self.crossed(last[start], token)
+            if known:
                 return token
         raise ValueError(f"no token ends {word[:depth]!r}")
 
-    def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
+    def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         """Each distinct word (in the byte alphabet) with its tokens, by a depth-first walk in sorted order."""
-        last, previous = [""], ""
+        last, previous, size = [-1], "", self.size
         for word in sorted(words):
             inner = len(word) - 1
             shared, most = 0, min(inner, len(last) - 1)
@@ -102,13 +168,13 @@ class WordEncoder:
                 shared += 1
             del last[shared + 1:]
             for depth in range(shared + 1, inner + 1):
-                last.append(self.last_token(word, depth, last, ""))
+                last.append(self.last_token(word, depth, last, self.inner, self.inner_tails))
             previous = word
-            tokens, depth = [self.last_token(word, inner + 1, last, self.end)], inner + 1
-            depth -= len(tokens[0]) - len(self.end)
+            tokens = [self.last_token(word, inner + 1, last, self.final, self.final_tails)]
+            depth = inner + 1 - size[tokens[0]]
             while depth:
                 tokens.append(last[depth])
-                depth -= len(last[depth])
+                depth -= size[last[depth]]
             yield word, tokens[::-1]
 
     # -- texts ------------------------------------------------------------------------------------------------
@@ -117,7 +183,7 @@ class WordEncoder:
         """The words of a piece between white space; a special token stands for itself."""
         text = piece.decode()
         if text.isascii() and text.isprintable() and "<|" not in text:  # printable ASCII is spelled as itself
-            return self.words.findall(text.lower())
+            return [text.lower()] if text.isalpha() else self.words.findall(text.lower())
         parts = self.parts.split(text) if "<|" in text else [text]
         words = []
         for part in parts:
@@ -128,19 +194,22 @@ class WordEncoder:
                     words.append("".join([self.alphabet[b] for b in word.encode()]))
         return words
 
-    def learn(self, pieces: set[bytes]) -> None:
-        """Encode the pieces that are not known yet."""
-        if len(self.id_text) + len(pieces) > CACHED_PIECES and self.id_text:
-            self.id_text.clear()
-            self.token_text.clear()
-        new = {p: self.spelled(p) for p in pieces if p not in self.id_text}
-        distinct = {w for words in new.values() for w in words if w not in self.special}
-        tokens = dict(self.encode_words(distinct)) | {s: [s] for s in self.special}
-        numbers = {**self.ids, **self.special}
-        for piece, words in new.items():
-            ids = [numbers[t] for w in words for t in tokens[w]]
-            self.id_text[piece] = " ".join(map(str, ids)).encode()
-            self.token_text[piece] = self.decode(ids).encode()
+    def learn(self, words: set[str]) -> dict[str, tuple[bytes, bytes]]:
+        """The words' ids and tokens as text; words of earlier groups are remembered in two generations."""
+        young, old, new = self.young, self.old, []
+        for word in words:
+            if word not in young:
+                if word in old:
+                    young[word] = old[word]
+                else:
+                    new.append(word)
+        for word, tokens in self.encode_words(new):
+            written = [self.written[t] for t in tokens]
+            young[word] = b" ".join([w[0] for w in written]), b" ".join([w[1] for w in written])
+        if len(young) > CACHED_WORDS:
+            self.old = young
+            self.young = {s: young[s] for s in self.special}
+        return young
 
     def decode(self, ids: Iterable[int]) -> str:
         """As the file says: it has no decoder, so tokens are joined by spaces."""
@@ -149,10 +218,18 @@ class WordEncoder:
     def encode_group(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
         """Ids in decimal and the decoded text of each text."""
         split = [(t or "").encode().split() for t in texts]
-        self.learn(set().union(*split))
-        for pieces in split:
-            yield (b" ".join(filter(None, map(self.id_text.__getitem__, pieces))),
-                   b" ".join(filter(None, map(self.token_text.__getitem__, pieces))))
+        pieces = {p: self.spelled(p) for p in set().union(*split)}
+        known = self.learn({w for words in pieces.values() for w in words})
+        ids, tokens = {}, {}
+        for piece, words in pieces.items():
+            if len(words) == 1:
+                ids[piece], tokens[piece] = known[words[0]]
+            else:
+                ids[piece] = b" ".join([known[w][0] for w in words])
+                tokens[piece] = b" ".join([known[w][1] for w in words])
+        for found in split:
+            yield (b" ".join(filter(None, map(ids.__getitem__, found))),
+                   b" ".join(filter(None, map(tokens.__getitem__, found))))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
