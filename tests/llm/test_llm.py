@@ -493,12 +493,100 @@ def test_scores_match_the_base_and_beat_it(spark):
     assert mine > base
 
 
+def small_mixer(words, n, rounds=20):
+    table = np.zeros(2 << 18, np.float32)
+    lm.add_bits(table, 18, words, np.array(n))
+    mixer = lm.Mixer(*lm.packed(table.reshape(2, -1)))
+    for _ in range(rounds):
+        mixer.learn(words, np.array(n), np.zeros(lm.Mixer.GATES))
+    return mixer
+
+
 def test_bit_probabilities_add_up():
-    words = [b"abc ", b"abd ", b"b "]
-    mixer = lm.Mixer(*lm.count_bits(words))
-    mixer.learn(words * 20)
-    every = [bytes([a]) for a in range(256)]
-    assert sum(10 ** mixer.log10(every)) == pytest.approx(1, abs=1e-9)
+    mixer = small_mixer([b"abc", b"abd", b"b"], [3, 1, 7])
+    total = 0
+    for a in range(256):
+        data = lm.Bytes([bytes([a])])
+        total += math.prod(float(p if bit[0] else 1 - p) for bit, slots in data.bits(18) for p in mixer.predict(*mixer.inputs(slots))[1])
+    assert total == pytest.approx(1, abs=1e-9)
+
+
+def test_context_counts_are_those_of_all_running_text():
+    """Words counted with their number of occurrences give what counting every occurrence gives."""
+    text = b"aba abc aba b aba abc".split()
+    once, every = np.zeros(2 << 18, np.float32), np.zeros(2 << 18, np.float32)
+    counts = Counter(text)
+    lm.add_bits(once, 18, list(counts), np.array(list(counts.values())))
+    lm.add_bits(every, 18, text, np.ones(len(text)))
+    assert np.array_equal(once, every) and every.sum() == sum(len(w) + 1 for w in text) * 8 * lm.CONTEXTS
+    assert lm.COUNTS[lm.packed(np.arange(33))].tolist() == list(range(33))
+    large = np.array([40.0, 1e3, 1e6, 1e9])
+    assert np.all(np.abs(lm.COUNTS[lm.packed(large)] / large - 1) < 0.09)
+
+
+def plain_spelling(mixer, word, own=0):
+    """log10 of a word's probability, bit by bit and context by context, ``own`` counts taken out."""
+    mask, total, data = (1 << 64) - 1, 0.0, lm.spelling(word)
+    for place, byte in enumerate(data):
+        before = [data[place - back] + 1 if place >= back else 0 for back in range(1, 6)]
+        contexts = [((sum(x << 9 * i for i, x in enumerate(before[:back])) + (back << 50)) * int(lm.K)) & mask for back in (5, 3, 2, 1)]
+        for k in range(7, -1, -1):
+            node, bit = (((1 << (7 - k)) | (byte >> (k + 1))) * int(lm.K2)) & mask, (byte >> k) & 1
+            slots = [(((c ^ node) * int(lm.K)) & mask) >> (64 - mixer.slot_bits) for c in contexts]
+            zeros, ones = [[max(float(lm.COUNTS[t[s]]) - own * (bit == b), 0.0) for s in slots] for b, t in enumerate((mixer.zeros, mixer.ones))]
+            seen = [z + o for z, o in zip(zeros, ones)]
+            steps = [min(math.ceil(math.log2(s + 1)), 7) for s in seen]
+            three = min(steps[1], 5)
+            x = sum(w * math.log((o + 0.2) / (z + 0.2)) for w, z, o in zip(mixer.weights[steps[0] * 6 + three], zeros, ones))
+            x = min(max(x, -11.9), 11.9)
+            at = (min(max(x, -8), 7.999) + 8) * 2
+            low, share = int(at), at - int(at)
+            p = (1 / (1 + math.exp(-x)) + mixer.refined[three][low] * (1 - share) + mixer.refined[three][low + 1] * share) / 2
+            p = min(max(p, 1e-6), 1 - 1e-6)
+            total += math.log10(p if bit else 1 - p)
+    return total
+
+
+def test_scores_match_plain_python(spark):
+    """score, token by token, from the weights the jobs learn: spelling, training share, history, gates."""
+    rng = random.Random(9)
+    bag = ["the", "cat", "sat", "été", "dog", "then", "cats"]
+    rows = [(i, " ".join(rng.choice(bag) if rng.random() < 0.8 else "".join(rng.choice("abcé") for _ in range(5)) for _ in range(rng.randrange(30)))) for i in range(60)]
+    rows += [(None, "the null id"), (3, rows[3][1]), (61, None), (62, "The THE the")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).cache()
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
+    column = langid.fold("doc_id", 10) == 0
+    words = lm.vocabulary(docs.where(~F.coalesce(column, F.lit(True)))).cache()
+    counts = Counter(w for i, t in rows if not held(i) for w in [*lm.tokens_of(t), lm.END])
+    assert {bytes(r.word): r.n for r in words.collect()} == counts
+    n, mixer = sum(counts.values()), lm.learn_mixer(words, len(counts))
+    spread = spark.sparkContext.broadcast(mixer)
+    by_block = lm.deal(docs.withColumn("held_out", F.coalesce(column, F.lit(True))), lm.BLOCK_BYTES)[0].groupBy("block")
+    answers = lm.answers_for(by_block, words, spread)
+    by_key = {lm.key_of(w) - (1 << 64) * (lm.key_of(w) >> 63): w for w in counts}
+    for r in answers.collect():
+        w = by_key[r.key]
+        assert r.n == counts[w] and r.spelled == pytest.approx(plain_spelling(mixer, w), rel=1e-5)
+        assert r.fresh == pytest.approx(plain_spelling(mixer, w, 1 if r.n == 1 else 0), rel=1e-5)
+    mass = lm.summed(lm.blend_masses(by_block, lm.answers_for(by_block, words, spread), spread, n))
+    assert mass.sum() == pytest.approx(n)  # every training token has its say
+    weights = lm.Blend(mass.reshape(lm.Blend.GATES, lm.Blend.EXPERTS)).weights
+    expected = []
+    for i, text in rows:
+        tokens, total, seen, follows, after, foreseen = [*lm.tokens_of(text), lm.END], 0.0, Counter(), Counter(), Counter(), False
+        for place, w in enumerate(tokens):
+            previous = tokens[place - 1] if place else None
+            step = 1 + min(math.ceil(math.log2(after[previous] + 1)), 3) if place else 0
+            experts = [counts[w] / n, 10 ** plain_spelling(mixer, w), seen[w] / max(place, 1), follows[previous, w] / max(after[previous], 1)]
+            total += math.log10(sum(a * b for a, b in zip(weights[step * 2 + foreseen], experts)))
+            foreseen = follows[previous, w] > 0
+            seen[w] += 1
+            follows[previous, w] += 1
+            after[previous] += 1
+        expected.append((-1 if i is None else i, total))
+    found = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in lm.score(docs, column).collect())
+    for (i, mine), (j, other) in zip(found, sorted(expected)):
+        assert i == j and mine == pytest.approx(other, rel=1e-5)
 
 
 def test_history_counts_what_came_before():
@@ -509,6 +597,15 @@ def test_history_counts_what_came_before():
 
 def test_scores_of_odd_texts(odd, empty):
     rows = lm.score(odd, langid.fold("doc_id", 10) == 0).collect()
-    assert len(rows) == len(ODD) and all(math.isfinite(r.score) and r.n_tokens >= 1 for r in rows)
+    assert len(rows) == len(ODD) and all(math.isfinite(r.score) and r.score < 0 for r in rows)
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in rows) == sorted((i or 0, len((t or "").split()) + 1) for i, t, _ in ODD)
+    assert {r.held_out for r in rows if r.doc_id is None} == {True}
+    assert len({r.score for r in rows if r.doc_id == 8}) == 1 and len({r.score for r in rows if r.doc_id in (1, 2, 3)}) == 1
     assert lm.score(empty, F.lit(False)).count() == 0
-    assert all(math.isfinite(r.score) for r in lm.score(odd.where("doc_id < 6"), F.lit(True)).collect())
+    assert all(r.n_known == 0 and math.isfinite(r.score) for r in lm.score(odd.where("doc_id < 6"), F.lit(True)).collect())
+
+
+def test_one_id_for_all_rows_is_spread_over_blocks(spark):
+    docs = spark.range(4_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("some words " * 200).alias("text"))
+    sizes = [r["count"] for r in lm.deal(docs, 500_000)[0].groupBy("block").count().collect()]
+    assert len(sizes) == 18 and max(sizes) < 2 * min(sizes)
