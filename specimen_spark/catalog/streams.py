@@ -47,6 +47,13 @@ def progress_counts(spark, sf):
     return ingest.progress_counts(view(spark, sf, "progress_log"))
 
 
+@query("J3_stream_progress_counts", "SELECT status, count(*) AS rows FROM {progress_log} GROUP BY status")
+def stream_progress_counts(spark, sf):
+    base = scratch_path(spark, "progress")
+    ingest.stream_progress_counts(_as_log(_events(spark, sf)), f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    return ingest.progress_table(spark, f"{base}/table").current().select("status", "rows")
+
+
 @query("J4_latest_job_state", """SELECT occurrence_key, arg_max(status, (ts, event_id)) AS status, epoch_us(max(ts)) AS updated FROM {progress_log} GROUP BY occurrence_key""")
 def latest_job_state(spark, sf):
     return ingest.latest_job_state(view(spark, sf, "progress_log"), "occurrence_key", "ts", "event_id").select(
@@ -56,6 +63,6 @@ def latest_job_state(spark, sf):
 @query("J4_stream_job_state", """SELECT occurrence_key, arg_max(status, (ts, event_id)) AS status, arg_max(event_id, (ts, event_id)) AS event_id FROM {progress_log} GROUP BY occurrence_key""")
 def stream_job_state(spark, sf):
     base = scratch_path(spark, "jobs")
-    ingest.stream_job_state(
-        _as_log(_events(spark, sf)), f"{base}/table", f"{base}/checkpoint", "occurrence_key", "ts", "event_id").awaitTermination()
-    return ingest.current_job_state(spark, f"{base}/table").select("occurrence_key", "status", "event_id")
+    log = _as_log(_events(spark, sf))
+    ingest.stream_job_state(log, f"{base}/table", f"{base}/checkpoint", "occurrence_key", "ts", "event_id").awaitTermination()
+    return ingest.current_job_state(spark, f"{base}/table", log, "occurrence_key", "ts", "event_id").select("occurrence_key", "status", "event_id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specimen_spark.schemas import RAW_SCHEMA, validate_required
+from specimen_spark.sources.csv_ranges import read_records
 
 
 def manifest_files(spark: SparkSession, paths) -> list[str]:
@@ -46,25 +47,27 @@ def _header(spark: SparkSession, file: str) -> str:
 
 def read_manifest(
     spark: SparkSession, paths, required=(), max_rows: int | None = None, columns=None, order_cols=(),
-    multi_line: bool = True, mode: str = "PERMISSIVE",
+    multi_line: bool = True, mode: str = "PERMISSIVE", split: bool = False,
 ) -> DataFrame:
     """CSV manifests as text columns; quotes, embedded newlines and globs are understood.
 
     A file is read once, however often it is named; files are grouped by
     header line and the groups joined by column name. Blank and absent cells
     come back as ''. ``max_rows`` takes the first rows by ``order_cols``.
-    Large files are split between tasks only without ``multi_line``; ``mode``
-    says what becomes of malformed rows (``FAILFAST`` raises).
+    Large files are split between tasks without ``multi_line``, or with
+    ``split``, which finds record borders by the parity of quotes (cells that
+    hold a quote have to be quoted, lines end with a line feed). ``mode`` says
+    what becomes of malformed rows (``FAILFAST`` raises).
     """
     if max_rows is not None and not order_cols:
         raise ValueError("max_rows needs order_cols")
     by_header: dict[str, list[str]] = {}
     for file in manifest_files(spark, paths):
         by_header.setdefault(_header(spark, file), []).append(file)
-    reader = spark.read.options(
-        header=True, multiLine=multi_line, quote='"', escape='"', nullValue="\u0000", emptyValue="", mode=mode
-    )
-    df = union_manifests([reader.csv(files) for files in by_header.values()])
+    options = {"quote": '"', "escape": '"', "nullValue": "\u0000", "emptyValue": "", "mode": mode}
+    reader = spark.read.options(header=True, multiLine=multi_line, **options)
+    groups = [(reader.csv(files), files) for files in by_header.values()]
+    df = union_manifests([read_records(spark, files, whole.columns, options) if split else whole for whole, files in groups])
     df = df.select([F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
     validate_required(df, required)
     if columns:

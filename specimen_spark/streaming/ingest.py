@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from specimen_spark.functions.text import blank_to_null, normalize_text
 from specimen_spark.operators.joins import pending
+from specimen_spark.streaming.state import StateTable, stored_or_empty
 
 
 def landing_stream(
@@ -21,16 +21,6 @@ def landing_stream(
     return reader.load(src)
 
 
-def _table_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Stored table, or an empty one before the first write; any other failure is raised."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def stream_ingest(
     stream: DataFrame, dst: str, ledger: str, checkpoint: str, keys=("occurrence_key",), transform=None
 ) -> StreamingQuery:
@@ -44,12 +34,12 @@ def stream_ingest(
     """
     keys = list(keys)
     key_schema = ", ".join(f"{k} string" for k in keys) + ", batch bigint"
-    known = _table_or_empty(stream.sparkSession, ledger, key_schema).agg(F.max("batch")).first()[0]
+    known = stored_or_empty(stream.sparkSession, ledger, key_schema).agg(F.max("batch")).first()[0]
     last_known = -1 if known is None else known
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        done = _table_or_empty(spark, ledger, key_schema).where((F.col("batch") <= last_known) & (F.col("batch") != batch_id))
+        done = stored_or_empty(spark, ledger, key_schema).where((F.col("batch") <= last_known) & (F.col("batch") != batch_id))
         fresh = pending(batch, done, keys)
         out = transform(fresh) if transform else fresh
         out.write.mode("overwrite").parquet(f"{dst}/batch={batch_id}")
@@ -88,28 +78,37 @@ def latest_job_state(events: DataFrame, job: str, time_col: str, tie_col: str, c
     ).select(job, "__s.*")
 
 
+def stream_progress_counts(log: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Running rows per status in Spark's state store; every batch adds the counts it changed to the state table."""
+    def write(counts: DataFrame, batch_id: int) -> None:
+        progress_table(counts.sparkSession, table).write(counts.select("status", "rows"), batch_id)
+
+    return (
+        progress_counts(log).writeStream.outputMode("update").foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def progress_table(spark: SparkSession, table: str) -> StateTable:
+    """Counts only grow, so the largest of a status is its newest."""
+    return StateTable(spark, table, "status string, rows bigint", "status", ["rows"])
+
+
+def job_table(spark: SparkSession, table: str, schema: str, job: str, time_col: str, tie_col: str) -> StateTable:
+    return StateTable(spark, table, schema, job, [time_col, tie_col])
+
+
 def stream_job_state(
     events: DataFrame, table: str, checkpoint: str, job: str, time_col: str, tie_col: str, columns=("status",)
 ) -> StreamingQuery:
-    """Keep ``table/version=<batch>`` at the latest state of every job after each batch.
-
-    A batch merges its events with the newest earlier version; replaying it
-    rewrites the same version.
-    """
+    """Keep a state table at the latest event of every job after each batch; a batch writes the jobs it saw."""
     names = [job, time_col, tie_col, *columns]
-    schema = events.select(*names).schema.simpleString().removeprefix("struct<").removesuffix(">")
-    stored = schema.replace(":", " ") + ", version bigint"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.select(*names).schema)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        older = _table_or_empty(spark, table, stored).where(F.col("version") < batch_id)
-        newest = older.agg(F.max("version").alias("v")).scalar()
-        known = older.where(F.col("version") == newest).select(*names)
-        both = known.unionByName(batch.select(*names))
-        latest = both.groupBy(job).agg(
-            F.max_by(F.struct(*names[1:]), F.struct(time_col, tie_col)).alias("__s")
-        ).select(job, "__s.*")
-        latest.write.mode("overwrite").parquet(f"{table}/version={batch_id}")
+        job_table(batch.sparkSession, table, schema, job, time_col, tie_col).write(batch.select(*names), batch_id)
 
     return (
         events.writeStream.foreachBatch(merge)
@@ -119,7 +118,10 @@ def stream_job_state(
     )
 
 
-def current_job_state(spark: SparkSession, table: str) -> DataFrame:
-    stored = spark.read.parquet(table)
-    newest = stored.agg(F.max("version").alias("v")).scalar()
-    return stored.where(F.col("version") == newest).drop("version")
+def current_job_state(
+    spark: SparkSession, table: str, events: DataFrame, job: str, time_col: str, tie_col: str, columns=("status",)
+) -> DataFrame:
+    """The latest event of every job; ``events`` only gives the types."""
+    names = [job, time_col, tie_col, *columns]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.select(*names).schema)
+    return job_table(spark, table, schema, job, time_col, tie_col).current()

@@ -404,3 +404,67 @@ def test_winning_rows(spark):
     assert keyed.winning_rows(hot, ["k"], ["o"]).where("k = 'hot'").collect()[0].o == 0 and keyed.winning_rows(hot, ["k"], ["o"]).count() == 20_001
     plan = keyed.winning_rows(hot, ["k"], ["o"])._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "SortMergeJoin" not in plan.split("Union")[0]
+
+
+def test_large_csv_with_line_breaks_is_read_by_several_tasks(spark, tmp_path):
+    """Range ends inside quoted cells, doubled quotes, blank lines and CRLF: the same rows as Spark's own reader."""
+    rng = random.Random(12)
+    cells = ["plain", "", 'a "quoted" word', "two\nlines", "\n\n", 'ends with "', "comma, cell", "x" * 90, "é\nü"]
+
+    def quoted(x):
+        return '"' + x.replace('"', '""') + '"' if x == "" or set(x) & set('",\n') else x
+
+    for name, end in (("a.csv", "\n"), ("b.csv", "\r\n")):
+        lines = ["id,first,second"] + [f"{name}{i},{quoted(rng.choice(cells))},{quoted(rng.choice(cells))}" for i in range(400)]
+        lines.insert(50, "")
+        with open(tmp_path / name, "w", newline="", encoding="utf-8") as f:
+            f.write(end.join(lines) + end)
+    with open(tmp_path / "c.csv", "w", newline="") as f:  # one cell over many ranges, and no line end at the end
+        f.write('id,first,second\nlong,"' + "line\n" * 2_000 + '",y\nlast,x,z')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    want = sorted(map(tuple, manifest.read_manifest(spark, str(tmp_path)).collect()))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        df = manifest.read_manifest(spark, str(tmp_path), split=True)
+        assert sorted(map(tuple, df.collect())) == want and len(want) == 802
+        from specimen_spark.sources.csv_ranges import numbered_lines, range_parities
+        parities = range_parities(numbered_lines(spark, [f"{tmp_path}/c.csv"])).collect()
+        assert len(parities) > 8 and {r.inside for r in parities} == {0, 1}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_state_table_writes_follow_the_batches(spark, tmp_path):
+    from specimen_spark.streaming.state import StateTable
+
+    path, rng, want, written = str(tmp_path / "state"), random.Random(3), {}, 0
+    table = StateTable(spark, path, "job string, at bigint, tie bigint, status string", "job", ["at", "tie"])
+    assert table.current().count() == 0
+    for batch in range(6):
+        rows = [(f"j{rng.randrange(300)}", rng.randrange(50), batch * 1000 + i, f"s{i}") for i in range(200 if batch == 0 else 20)]
+        df = spark.createDataFrame(rows, "job string, at bigint, tie bigint, status string")
+        for _ in range(2 if batch in (0, 3) else 1):  # two batches are replayed
+            table.write(df, batch)
+        for job, at, tie, status in rows:
+            want[job] = max(want.get(job, (-1, -1, "")), (at, tie, status))
+        assert {r.job: (r.at, r.tie, r.status) for r in table.current().collect()} == want
+    names = {p.parent.name + "/" + p.name for p in (tmp_path / "state").glob("*/version=*")}
+    assert "base/version=0" in names and "base/version=1" not in names  # small batches did not copy the state
+    table.write(spark.createDataFrame([(f"k{i}", 1, i, "new") for i in range(400)], table.schema), 6)
+    table.write(spark.createDataFrame([(f"m{i}", 1, i, "new") for i in range(900)], table.schema), 7)
+    names = {p.parent.name + "/" + p.name for p in (tmp_path / "state").glob("*/version=*")}
+    assert names == {"base/version=6", "base/version=7", "changes/version=7"}, "older files go"
+    assert table.current().count() == len(want) + 1300
+
+
+def test_progress_counts_of_a_stream_survive_restarts(spark, tmp_path):
+    src, base = str(tmp_path / "in"), str(tmp_path)
+    seen = []
+    for part in range(3):
+        rows = [(["ok", "skip", "fail"][(part + i) % (2 + part % 2)],) for i in range(10 + part)]
+        seen += rows
+        spark.createDataFrame(rows, "status string").coalesce(1).write.mode("append").parquet(src)
+        log = ingest.landing_stream(spark, src, "status string", max_files=1)
+        ingest.stream_progress_counts(log, f"{base}/table", f"{base}/cp").awaitTermination()
+        want = {s: sum(r == (s,) for r in seen) for s, in set(seen)}
+        assert {r.status: r.rows for r in ingest.progress_table(spark, f"{base}/table").current().collect()} == want
