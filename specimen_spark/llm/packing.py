@@ -7,7 +7,7 @@ sequence is opened only if none has room. Whole corpora are packed in groups of
 pieces, spread by hash, each of which ends with a handful of sequences that are not full.
 
 Defined cases: a null text is an empty one, which is a piece of the end id alone. Rows with null or repeated ids are
-documents of their own and keep apart from each other through the row's place in its batch of a task.
+documents of their own; those with one id and one text are packed in one group.
 """
 
 from __future__ import annotations

@@ -1,4 +1,4 @@
-"""Removal of long strings that an earlier document has too, by bucket-pointer refinement over sampled positions.
+"""Removal of long strings that an earlier document has too, by hash buckets of strings at content-chosen positions.
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller id. All
 positions of a corpus are too many to sort, and most strings are unique. So the suffixes that are sorted are chosen
@@ -7,9 +7,10 @@ and equal strings have equal anchors.
 
 1. Texts are dealt to blocks by hash of the id. A block sends the hashes of its anchors' q-grams, packed, to hash
    buckets, and learns which of them other blocks have too.
-2. The strings of those anchors form the initial q-gram buckets. A bucket is refined by sorting on the bucket
-   identifiers (q-gram hashes) of later offsets, each refinement working on what the one before left, until buckets
-   agree on all bytes. First inside each block: of equal strings only those of the smallest document go on, the
+2. The strings of those anchors form the initial q-gram buckets. A bucket is split by the q-gram hashes at later
+   offsets, each split working on what the one before left, until all bytes have had their part. This stands in for
+   bucket-pointer refinement: hashes are those of the text, no identifiers of refined buckets are kept or looked up,
+   and no order of suffixes arises, which removal does not need. First inside each block: of equal strings only those of the smallest document go on, the
    others are found already. So however many copies a string has, a block sends it once. Then over all blocks.
 3. Found strings return to their block, and their bytes are cut out of the texts.
 
@@ -144,7 +145,7 @@ def spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def refine(words: np.ndarray, string: np.ndarray, bucket: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Smallest owner of each string's final bucket.
 
-    Buckets are sorted on the identifiers of later offsets; strings whose bucket has one owner are done at once.
+    Buckets are split by the q-gram hashes at later offsets; strings whose bucket has one owner are done at once.
     """
     least, going = owner.copy(), np.arange(len(string))
     for offset in (0, Q, LENGTH - Q):
