@@ -76,12 +76,9 @@ UNION ALL SELECT 'rows_by_source', source, CAST(count(*) AS DOUBLE) FROM cleaned
 def cleaning_summary(spark, sf):
     raw = view(spark, sf, "raw_manifest")
     judged = cleaning.judge_rows(raw, ORDER)
-    # The summary needs three columns of each side, so the cascade is aggregated once.
-    judged = judged.select(
-        "row_idx", "source", "reject_reason", F.col("__species_label").alias("species"),
-        F.col("__region").alias("us_region"))
-    ok = F.col("reject_reason").isNull()
-    return summaries.cleaning_summary(judged.where(ok), judged.where(~ok), ORDER)
+    # The summary needs five columns, and the cascade is aggregated once.
+    return summaries.judged_summary(judged.select(
+        *ORDER, "source", "reject_reason", F.col("__species_label").alias("species"), F.col("__region").alias("us_region")), ORDER)
 
 
 @query("F6_record_image_count", f"""

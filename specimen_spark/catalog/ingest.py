@@ -184,6 +184,15 @@ def manifest_round_trip(spark, sf):
         F.coalesce(F.nullif("latitude", F.lit("")), F.lit("<blank>")).alias("latitude"))
 
 
+@query("A2_partitioned_manifest", """
+SELECT row_idx, source, download_status, image_url, latitude FROM {raw_manifest}""")
+def partitioned_manifest(spark, sf):
+    """Written by source and status, read back by partition."""
+    path = scratch_path(spark, "partitioned")
+    manifest.write_manifest(view(spark, sf, "raw_manifest"), path, partition_by=["source", "download_status"])
+    return manifest.read_raw_parquet(spark, path).select("row_idx", "source", "download_status", "image_url", "latitude")
+
+
 @query("A3_summary_round_trip", "SELECT status, count(*) AS rows FROM {progress_log} GROUP BY status")
 def summary_round_trip(spark, sf):
     path = scratch_path(spark, "summary")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from specimen_spark.fixed_values import RECOVERED_CROP
 from specimen_spark.functions.numbers import flag_column, integer_column, parse_int
 from specimen_spark.functions.text import as_column, blank_to_null, normalize_text, source_index_from_path
-from specimen_spark.operators.keyed import attach, order_struct, winning_rows
+from specimen_spark.operators.keyed import attach, order_struct, row_hash, winning_rows
 from specimen_spark.schemas import optional
 from specimen_spark.sources.pages import specimen_manifest_row
 
@@ -23,22 +23,22 @@ def join_records_media(records: DataFrame, media: DataFrame, record_order, media
     return joined.select(*media_order, *specimen_manifest_row())
 
 
+# Kinds of lookup keys, best first.
+LOOKUP_KINDS = ["specimen_key", "record_id", "image_url"]
+
+
 def _lookup_keys(df: DataFrame) -> Column:
     """Array of the usable (type, first, second) keys of a row, best first."""
     specimen, source, record, url = (
         normalize_text(optional(df, c)) for c in ("specimen_key", "source", "record_id", "image_url")
     )
 
-    def key(priority: int, kind: str, first: Column, second: Column) -> Column:
+    def key(priority: int, first: Column, second: Column) -> Column:
         return F.when(first != "", F.struct(
-            F.lit(priority).alias("priority"), F.lit(kind).alias("kind"), first.alias("key1"), second.alias("key2")
+            F.lit(priority).alias("priority"), F.lit(LOOKUP_KINDS[priority - 1]).alias("kind"), first.alias("key1"), second.alias("key2")
         ))
 
-    return F.array_compact(F.array(
-        key(1, "specimen_key", specimen, F.lit("")),
-        key(2, "record_id", source, record),
-        key(3, "image_url", url, F.lit("")),
-    ))
+    return F.array_compact(F.array(key(1, specimen, F.lit("")), key(2, source, record), key(3, url, F.lit(""))))
 
 
 MATCHED_COLUMNS = [
@@ -54,32 +54,45 @@ def fallback_join(strict: DataFrame, processed: DataFrame, order_cols, id_cols)
     Keys are tried in the order specimen, (source, record), URL; the last
     processed row of a key counts. A match that fails a check is not replaced
     by a match on a later key. ``id_cols`` identify a strict row.
+
+    Keys are matched on locators, two hashes of a processed row: only these
+    are copied to every key, aggregated and joined, and the measurements are
+    fetched by the locators that won. ``processed`` runs twice.
+    Of processed rows that share a key and its last order, the one with the
+    largest hash counts; a null order comes before all others.
     """
     carried = [c for c in MATCHED_COLUMNS if c in processed.columns]
-    side = processed.select(
-        F.explode(_lookup_keys(processed)).alias("k"),
-        F.struct(*[F.col(c) for c in carried], flag_column(processed, "keep_for_training", ("true", "1", "yes"))
-                 .alias("__keep")).alias("__match"),
-        *order_cols,
-    ).select("k.kind", "k.key1", "k.key2", "__match", *order_cols)
-    lookup = side.groupBy("kind", "key1", "key2").agg(
-        F.max_by("__match", order_struct(order_cols)).alias("__match")
+    orders = [f"__o{i}" for i in range(len(order_cols))]
+    locator = ["__at", "__row"]
+    measured = processed.select(
+        _lookup_keys(processed).alias("__keys"), *[F.col(c).alias(f"__m_{c}") for c in carried],
+        flag_column(processed, "keep_for_training", ("true", "1", "yes")).alias("__m_keep"),
+        *[F.col(c).alias(o) for c, o in zip(order_cols, orders)],
     )
+    values_of = [c for c in measured.columns if c.startswith("__m_")]
+    measured = measured.withColumn("__at", row_hash(orders)).withColumn("__row", row_hash(values_of))
+    keys = ["kind", "key1", "key2"]
+    side = measured.select(F.explode("__keys").alias("k"), *orders, *locator).select(*[f"k.{k}" for k in keys], *orders, *locator)
+    ties = side.groupBy(*keys, *orders).agg(F.max("__at").alias("__at"), F.max("__row").alias("__row"))
+    by_order = order_struct(orders)
+    lookup = ties.groupBy(*keys).agg(*[F.coalesce(F.max_by(c, by_order), F.max(c)).alias(c) for c in locator])
     wanted = strict.select(*id_cols, F.explode(_lookup_keys(strict)).alias("k")).select(
-        *id_cols, "k.priority", "k.kind", "k.key1", "k.key2"
+        *id_cols, "k.priority", *[f"k.{k}" for k in keys]
     )
-    found = attach(wanted, lookup, ["kind", "key1", "key2"], how="inner")
+    found = attach(wanted, lookup, keys, how="inner")
     best = found.groupBy(*id_cols).agg(
-        F.min_by(F.struct("__match", F.col("kind").alias("match_key")), "priority").alias("__best")
-    )
-    joined = strict.join(best, list(id_cols), "left")
-    match = F.col("__best.__match")
+        F.min("priority").alias("__priority"), *[F.min_by(c, "priority").alias(c) for c in locator])
+    # Processed rows that are equal in all that is carried share a locator; the shuffle serves the join with ``strict`` too.
+    fetched = best.join(measured.select(*locator, *values_of), locator).drop(*locator)
+    joined = strict.join(fetched.repartition(*id_cols).distinct(), list(id_cols), "left")
+    match = {c: F.col(f"__m_{c}") for c in (*carried, "keep")}
+    match_key = F.coalesce(*[F.when(F.col("__priority") == i + 1, kind) for i, kind in enumerate(LOOKUP_KINDS)])
     absolute = normalize_text(match["processed_image_absolute_path"]) if (
         "processed_image_absolute_path" in carried) else F.lit("")
     outcome = (
-        F.when(F.col("__best").isNull(), F.lit("missing_processed_match"))
+        F.when(F.col("__priority").isNull(), F.lit("missing_processed_match"))
         .when(absolute == "", F.lit("missing_processed_image_path"))
-        .when(~match["__keep"], F.lit("processed_keep_false"))
+        .when(~match["keep"], F.lit("processed_keep_false"))
         .when(normalize_text(match["preprocess_status"]) != "ok", F.lit("processed_preprocess_not_ok"))
         .otherwise(F.lit("matched_rows"))
     )
@@ -91,7 +104,7 @@ def fallback_join(strict: DataFrame, processed: DataFrame, order_cols, id_cols)
         *kept,
         normalize_text(optional(strict, "image_path")).alias("source_image_path"),
         *[v.alias(c) for c, v in values.items()],
-        F.col("__best.match_key").alias("match_key"),
+        match_key.alias("match_key"),
         outcome.alias("outcome"),
     )
 

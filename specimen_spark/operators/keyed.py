@@ -39,6 +39,11 @@ def last_per_key(df: DataFrame, keys, order_cols, columns=None) -> DataFrame:
     return best.select(*keys, "__row.*")
 
 
+def row_hash(columns) -> Column:
+    """Hash of whole rows that tells a null apart from its neighbour's: ``xxhash64`` alone passes nulls over."""
+    return F.xxhash64(*[part for c in columns for part in (F.col(c), F.col(c).isNull())])
+
+
 def winning_rows(df: DataFrame, keys, order_cols, last: bool = False) -> DataFrame:
     """Whole rows of ``df`` that come first (or last) of their key; rows without an order come after those with one.
 
@@ -59,7 +64,7 @@ def winning_rows(df: DataFrame, keys, order_cols, last: bool = False) -> DataFra
     same = [df[k].eqNullSafe(best[n]) for k, n in [*zip(keys, names), *zip(order_cols, orders)]]
     won = df.join(best.hint("shuffle_hash"), same).select(*df.columns, "__n")
     tied = won.where("__n > 1").drop("__n")
-    tied = tied.withColumn("__row", F.xxhash64(*[F.col(c) for c in df.columns]))
+    tied = tied.withColumn("__row", row_hash(df.columns))
     settled = tied.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.min("__row").alias("__least"))
     one = tied.join(settled, [*[tied[k].eqNullSafe(settled[n]) for k, n in zip(keys, names)], tied["__row"] == settled["__least"]])
     return won.where("__n = 1").drop("__n").union(one.select(*df.columns).distinct())

@@ -53,36 +53,80 @@ def _stack(frames) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def _side(section: str, key: Column, condition: Column | None = None) -> Column:
+    """A (section, key) that a row counts for; null where the condition does not hold."""
+    pair = F.struct(F.lit(section).alias("section"), key.cast("string").alias("key"))
+    return pair if condition is None else F.when(condition, pair)
+
+
+def _one_pass(df: DataFrame, sides, order_cols, top: int, totals, extremes: dict[str, Column] | None = None) -> DataFrame:
+    """``section, key, value`` of all sections from one scan and one aggregation of ``df``.
+
+    A row counts for every one of its ``sides``. Section ``top_species`` keeps its ``top`` most frequent keys, first
+    seen first on ties, and its keys are counted as total ``unique_species``. ``totals`` are listed with 0 if no row
+    counts for them, ``extremes`` (aggregates of all rows, filed under the total ``rows``) with null.
+    """
+    extremes = extremes or {}
+    first = order_struct(order_cols)
+    sided = df.select("*", F.explode(F.array(*sides)).alias("__side")).where(F.col("__side").isNotNull())
+    counts = sided.groupBy(F.col("__side.section").alias("section"), F.col("__side.key").alias("key")).agg(
+        _rows().cast("double").alias("value"), F.min(first).alias("__first"), *[c.alias(n) for n, c in extremes.items()])
+    no_first = F.lit(None).cast(counts.schema["__first"].dataType)
+
+    def line(section, key, value, seen=no_first) -> Column:
+        return F.struct(section.alias("section"), key.alias("key"), value.cast("double").alias("value"), seen.alias("__first"))
+
+    total, section, key = F.lit("totals"), F.col("section"), F.col("key")
+    is_top = section == "top_species"
+    lines = counts.select(F.explode(F.array_compact(F.array(
+        line(section, key, F.col("value"), F.col("__first")),
+        F.when(is_top & key.isNotNull(), line(total, F.lit("unique_species"), F.lit(1))),
+        *[F.when((section == "totals") & (key == "rows"), line(total, F.lit(n), F.col(n))) for n in extremes],
+    ))).alias("l")).select("l.*")
+    listed = [line(total, F.lit(n), F.lit(None if n in extremes else 0)) for n in (*totals, *extremes)]
+    always = df.sparkSession.range(1).select(F.explode(F.array(*listed)).alias("l")).select("l.*")
+    summed = lines.unionByName(always).groupBy("section", "key").agg(F.sum("value").alias("value"), F.min("__first").alias("__first"))
+    # Keys outside the ranked section are alone in their window, so one filter fits all sections.
+    order = Window.partitionBy("section", F.when(~is_top, key)).orderBy(F.desc("value"), "__first")
+    return summed.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= top).select("section", "key", "value")
+
+
 def ingest_summary(df: DataFrame, order_cols, top: int = 20) -> DataFrame:
     """``section, key, value``: totals, coordinate ranges, rows by source and top species."""
-    level = flag_column(df, "is_species_level", ("true",))
-    named = level & (normalize_text("species") != "")
-    species = df.where(named)
-    totals = df.agg(
-        _rows().alias("rows"),
-        F.count_if(level).alias("rows_with_species_level_label"),
-        F.countDistinct(F.when(named, F.col("species"))).alias("unique_species"),
-        F.min("latitude").alias("latitude_min"), F.max("latitude").alias("latitude_max"),
-        F.min("longitude").alias("longitude_min"), F.max("longitude").alias("longitude_max"),
-    )
-    return _stack([
-        _totals("totals", totals),
-        _long("by_source", df.groupBy("source").agg(_rows().alias("rows")), "source"),
-        _long("top_species", top_values(species, "species", top, order_cols), "value"),
-    ])
+    df = df.withColumn("__level", F.coalesce(flag_column(df, "is_species_level", ("true",)), F.lit(False)))
+    df = df.withColumn("__named", F.col("__level") & (normalize_text("species") != ""))
+    sides = [
+        _side("totals", F.lit("rows")),
+        _side("totals", F.lit("rows_with_species_level_label"), F.col("__level")),
+        _side("by_source", F.col("source")),
+        _side("top_species", F.col("species"), F.col("__named")),
+    ]
+    extremes = {f"{c}_{name}": pick(c) for c in ("latitude", "longitude") for name, pick in (("min", F.min), ("max", F.max))}
+    return _one_pass(df, sides, order_cols, top, ("rows", "rows_with_species_level_label", "unique_species"), extremes)
+
+
+def judged_summary(judged: DataFrame, order_cols, top: int = 25) -> DataFrame:
+    """``section, key, value``: totals, reasons, top species, rows by region and source.
+
+    ``judged`` holds accepted and rejected rows with ``reject_reason``, ``species``, ``us_region`` and ``source``.
+    """
+    ok = F.col("reject_reason").isNull()
+    sides = [
+        _side("totals", F.when(ok, "cleaned_rows").otherwise("rejected_rows")),
+        _side("rejection_counts", F.col("reject_reason"), ~ok),
+        _side("top_species", F.col("species"), ok),
+        _side("rows_by_region", F.col("us_region"), ok),
+        _side("rows_by_source", F.col("source"), ok),
+    ]
+    return _one_pass(judged, sides, order_cols, top, ("cleaned_rows", "rejected_rows", "unique_species"))
 
 
 def cleaning_summary(clean: DataFrame, rejected: DataFrame, order_cols, top: int = 25) -> DataFrame:
-    """``section, key, value``: totals, reasons, top species, rows by region and source."""
-    totals = clean.agg(_rows().alias("cleaned_rows"), F.countDistinct("species").alias("unique_species"))
-    return _stack([
-        _totals("totals", totals),
-        _totals("totals", rejected.agg(_rows().alias("rejected_rows"))),
-        _long("rejection_counts", reason_counts(rejected), "reason"),
-        _long("top_species", top_values(clean, "species", top, order_cols), "value"),
-        _long("rows_by_region", clean.groupBy("us_region").agg(_rows().alias("rows")), "us_region"),
-        _long("rows_by_source", clean.groupBy("source").agg(_rows().alias("rows")), "source"),
-    ])
+    """``judged_summary`` of clean and rejected rows that are stored apart."""
+    accepted = clean.select(F.lit(None).cast("string").alias("reject_reason"), "species", "us_region", "source", *order_cols)
+    unnamed = [F.lit(None).cast("string").alias(c) for c in ("species", "us_region", "source")]
+    refused = rejected.where(F.col("reject_reason").isNotNull()).select("reject_reason", *unnamed, *order_cols)
+    return judged_summary(accepted.unionByName(refused), order_cols, top)
 
 
 def split_summary(df: DataFrame, order_cols, top: int = 20) -> DataFrame:

@@ -88,7 +88,12 @@ def public_columns(df: DataFrame) -> list[str]:
 
 
 def write_manifest(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None, mode: str = "overwrite") -> None:
-    """Store a manifest; several inputs are united by column name beforehand."""
+    """Store a manifest; several inputs are united by column name beforehand.
+
+    With ``partition_by`` rows are gathered by those columns before the write, so a value has few files and not one a
+    task; adaptive execution splits the values that fill more than ``spark.sql.adaptive.advisoryPartitionSizeInBytes``
+    and joins small ones. Values that share a shuffle partition with such a hot value are split with it. Null is a value.
+    """
     out = df.select(*public_columns(df))
     if fmt == "csv":
         text = [
@@ -97,9 +102,12 @@ def write_manifest(df: DataFrame, path: str, fmt: str = "parquet", partition_by=
             for c, kind in out.dtypes
         ]
         out = out.select(*text)
+    parts = [partition_by] if isinstance(partition_by, str) else list(partition_by or ())
+    if parts:
+        out = out.hint("rebalance", *[F.col(c) for c in parts])
     writer = out.write.mode(mode)
-    if partition_by:
-        writer = writer.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
+    if parts:
+        writer = writer.partitionBy(*parts)
     if fmt == "csv":
         writer.options(
             header=True, quote=chr(34), escape=chr(34), emptyValue="", ignoreLeadingWhiteSpace=False,
