@@ -1,20 +1,21 @@
-"""Removal of long strings that an earlier document has too, by hash buckets of strings at content-chosen positions.
-
-A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller id. All
-positions of a corpus are too many to sort, and most strings are unique. So the suffixes that are sorted are chosen
-by content: of the q-grams inside a string, the one with the smallest hash (the leftmost, if tied) is its anchor,
-and equal strings have equal anchors.
-
-1. Texts are dealt to blocks by hash of the id. A block sends the hashes of its anchors' q-grams, packed, to hash
-   buckets, and learns which of them other blocks have too.
-2. The strings of those anchors form the initial q-gram buckets. A bucket is split by the q-gram hashes at later
-   offsets, each split working on what the one before left, until all bytes have had their part. This stands in for
-   bucket-pointer refinement: hashes are those of the text, no identifiers of refined buckets are kept or looked up,
-   and no order of suffixes arises, which removal does not need. First inside each block: of equal strings only those of the smallest document go on, the
-   others are found already. So however many copies a string has, a block sends it once. Then over all blocks.
+"""Removal of long strings that an earlier document has too, by bucket-pointer refinement of suffixes.
+
+A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller id. Most strings
+of a corpus are unique and need no sorting. So candidates are chosen by content first: of the q-grams inside a
+string, the one with the smallest hash (the leftmost, if tied) is its anchor, and equal strings have equal anchors.
+
+1. Rows are dealt to blocks by their place in the input. A block sends the hashes of its anchors' q-grams, packed, to
+   hash buckets, and learns which of them other blocks have too.
+2. The strings of anchors that several documents have are compared by ``refine``: suffixes start in buckets of equal
+   8 bytes, and a bucket is sorted by the bucket pointers of the suffixes 8, 16 and 18 bytes later. Pointers are
+   replaced after each pass and the next one reads them, so depth grows from 8 to 16, 32 and 50 bytes. Buckets of one
+   suffix or one owner are final. No hash decides here: first buckets are the bytes themselves. First inside each
+   block: of equal strings only those of the smallest document go on, the others are found already. So however many
+   copies a string has, a block sends it once. Then over all blocks, by bucket of the anchor's hash.
 3. Found strings return to their block, and their bytes are cut out of the texts.
 
-The texts are shuffled once; all three passes of a block read that shuffle. Buckets are 64-bit hashes.
+The texts are shuffled once; all three passes of a block read that shuffle. Block numbers must come out the same if a
+lost task is run again, as they do over files.
 
 Defined cases: a null text is empty; an empty or short text stays as it is. Documents without an id stay and remove
 nothing. Rows with the same id do not remove from each other.
@@ -31,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from specimen_spark.llm.batches import arrow_schema, block_of
+from specimen_spark.llm.batches import arrow_schema
 
 LENGTH, Q = 50, 24
 SPAN = LENGTH - Q + 1  # q-grams in a string, so at most so many strings have one anchor
+STEPS = (8, 16, LENGTH - 32)  # offsets whose pointers take the depth from 8 bytes to 16, 32 and LENGTH
 BLOCK_BYTES = 8 << 20
+MAX_TASKS = 10_000  # beyond so many blocks, a task takes several one after another
 CHUNK = 1 << 18
 HASH_BYTES = 6
 K = np.uint64(0x9E3779B97F4A7C15)
@@ -44,7 +47,7 @@ GRAMS = "bucket int, block int, hashes binary"
 SHARED = "block int, bucket int, bits binary"
 STRINGS = "bucket int, block int, found binary, runs binary, bytes binary"
 FOUND = "block int, found binary"
-RUN = np.dtype([("doc_id", "<i8"), ("doc", "<i4"), ("first", "<i4"), ("strings", "u1"), ("anchor", "u1")])
+RUN = np.dtype([("doc_id", "<i8"), ("doc", "<i4"), ("first", "<i4"), ("strings", "u1")])
 HIT = np.dtype([("doc", "<i4"), ("first", "<i4"), ("mask", "<u4")])
 
 
@@ -59,7 +62,7 @@ def words_of(buffer: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(words: np.ndarray, at) -> np.ndarray:
-    """Bucket identifiers: hashes of the q-grams at positions (or a slice of them)."""
+    """Hashes of the q-grams at positions (or a slice of them)."""
     h = None
     for i in range(0, Q, 8):
         word = words[at.start + i:at.stop + i] if isinstance(at, slice) else words[at + i]
@@ -83,7 +86,7 @@ class Block:
         self.words = words_of(self.buffer)
 
     def runs(self) -> tuple[np.ndarray, ...]:
-        """Hash, place, document, first string and number of strings of each anchor, over strings inside a document."""
+        """Hash, document, first string and number of strings of each anchor, over strings inside a document."""
         parts, total = [], len(self.buffer) - LENGTH + 1
         for low in range(0, total, CHUNK):
             high = min(total, low + CHUNK)
@@ -104,9 +107,9 @@ class Block:
             place, string, doc = place[inside], string[inside], doc[inside]
             new = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (string[1:] != string[:-1] + 1)))
             count = np.diff(np.append(new, len(place)))
-            parts.append((h[place[new]], place[new] + low, doc[new], string[new], count))
+            parts.append((h[place[new]], doc[new], string[new], count))
         if not parts:
-            return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64))
+            return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
         return tuple(np.concatenate(p) for p in zip(*parts))
 
 
@@ -142,25 +145,42 @@ def spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return run, first[run] + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
 
 
-def refine(words: np.ndarray, string: np.ndarray, bucket: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Smallest owner of each string's final bucket.
+def refine(words: np.ndarray, string: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Smallest owner of an equal string, for the strings that start at rising positions of a buffer.
 
-    Buckets are split by the q-gram hashes at later offsets; strings whose bucket has one owner are done at once.
+    ``low`` and ``high`` are the smallest and largest owner of every position. ``pointer`` holds the bucket of a
+    suffix as the place where its bucket begins in the order of suffixes. A suffix that is final keeps its pointer:
+    whatever it would still be told from is in no bucket with it, or has the same owner.
     """
-    least, going = owner.copy(), np.arange(len(string))
-    for offset in (0, Q, LENGTH - Q):
-        bucket = scramble(bucket, gram_hashes(words, string[going] + offset))
-        order = np.argsort(bucket)
-        going, bucket = going[order], bucket[order]
-        heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        if not len(going):
+    needed = [np.zeros(len(words), bool)]  # positions by the depth their pointers must reach, deepest first
+    needed[0][string] = True
+    for step in STEPS[::-1]:
+        wider = needed[-1].copy()
+        wider[step:] |= needed[-1][:-step]
+        needed.append(wider)
+    least = low[string]
+    pointer = np.zeros(len(words), np.uint32)
+    going = np.flatnonzero(needed.pop())
+    key, base = words[going], np.zeros(len(going), np.uint32)
+    for step in (*STEPS, None):
+        order = np.argsort(key)
+        going, key, base = going[order], key[order], base[order]
+        new = np.append(True, key[1:] != key[:-1])[:len(key)]
+        heads = np.flatnonzero(new)
+        if not len(heads):
             break
-        low, high = np.minimum.reduceat(owner[going], heads), np.maximum.reduceat(owner[going], heads)
-        sizes = np.diff(np.append(heads, len(going)))
-        several = np.repeat(low < high, sizes)
-        if offset == LENGTH - Q:
-            least[going] = np.repeat(low, sizes)
-        going, bucket = going[several], bucket[several]
+        sizes = np.diff(np.append(heads, len(key)))
+        least_of, most_of = np.minimum.reduceat(low[going], heads), np.maximum.reduceat(high[going], heads)
+        if step is None:
+            least[np.searchsorted(string, going)] = np.repeat(least_of, sizes)
+            break
+        parent = np.flatnonzero(np.append(True, base[1:] != base[:-1]))
+        inside = heads - parent[np.searchsorted(parent, heads, side="right") - 1]
+        pointer[going] = np.repeat(base[heads] + inside.astype(np.uint32), sizes)
+        going = going[np.repeat((sizes > 1) & (least_of < most_of), sizes)]
+        going = going[needed.pop()[going]]
+        base = pointer[going]
+        key = base.astype(np.uint64) << np.uint64(32) | pointer[going + step]
     return least
 
 
@@ -204,7 +224,7 @@ def send_strings(n_buckets: int):
         if not table.num_rows:
             return out.empty_table()
         block = Block(table)
-        h, place, doc, first, count = block.runs()
+        h, doc, first, count = block.runs()
         if not len(h):
             return out.empty_table()
         short = h >> np.uint64(64 - 8 * HASH_BYTES)
@@ -219,57 +239,81 @@ def send_strings(n_buckets: int):
         several = np.zeros(len(h), bool)
         several[order] = np.repeat(np.minimum.reduceat(doc[order], heads) < np.maximum.reduceat(doc[order], heads), sizes)
         chosen = np.flatnonzero(abroad | several)
-        h, place, doc, first, count, abroad, short = (x[chosen] for x in (h, place, doc, first, count, abroad, short))
+        doc, first, count, abroad, short = (x[chosen] for x in (doc, first, count, abroad, short))
         run_of, string = spread(first, count)
-        # The place of the anchor in the string, not of the string in the run, is what equal strings share.
-        start = scramble(h[run_of], (place[run_of] - string).astype(np.uint64))
-        owner = block.ids[doc][run_of]
-        removed = owner > refine(block.words, string, start, owner)
+        twice = several[chosen][run_of]
+        removed = np.zeros(len(string), bool)
+        if twice.any():
+            rank = np.repeat(np.cumsum(np.append(0, block.ids[1:] != block.ids[:-1])), block.sizes).astype(np.int32)
+            wanted = np.zeros(len(block.buffer), bool)
+            wanted[string[twice]] = True
+            starts = np.flatnonzero(wanted)
+            wanted[starts] = rank[starts] > refine(block.words, starts, rank, rank)
+            removed = wanted[string]
         found = hits(run_of, string, removed, doc, first - block.starts[doc], first)
         found_bucket = bucket_numbers(short, n_buckets)[np.unique(run_of[removed])]
-        left = np.zeros(len(h), bool)
+        left = np.zeros(len(doc), bool)
         left[run_of[~removed]] = True
         sent = np.flatnonzero(left & abroad)
         runs = np.zeros(len(sent), RUN)
-        runs["doc_id"], runs["doc"], runs["first"] = block.ids[doc[sent]], doc[sent], (first - block.starts[doc])[sent]
-        runs["strings"], runs["anchor"] = count[sent], (place - first)[sent]
+        runs["doc_id"], runs["doc"] = block.ids[doc[sent]], doc[sent]
+        runs["first"], runs["strings"] = (first - block.starts[doc])[sent], count[sent]
         bucket = bucket_numbers(short, n_buckets)[sent]
         number, rows = table["block"][0].as_py(), []
         view = memoryview(block.buffer)
-        for b in np.unique(np.concatenate([bucket, found_bucket])):
-            own = np.flatnonzero(bucket == b)
-            spans = [view[f:f + c + LENGTH - 1] for f, c in zip(first[sent[own]].tolist(), count[sent[own]].tolist())]
-            rows.append((int(b), number, found[found_bucket == b].tobytes(), runs[own].tobytes(), b"".join(spans)))
+        order, found_order = np.argsort(bucket, kind="stable"), np.argsort(found_bucket, kind="stable")
+        sent, runs, found = sent[order], runs[order], found[found_order]
+        used = np.unique(np.concatenate([bucket, found_bucket]))
+        cuts = [np.searchsorted(x[o], used, side=side).tolist() for x, o in ((bucket, order), (found_bucket, found_order)) for side in ("left", "right")]
+        lows, highs = first[sent].tolist(), (first + count)[sent].tolist()
+        for b, low, high, found_low, found_high in zip(used.tolist(), *cuts):
+            spans = [view[f:t + LENGTH - 1] for f, t in zip(lows[low:high], highs[low:high])]
+            rows.append((b, number, found[found_low:found_high].tobytes(), runs[low:high].tobytes(), b"".join(spans)))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out) if rows else out.empty_table()
 
     return run
 
 
+def distinct_spans(data: bytes, first: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The number of each span among the distinct ones, and those."""
+    numbers: dict[bytes, int] = {}
+    which = [numbers.setdefault(data[f:f + n], len(numbers)) for f, n in zip(first.tolist(), lengths.tolist())]
+    return np.array(which, np.int64), list(numbers)
+
+
 def find_strings(table: pa.Table) -> pa.Table:
-    """Refinement over the strings of all blocks in a bucket; passes on what the blocks found themselves."""
+    """Refinement over the strings of all blocks in a bucket; passes on what the blocks found themselves.
+
+    Runs with the same bytes are one run with several owners, so copies are sorted once.
+    """
     blocks = table["block"].to_pylist()
     runs = [np.frombuffer(x.as_py(), RUN) for x in table["runs"]]
     origin = np.repeat(np.arange(len(blocks)), [len(r) for r in runs])
     every = np.concatenate(runs)
-    buffer = np.frombuffer(b"".join(x.as_py() for x in table["bytes"]), np.uint8)
     found = [x.as_py() for x in table["found"]]
     if len(every):
         count = every["strings"].astype(np.int64)
         lengths = count + LENGTH - 1
-        first = np.cumsum(lengths) - lengths
-        words = words_of(buffer)
-        run_of, string = spread(first, count)
-        place = first + every["anchor"]
-        # Equal strings have their anchor at the same place.
-        start = scramble(gram_hashes(words, place)[run_of], (place[run_of] - string).astype(np.uint64))
-        owner = every["doc_id"][run_of]
-        removed = owner > refine(words, string, start, owner)
-        masks = hits(run_of, string, removed, np.arange(len(every)), np.zeros(len(every), np.int64), first)
+        which, spans = distinct_spans(b"".join(x.as_py() for x in table["bytes"]), np.cumsum(lengths) - lengths, lengths)
+        owner = np.unique(every["doc_id"], return_inverse=True)[1].astype(np.int32)
+        order = np.argsort(which, kind="stable")
+        heads = np.searchsorted(which[order], np.arange(len(spans)))
+        low, high = np.minimum.reduceat(owner[order], heads), np.maximum.reduceat(owner[order], heads)
+        sizes = np.fromiter(map(len, spans), np.int64, len(spans))
+        words = words_of(np.frombuffer(b"".join(spans), np.uint8))
+        start = np.cumsum(sizes) - sizes
+        string = spread(start, sizes - LENGTH + 1)[1]
+        least = np.zeros(len(words), np.int32)
+        least[string] = refine(words, string, np.repeat(low, sizes), np.repeat(high, sizes))
+        # Every string of every run, numbered by where it starts among the distinct spans.
+        run_of, string = spread(start[which], count)
+        removed = owner[run_of] > least[string]
+        masks = hits(run_of, string, removed, np.arange(len(every)), np.zeros(len(every), np.int64), start[which])
         at = masks["doc"].astype(np.int64)
         masks["first"] = every["first"][at]
         masks["doc"] = every["doc"][at]
-        for i in np.unique(origin[at]):
-            found[i] += masks[origin[at] == i].tobytes()
+        edges = np.searchsorted(origin[at], np.arange(len(blocks) + 1)).tolist()
+        found = [x + masks[a:b].tobytes() for x, a, b in zip(found, edges, edges[1:])]
     some = [i for i, x in enumerate(found) if x]
     return pa.table([pa.array([blocks[i] for i in some], pa.int32()), pa.array([found[i] for i in some], pa.binary())],
                     schema=pa.schema([("block", pa.int32()), ("found", pa.binary())]))
@@ -319,11 +363,17 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, as_text: boo
     size = int(docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0)
     cores = docs.sparkSession.sparkContext.defaultParallelism
     n_blocks = max(1, -(-size // block_bytes), min(cores, size >> 20))
-    dealt = docs.withColumn("block", block_of(n_blocks, "doc_id"))
-    by_block = dealt.groupBy("block")
+    place = F.xxhash64(F.monotonically_increasing_id())  # not the id or the text: either may be that of many rows
+    dealt = docs.withColumn("block", F.pmod(place, F.lit(n_blocks)).cast("int"))
+
+    def spread_by(df: DataFrame, column: str):
+        """Groups over as many tasks as there are blocks, so that a task stays as small when the corpus grows."""
+        return df.repartition(min(n_blocks, MAX_TASKS), column).groupBy(column)
+
+    by_block = spread_by(dealt, "block")
     grams = by_block.applyInArrow(send_grams(n_blocks), GRAMS)
-    shared = grams.groupBy("bucket").applyInArrow(mark_shared, SHARED)
-    strings = by_block.cogroup(shared.groupBy("block")).applyInArrow(send_strings(n_blocks), STRINGS)
-    found = strings.groupBy("bucket").applyInArrow(find_strings, FOUND)
+    shared = spread_by(grams, "bucket").applyInArrow(mark_shared, SHARED)
+    strings = by_block.cogroup(spread_by(shared, "block")).applyInArrow(send_strings(n_blocks), STRINGS)
+    found = spread_by(strings, "bucket").applyInArrow(find_strings, FOUND)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + added
-    return by_block.cogroup(found.groupBy("block")).applyInArrow(cut_texts(arrow_schema(schema), columns, as_text), schema)
+    return by_block.cogroup(spread_by(found, "block")).applyInArrow(cut_texts(arrow_schema(schema), columns, as_text), schema)

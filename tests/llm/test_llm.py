@@ -210,10 +210,41 @@ def test_signatures_estimate_similarity():
 
 
 def test_removal_matches_brute_force(spark, texts):
-    rows = [(i, t) for i, t in texts.items() if len(t) < 6000]
+    rows = [(i, t or "") for i, t in texts.items()]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     cut = suffix.remove_repeats(docs, block_bytes=60_000)  # several blocks
-    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in cut.collect()) == brute_removed(rows)
+    want = brute_removed(rows)
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in cut.collect()) == want
+    got = QUERIES["op6_suffix_array_dedup"](spark, SF).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == [(*w[:4], hashlib.sha256(w[4]).hexdigest()) for w in want]
+
+
+@pytest.mark.parametrize("size, letters", [(60, 1), (400, 2), (3000, 2), (3000, 200)])
+def test_pointers_tell_suffixes_apart_as_their_bytes_do(size, letters):
+    rng = np.random.default_rng(size + letters)
+    data = rng.integers(0, letters, size, dtype=np.uint8)
+    data[-size // 3:] = data[:-(-size // 3)]  # a long repeat
+    span = np.arange(size) // 100  # owners are those of a whole span, and strings end inside it
+    low = rng.integers(0, 9, size)[span].astype(np.int32)
+    high = low + (rng.random(size) < 0.2)[span].astype(np.int32)
+    string = np.flatnonzero((rng.random(size) < 0.8) & (np.arange(size) % 100 <= 50) & (np.arange(size) <= size - suffix.LENGTH))
+    least = suffix.refine(suffix.words_of(data), string, low, high)
+    first = {}
+    for s in string.tolist():
+        key = data[s:s + suffix.LENGTH].tobytes()
+        first[key] = min(first.get(key, 99), low[s])
+    assert least.tolist() == [first[data[s:s + suffix.LENGTH].tobytes()] for s in string.tolist()]
+
+
+def test_repeated_rows_and_ids_are_spread_over_blocks(spark):
+    rng = random.Random(3)
+    line = "".join(rng.choice("abcd ") for _ in range(400))
+    rows = [(7, line)] * 300 + [(i, line[i:i + 120] + str(i) * 40) for i in range(8, 60)] + [(None, line)] * 300
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    cut = suffix.remove_repeats(docs, block_bytes=9000).collect()
+    assert all(r.n_removed == 0 for r in cut if r.doc_id in (7, None)) and len(cut) == len(rows)
+    want = {w[0]: w[2] for w in brute_removed([(7, line), *rows[300:352]])}
+    assert {r.doc_id: r.n_removed for r in cut if r.doc_id is not None} == want
 
 
 def test_removal_of_made_up_repeats(spark):
