@@ -367,8 +367,8 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, as_text: boo
     dealt = docs.withColumn("block", F.pmod(place, F.lit(n_blocks)).cast("int"))
 
     def spread_by(df: DataFrame, column: str):
-        """Groups over as many tasks as there are blocks, so that a task stays as small when the corpus grows."""
-        return df.repartition(min(n_blocks, MAX_TASKS), column).groupBy(column)
+        """Groups by the number in a column, one a task, so that a task stays as small when the corpus grows."""
+        return (df.repartitionById(n_blocks, column) if n_blocks <= MAX_TASKS else df.repartition(MAX_TASKS, column)).groupBy(column)
 
     by_block = spread_by(dealt, "block")
     grams = by_block.applyInArrow(send_grams(n_blocks), GRAMS)
