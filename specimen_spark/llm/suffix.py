@@ -11,7 +11,9 @@ string, the one with the smallest hash (the leftmost, if tied) is its anchor, an
    replaced after each pass and the next one reads them, so depth grows from 8 to 16, 32 and 50 bytes. Buckets of one
    suffix or one owner are final. No hash decides here: first buckets are the bytes themselves. First inside each
    block: of equal strings only those of the smallest document go on, the others are found already. So however many
-   copies a string has, a block sends it once. Then over all blocks, by bucket of the anchor's hash.
+   copies a string has, a block sends it once. Then over all blocks, by bucket of the anchor's hash. An anchor that
+   has many different surroundings in some block is hot: its strings go one by one, by the hash of all their bytes, so
+   only equal ones meet, at most one a block and document.
 3. Found strings return to their block, and their bytes are cut out of the texts.
 
 The texts are shuffled once; all three passes of a block read that shuffle. Block numbers must come out the same if a
@@ -41,10 +43,11 @@ BLOCK_BYTES = 8 << 20
 MAX_TASKS = 10_000  # beyond so many blocks, a task takes several one after another
 CHUNK = 1 << 18
 HASH_BYTES = 6
+HOT_SPANS = 64  # different surroundings in one block that make an anchor hot
 K = np.uint64(0x9E3779B97F4A7C15)
 LOW = np.uint64(0xFFFFFFFF)
-GRAMS = "bucket int, block int, hashes binary"
-SHARED = "block int, bucket int, bits binary"
+GRAMS = "bucket int, block int, hashes binary, hot binary"
+SHARED = "block int, bucket int, bits binary, hot binary"
 STRINGS = "bucket int, block int, found binary, runs binary, bytes binary"
 FOUND = "block int, found binary"
 RUN = np.dtype([("doc_id", "<i8"), ("doc", "<i4"), ("first", "<i4"), ("strings", "u1")])
@@ -194,27 +197,49 @@ def hits(run: np.ndarray, string: np.ndarray, removed: np.ndarray, doc: np.ndarr
     return out
 
 
-def send_grams(n_buckets: int):
+def string_hashes(words: np.ndarray, string: np.ndarray) -> np.ndarray:
+    return scramble(scramble(gram_hashes(words, string), gram_hashes(words, string + Q)), words[string + LENGTH - 8])
+
+
+def hot_anchors(words: np.ndarray, short: np.ndarray, first: np.ndarray, count: np.ndarray, hot_spans: int) -> np.ndarray:
+    """Sorted hashes of the anchors with at least ``hot_spans`` spans that differ at an end."""
+    order = np.argsort(short)
+    heads = np.flatnonzero(np.append(True, short[order][1:] != short[order][:-1])[:len(order)])
+    sizes = np.diff(np.append(heads, len(order)))
+    often = order[np.repeat(sizes >= hot_spans, sizes)]
+    ends = scramble(words[first[often]] * K, words[first[often] + count[often] + LENGTH - 9])
+    sides = np.unique(np.stack([short[often], ends], axis=1), axis=0)[:, 0]
+    hashes, spans = np.unique(sides, return_counts=True)
+    return hashes[spans >= hot_spans]
+
+
+def send_grams(n_buckets: int, hot_spans: int):
     out = arrow_schema(GRAMS)
 
     def run(table: pa.Table) -> pa.Table:
-        block = table["block"][0].as_py()
-        rows = [(b, block, pack_hashes(s)) for b, s in bucket_slices(Block(table).runs()[0], n_buckets)]
+        number, block = table["block"][0].as_py(), Block(table)
+        h, _, first, count = block.runs()
+        hot = hot_anchors(block.words, h >> np.uint64(64 - 8 * HASH_BYTES), first, count, hot_spans)
+        rows = [(b, number, pack_hashes(s), np.packbits(np.isin(s, hot)).tobytes()) for b, s in bucket_slices(h, n_buckets)]
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out) if rows else out.empty_table()
 
     return run
 
 
+def bits_of(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
+
+
 def mark_shared(table: pa.Table) -> pa.Table:
-    """Bits of the hashes that more than one block has."""
+    """Bits of the hashes that more than one block has, and of those that are hot in some block."""
     blobs = [unpack_hashes(x.as_py()) for x in table["hashes"]]
     everything, inverse, counts = np.unique(np.concatenate(blobs), return_inverse=True, return_counts=True)
-    shared, at, bits = counts[inverse] > 1, 0, []
-    for blob in blobs:
-        bits.append(np.packbits(shared[at:at + len(blob)]).tobytes())
-        at += len(blob)
-    out = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
-    return pa.table([table["block"], table["bucket"], pa.array(bits, pa.binary())], schema=out)
+    hot = np.zeros(len(everything), bool)
+    hot[inverse[np.concatenate([bits_of(x.as_py(), len(blob)) for x, blob in zip(table["hot"], blobs)])]] = True
+    edges = np.cumsum([0, *map(len, blobs)]).tolist()
+    bits = [[np.packbits(flags[inverse[a:b]]).tobytes() for a, b in zip(edges, edges[1:])] for flags in (counts > 1, hot)]
+    out = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary()), ("hot", pa.binary())])
+    return pa.table([table["block"], table["bucket"], *[pa.array(b, pa.binary()) for b in bits]], schema=out)
 
 
 def send_strings(n_buckets: int):
@@ -228,18 +253,17 @@ def send_strings(n_buckets: int):
         if not len(h):
             return out.empty_table()
         short = h >> np.uint64(64 - 8 * HASH_BYTES)
-        bits = dict(zip(answers["bucket"].to_pylist(), answers["bits"].to_pylist()))
-        shared = [s[np.unpackbits(np.frombuffer(bits[b], np.uint8), count=len(s)).astype(bool)] for b, s in bucket_slices(h, n_buckets)]
-        shared = np.sort(np.concatenate(shared))
-        at = np.minimum(np.searchsorted(shared, short), max(0, len(shared) - 1))
-        abroad = shared[at] == short if len(shared) else np.zeros(len(h), bool)
+        answered = dict(zip(answers["bucket"].to_pylist(), zip(answers["bits"].to_pylist(), answers["hot"].to_pylist())))
+        slices = [(s, *[bits_of(x, len(s)) for x in answered[b]]) for b, s in bucket_slices(h, n_buckets)]
+        abroad = np.isin(short, np.concatenate([s[shared] for s, shared, _ in slices]))
+        hot = np.isin(short, np.concatenate([s[marked] for s, _, marked in slices]))
         order = np.argsort(short)
         heads = np.flatnonzero(np.append(True, short[order][1:] != short[order][:-1]))
         sizes = np.diff(np.append(heads, len(order)))
         several = np.zeros(len(h), bool)
         several[order] = np.repeat(np.minimum.reduceat(doc[order], heads) < np.maximum.reduceat(doc[order], heads), sizes)
         chosen = np.flatnonzero(abroad | several)
-        doc, first, count, abroad, short = (x[chosen] for x in (doc, first, count, abroad, short))
+        doc, first, count, abroad, hot, short = (x[chosen] for x in (doc, first, count, abroad, hot, short))
         run_of, string = spread(first, count)
         twice = several[chosen][run_of]
         removed = np.zeros(len(string), bool)
@@ -254,18 +278,22 @@ def send_strings(n_buckets: int):
         found_bucket = bucket_numbers(short, n_buckets)[np.unique(run_of[removed])]
         left = np.zeros(len(doc), bool)
         left[run_of[~removed]] = True
-        sent = np.flatnonzero(left & abroad)
+        sent = np.flatnonzero(left & abroad & ~hot)
+        alone = np.flatnonzero(~removed & (abroad & hot)[run_of])
+        bucket = np.concatenate([bucket_numbers(short[sent], n_buckets), bucket_numbers(string_hashes(block.words, string[alone]), n_buckets)])
+        sent = np.concatenate([sent, run_of[alone]])
+        begin = np.concatenate([first[sent[:len(sent) - len(alone)]], string[alone]])
+        strings = np.concatenate([count[sent[:len(sent) - len(alone)]], np.ones(len(alone), np.int64)])
         runs = np.zeros(len(sent), RUN)
         runs["doc_id"], runs["doc"] = block.ids[doc[sent]], doc[sent]
-        runs["first"], runs["strings"] = (first - block.starts[doc])[sent], count[sent]
-        bucket = bucket_numbers(short, n_buckets)[sent]
+        runs["first"], runs["strings"] = begin - block.starts[doc[sent]], strings
         number, rows = table["block"][0].as_py(), []
         view = memoryview(block.buffer)
         order, found_order = np.argsort(bucket, kind="stable"), np.argsort(found_bucket, kind="stable")
-        sent, runs, found = sent[order], runs[order], found[found_order]
+        begin, strings, runs, found = begin[order], strings[order], runs[order], found[found_order]
         used = np.unique(np.concatenate([bucket, found_bucket]))
         cuts = [np.searchsorted(x[o], used, side=side).tolist() for x, o in ((bucket, order), (found_bucket, found_order)) for side in ("left", "right")]
-        lows, highs = first[sent].tolist(), (first + count)[sent].tolist()
+        lows, highs = begin.tolist(), (begin + strings).tolist()
         for b, low, high, found_low, found_high in zip(used.tolist(), *cuts):
             spans = [view[f:t + LENGTH - 1] for f, t in zip(lows[low:high], highs[low:high])]
             rows.append((b, number, found[found_low:found_high].tobytes(), runs[low:high].tobytes(), b"".join(spans)))
@@ -350,7 +378,7 @@ def cut_texts(out: pa.Schema, columns: list[str], as_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, as_text: bool = False, hot_spans: int = HOT_SPANS) -> DataFrame:
     """The rows of docs (doc_id, text and any others) with kept, n_bytes, n_removed, n_spans and spans.
 
     ``kept`` holds bytes, or text without the characters that were cut through. Columns of those names in ``docs``
@@ -371,7 +399,7 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, as_text: boo
         return (df.repartitionById(n_blocks, column) if n_blocks <= MAX_TASKS else df.repartition(MAX_TASKS, column)).groupBy(column)
 
     by_block = spread_by(dealt, "block")
-    grams = by_block.applyInArrow(send_grams(n_blocks), GRAMS)
+    grams = by_block.applyInArrow(send_grams(n_blocks, hot_spans), GRAMS)
     shared = spread_by(grams, "bucket").applyInArrow(mark_shared, SHARED)
     strings = by_block.cogroup(spread_by(shared, "block")).applyInArrow(send_strings(n_blocks), STRINGS)
     found = spread_by(strings, "bucket").applyInArrow(find_strings, FOUND)

@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -236,6 +237,29 @@ def test_pointers_tell_suffixes_apart_as_their_bytes_do(size, letters):
     assert least.tolist() == [first[data[s:s + suffix.LENGTH].tobytes()] for s in string.tolist()]
 
 
+@pytest.mark.parametrize("hot_spans", [2, 20])
+def test_hot_anchors_lose_nothing(spark, hot_spans):
+    """A phrase in many surroundings, some of them shared."""
+    rng = random.Random(5)
+    phrase = "".join(rng.choice("abcde ") for _ in range(60))
+    sides = ["".join(rng.choice("abcde ") for _ in range(40)) for _ in range(60)]
+    rows = [(i, rng.choice(sides) + phrase[rng.randrange(9):rng.randrange(35, 60)] + rng.choice(sides)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    cut = suffix.remove_repeats(docs, block_bytes=9000, hot_spans=hot_spans)
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in cut.collect()) == brute_removed(rows)
+
+
+def test_anchors_are_hot_by_their_surroundings():
+    rng = random.Random(6)
+    phrase, side = "the same words that many have in common, as they are", lambda: "".join(rng.choice("abcde ") for _ in range(60))
+    one = side()
+    copies = suffix.Block(pa.table({"doc_id": list(range(90)), "text": [one + phrase + one] * 90}))
+    mixed = suffix.Block(pa.table({"doc_id": list(range(90)), "text": [side() + phrase + side() for _ in range(90)]}))
+    for block, some in ((copies, False), (mixed, True)):
+        h, _, first, count = block.runs()
+        assert bool(len(suffix.hot_anchors(block.words, h, first, count, 64))) == some
+
+
 def test_repeated_rows_and_ids_are_spread_over_blocks(spark):
     rng = random.Random(3)
     line = "".join(rng.choice("abcd ") for _ in range(400))
