@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from specimen_spark.llm.batches import map_columns
 
@@ -102,15 +103,21 @@ def ledger(docs: DataFrame) -> DataFrame:
     return map_columns(docs.select(F.col("doc_id").cast("bigint"), "text"), rows, LEDGER)
 
 
-def filter_documents(docs: DataFrame, policy: str) -> DataFrame:
-    """The rows of docs (text and any others) that the policy keeps."""
-    rejecting = mask(policy)
+def with_bits(docs: DataFrame, name: str = "fail_bits") -> DataFrame:
+    """The rows of docs (text and any others) with their failure bits; a column of that name is replaced."""
+    docs = docs.drop(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([not fail_bits(*measure(t)) & rejecting for t in batch["text"].to_pylist()], pa.bool_()))
+            bits = pa.array([fail_bits(*measure(t)) for t in batch["text"].to_pylist()], pa.int64())
+            yield batch.append_column(name, bits)
+
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField(name, LongType())]))
 
-    return docs.mapInArrow(run, docs.schema)
+
+def filter_documents(docs: DataFrame, policy: str) -> DataFrame:
+    """The rows of docs (text and any others) that the policy keeps."""
+    return with_bits(docs, "__fail_bits").where(~rejected_by(policy, "__fail_bits")).select(*docs.columns)
 
 
 def rejected_by(policy: str, bits: Column | str = "fail_bits") -> Column:

@@ -46,7 +46,11 @@ WITH lines AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 10 * n_symbols > 3 * n_words OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 2 * n_words
-    OR word_chars > 15 * n_words OR 2 * n_upper > n_words OR 2 * n_letter < n_words OR 2 * n_marks > n_words) AS kept
+    OR word_chars > 15 * n_words OR 2 * n_upper > n_words OR 2 * n_letter < n_words OR 2 * n_marks > n_words) AS kept,
+  (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > 3 * n_words)::BIGINT
+    + 8 * (100 * n_dup_lines > 30 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::BIGINT
+    + 32 * (2 * n_upper > n_words)::BIGINT + 64 * (2 * n_letter < n_words)::BIGINT + 128 * (2 * n_marks > n_words)::BIGINT
+    + 256 * (n_words > 100000)::BIGINT AS fail_bits
 FROM judged
 """
 
@@ -56,7 +60,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = quality.ledger(table(spark, sf_dir, "documents", "doc_id", "text"))
     return marked.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        quality.rejected_by("base").alias("base_failed"), (~quality.rejected_by("v1")).alias("kept"),
+        quality.rejected_by("base").alias("base_failed"), (~quality.rejected_by("v1")).alias("kept"), "fail_bits",
     )
 
 

@@ -108,6 +108,26 @@ def test_policies_and_ablations(spark):
     assert got == {"too_few_words": (2, 1, 3), "repeated_words": (2, 1, 3)}
 
 
+@pytest.mark.parametrize("policy", quality.POLICIES)
+def test_ablations_over_the_table_match_sql(spark, policy):
+    got = quality.ablations(QUERIES["op9_quality_rules"](spark, SF), policy).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM '{SF}/documents.parquet'")
+    con.execute(f"CREATE TABLE marked AS SELECT fail_bits & {quality.mask(policy)} AS bits FROM ({QUALITY_SQL})")
+    assert sorted(r["rule"] for r in got) == sorted(quality.POLICIES[policy])
+    for r in got:
+        bit = 1 << quality.RULES.index(r["rule"])
+        want = con.execute(f"SELECT count(*) FILTER (bits & {bit} <> 0), count(*) FILTER (bits = {bit}), count(*) FILTER (bits <> 0) FROM marked").fetchone()
+        assert (r["n_failing"], r["n_only_this"], r["n_rejected"]) == want
+
+
+def test_bits_stored_with_documents_decide_every_policy(odd):
+    stored = quality.with_bits(odd.withColumn("fail_bits", F.lit("mine")))
+    for policy in quality.POLICIES:
+        kept = stored.where(~quality.rejected_by(policy)).select(*odd.columns)
+        assert sorted(map(str, kept.collect())) == sorted(map(str, quality.filter_documents(odd, policy).collect()))
+
+
 def test_filter_keeps_clean_documents(spark, texts):
     labels = pq.read_table(f"{SF}/labels.parquet").to_pydict()
     good = [i for i, q, t in zip(labels["doc_id"], labels["quality"], labels["toxic"]) if q == 1 and len(texts[i].split()) >= 50]
