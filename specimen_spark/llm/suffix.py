@@ -39,7 +39,7 @@ from specimen_spark.llm.batches import arrow_schema
 LENGTH, Q = 50, 24
 SPAN = LENGTH - Q + 1  # q-grams in a string, so at most so many strings have one anchor
 STEPS = (8, 16, LENGTH - 32)  # offsets whose pointers take the depth from 8 bytes to 16, 32 and LENGTH
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 MAX_TASKS = 10_000  # beyond so many blocks, a task takes several one after another
 CHUNK = 1 << 18
 HASH_BYTES = 6
