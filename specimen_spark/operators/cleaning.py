@@ -33,23 +33,28 @@ def clean_manifest(
     """Accepted rows in the clean layout, and input rows with ``reject_reason``.
 
     The first row of a URL claims it even when that row is rejected for a
-    later reason. Both results come from one cascade; write or cache the
-    cascade once when both are stored.
+    later reason. Accepted rows are judged apart from the rejected ones,
+    without most of those.
     """
-    judged = judge_rows(
-        df, order_cols, require_downloaded=require_downloaded,
-        allow_missing_coordinates=allow_missing_coordinates, filter_us_scope=filter_us_scope,
-        existing_paths=existing_paths, family=family,
+    options = dict(
+        require_downloaded=require_downloaded, allow_missing_coordinates=allow_missing_coordinates,
+        filter_us_scope=filter_us_scope, existing_paths=existing_paths, family=family,
     )
-    rejected = judged.where(F.col("reject_reason").isNotNull()).select(*df.columns, "reject_reason")
-    return accepted_rows(judged, df, order_cols, family), rejected
+    rejected = judge_rows(df, order_cols, **options).where(F.col("reject_reason").isNotNull())
+    judged = judge_rows(df, order_cols, accepted_only=True, **options)
+    return accepted_rows(judged, df, order_cols, family), rejected.select(*df.columns, "reject_reason")
 
 
 def judge_rows(
     df: DataFrame, order_cols, *, require_downloaded: bool = False, allow_missing_coordinates: bool = False,
     filter_us_scope: bool = True, existing_paths: DataFrame | None = None, family: str = TARGET_FAMILY,
+    accepted_only: bool = False,
 ) -> DataFrame:
-    """All input rows plus ``reject_reason`` (null = accepted) and the cleaned key columns."""
+    """All input rows plus ``reject_reason`` (null = accepted) and the cleaned key columns.
+
+    ``accepted_only`` leaves out rejected rows early: by family and place
+    before the rows move, by the claim of their URL before names are read.
+    """
     validate_required(df, RAW_REQUIRED)
     claims = (
         df.select(blank_to_null("image_url").alias("__url"), *order_cols)
@@ -57,6 +62,20 @@ def judge_rows(
         .agg(F.min(order_struct(order_cols)).alias("__claim"))
     )
 
+    if accepted_only:
+        lat, lon = parse_float_finite("latitude"), parse_float_finite("longitude")
+        placed = lat.isNotNull() & lon.isNotNull()
+        passing = F.lower(normalize_text(optional(df, "family"))).isin("", family.lower())
+        if not allow_missing_coordinates:
+            passing = passing & placed
+        if filter_us_scope:
+            passing = passing & ~(placed & (classify_region(lat, lon) == ""))
+        df = df.where(passing)
+        # The join is on URL and order together, so the rows of a hot URL spread out.
+        won = claims.where(F.col("__url").isNotNull()).select(F.col("__url").alias("__won"), F.col("__claim").alias("__won_by"))
+        same = (blank_to_null("image_url") == F.col("__won")) & order_struct(order_cols).eqNullSafe(F.col("__won_by"))
+        df = df.join(won.hint("shuffle_hash"), same, "left_semi")
+
     # Everything that looks at one row only is computed below the join with
     # the claims, so a filter on the final reason cannot repeat it.
     path = F.coalesce(
@@ -105,7 +124,7 @@ def judge_rows(
     return attach(rows, claims, ["__url"]).select(
         *df.columns, "__url", "__lat", "__lon", "__path", "__species_label", "__species_source", "__genus_hint", "__country", "__state", "__region",
         F.when(F.col("__url").isNull(), F.lit("missing_image_url"))
-        .when(order_struct(order_cols) != F.col("__claim"), F.lit("duplicate_image_url"))
+        .when(~order_struct(order_cols).eqNullSafe(F.col("__claim")), F.lit("duplicate_image_url"))
         .otherwise(F.col("__row_reason"))
         .alias("reject_reason"),
     )

@@ -468,3 +468,32 @@ def test_progress_counts_of_a_stream_survive_restarts(spark, tmp_path):
         ingest.stream_progress_counts(log, f"{base}/table", f"{base}/cp").awaitTermination()
         want = {s: sum(r == (s,) for r in seen) for s, in set(seen)}
         assert {r.status: r.rows for r in ingest.progress_table(spark, f"{base}/table").current().collect()} == want
+
+
+def test_generated_methods_are_bounded_and_white_space_needs_no_lambda(spark):
+    from specimen_spark.catalog import QUERIES
+    from specimen_spark.functions.text import normalize_text
+
+    QUERIES["C2_preprocess_ok"](spark, "/root/testdata/sf0.001")
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+    texts = [None, "", " a  b ", "a\tb", "a \t b", "　x  y\n", "a b", "\x1c"]
+    cells = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    squeezed = cells.select("i", normalize_text("t").alias("t"))
+    assert [r.t for r in squeezed.orderBy("i").collect()] == [" ".join((t or "").split()) for t in texts]
+    assert "lambda" not in squeezed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_accepted_rows_are_judged_without_those_that_fail_by_place_or_claim(spark):
+    names = ["i", "source", "record_id", "image_url", "species", "scientific_name", "genus", "latitude", "longitude", "family"]
+    rows = [(1, "gbif", "r1", "u1", "Danaus plexippus", "", "Danaus", "40", "-100", ""),
+            (2, "gbif", "r1", "u1", "Danaus plexippus", "", "Danaus", "40", "-100", ""),   # claimed by 1
+            (None, "gbif", "r1", "u1", "Danaus plexippus", "", "Danaus", "40", "-100", ""),   # without an order: after 1
+            (3, "gbif", "r2", "u2", "Danaus plexippus", "", "Danaus", "nan", "-100", ""),   # claims, though without a place
+            (4, "gbif", "r2", "u2", "Danaus plexippus", "", "Danaus", "40", "-100", ""),
+            (5, "gbif", "r3", "u3", "Danaus plexippus", "", "Danaus", "40", "-100", "Pieridae"),
+            (6, "gbif", "r4", "u4", "Danaus plexippus", "", "Danaus", "-40", "100", "")]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {'int' if n == 'i' else 'string'}" for n in names))
+    clean, rejected = cleaning.clean_manifest(df, ["i"])
+    assert [r.i for r in clean.collect()] == [1] and rejected.count() == 6
+    judged = cleaning.judge_rows(df, ["i"], accepted_only=True)
+    assert judged.count() == 1
