@@ -67,13 +67,13 @@ def with_group_key(df: DataFrame, name: str = "group_key") -> DataFrame:
 
 
 def group_species(df: DataFrame, order_cols) -> DataFrame:
-    """``group_key, species, rows``: majority species per group, first seen on ties."""
+    """``group_key, species, rows``: majority species per group, first seen on ties, then first in name order."""
     rows = with_group_key(df)
     counts = rows.groupBy("group_key", normalize_text("species").alias("species")).agg(
         F.count(F.lit(1)).alias("__n"), F.min(order_struct(order_cols)).alias("__first")
     )
     return counts.groupBy("group_key").agg(
-        F.min_by("species", F.struct(-F.col("__n"), F.col("__first"))).alias("species"),
+        F.min_by("species", F.struct(-F.col("__n"), F.col("__first"), F.col("species"))).alias("species"),
         F.sum("__n").alias("rows"),
     )
 
