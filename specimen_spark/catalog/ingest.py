@@ -222,11 +222,11 @@ _FIRST_URL = """SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITIO
 
 @query("E1_dedupe_by_url", "SELECT row_idx, image_url, source FROM (" + _FIRST_URL.replace("{order}", "row_idx").replace("{src}", "{raw_manifest}") + ") u")
 def dedupe_by_url(spark, sf):
-    return dedupe.dedupe_by_url(view(spark, sf, "raw_manifest"), ORDER).select("row_idx", "image_url", "source")
+    return dedupe.dedupe_by_url(view(spark, sf, "raw_manifest").select("row_idx", "image_url", "source"), ORDER)
 
 
 def _merged(spark, sf):
-    raw = view(spark, sf, "raw_manifest")
+    raw = view(spark, sf, "raw_manifest").select("row_idx", "source", "image_url")
     inputs = {name: raw.where(F.col("source") == name) for name in ("idigbio_dwca", "gbif", "idigbio")}
     return dedupe.merge_manifests(inputs, ORDER)
 

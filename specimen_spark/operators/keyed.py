@@ -13,10 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specimen_spark.session import cut_lineage
+from specimen_spark.session import cut_lineage, scratch_path
 
 # Hexadecimal digits of a digest that tell slices of a rank apart: 4,096 slices a group.
 SLICE_DIGITS = 3
+# A lookup with no more bytes of values is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def order_struct(order_cols) -> Column:
@@ -44,30 +46,58 @@ def row_hash(columns) -> Column:
     return F.xxhash64(*[part for c in columns for part in (F.col(c), F.col(c).isNull())])
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: lineage is cut and its size is known."""
+    path = scratch_path(df.sparkSession, "keyed")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sized(lookup: DataFrame) -> DataFrame:
+    """A stored lookup with the join hint its measured size calls for."""
+    cells = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in lookup.columns]
+    size = lookup.agg(F.sum(sum(cells, F.lit(0))).alias("n")).first()["n"] or 0
+    return lookup.hint("broadcast" if size <= BROADCAST_BYTES else "shuffle_hash")
+
+
+def best_orders(df: DataFrame, keys, order_cols, last: bool = False) -> DataFrame:
+    """The first (or last) order of each key, as columns ``__k0...`` and ``__o0...``, stored; only these columns of ``df`` are read."""
+    names, orders = [f"__k{i}" for i in range(len(keys))], [f"__o{i}" for i in range(len(order_cols))]
+    pick = F.max if last else F.min
+    narrow = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *[F.col(c).alias(o) for c, o in zip(order_cols, orders)])
+    if len(orders) > 1:
+        # A struct cannot be aggregated by hash, so the last column is settled first, by hash; in a struct null is least.
+        *most, least = orders
+        settled = F.max(least) if last else F.when(F.count(F.lit(1)) == F.count(least), F.min(least))
+        narrow = narrow.groupBy(*names, *most).agg(settled.alias(least))
+    best = narrow.groupBy(*names).agg(pick(order_struct(orders)).alias("__best"))
+    return stored(best.select(*names, *(
+        [F.col("__best").alias(orders[0])] if len(orders) == 1 else [F.col(f"__best.{o}").alias(o) for o in orders])))
+
+
+def rows_at(df: DataFrame, best: DataFrame, keys, order_cols) -> DataFrame:
+    """Rows of ``df`` that have the order of ``best_orders`` of their key; more than one if rows share it."""
+    pairs = [*zip(keys, (f"__k{i}" for i in range(len(keys)))), *zip(order_cols, (f"__o{i}" for i in range(len(order_cols))))]
+    return df.join(sized(best), [df[c].eqNullSafe(best[n]) for c, n in pairs]).select(*df.columns)
+
+
+def one_per_key(rows: DataFrame, keys) -> DataFrame:
+    """One of the few rows of each key, chosen by a hash of the row."""
+    order = Window.partitionBy(*keys).orderBy("__row")
+    picked = rows.withColumn("__row", row_hash(rows.columns)).withColumn("__n", F.row_number().over(order))
+    return picked.where("__n = 1").select(*rows.columns)
+
+
 def winning_rows(df: DataFrame, keys, order_cols, last: bool = False) -> DataFrame:
     """Whole rows of ``df`` that come first (or last) of their key; rows without an order come after those with one.
 
-    Late materialisation: only keys and orders are aggregated, by hash, and wide rows move once, unsorted, to a hash
-    join with the winners. The join is on key and order together, so the rows of a hot key spread out. Keys whose
-    best order several rows share are settled by a hash of the row; of rows that are equal throughout one stays.
-    ``df`` runs twice. Null keys are a key.
+    Late materialisation: only keys and orders are aggregated, by hash, and stored. Rows meet the winners in a hash
+    join; if these are few they are broadcast, and only winning rows move. Otherwise the join is on key and order
+    together, so the rows of a hot key spread out. Keys whose best order several rows share are settled by a hash of
+    the row. ``df`` runs twice and moves whole, so leave out columns that are not wanted. Null keys are a key.
     """
     keys, order_cols = list(keys), list(order_cols)
-    pick, pick_by = (F.max, F.max_by) if last else (F.min, F.min_by)
-    names = [f"__k{i}" for i in range(len(keys))]
-    orders = [f"__o{i}" for i in range(len(order_cols))]
-    narrow = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *[F.col(c).alias(o) for c, o in zip(order_cols, orders)])
-    counted = narrow.groupBy(*names, *orders).agg(F.count(F.lit(1)).alias("__n"))
-    best = counted.groupBy(*names).agg(pick(order_struct(orders)).alias("__best"), pick_by("__n", order_struct(orders)).alias("__n"))
-    best = best.select(*names, F.coalesce("__n", F.lit(2)).alias("__n"), *(
-        [F.col("__best").alias(orders[0])] if len(orders) == 1 else [F.col(f"__best.{o}").alias(o) for o in orders]))
-    same = [df[k].eqNullSafe(best[n]) for k, n in [*zip(keys, names), *zip(order_cols, orders)]]
-    won = df.join(best.hint("shuffle_hash"), same).select(*df.columns, "__n")
-    tied = won.where("__n > 1").drop("__n")
-    tied = tied.withColumn("__row", row_hash(df.columns))
-    settled = tied.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.min("__row").alias("__least"))
-    one = tied.join(settled, [*[tied[k].eqNullSafe(settled[n]) for k, n in zip(keys, names)], tied["__row"] == settled["__least"]])
-    return won.where("__n = 1").drop("__n").union(one.select(*df.columns).distinct())
+    return one_per_key(rows_at(df, best_orders(df, keys, order_cols, last), keys, order_cols), keys)
 
 
 def attach(rows: DataFrame, lookup: DataFrame, keys, how: str = "left") -> DataFrame:
