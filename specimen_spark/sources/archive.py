@@ -9,8 +9,7 @@ from specimen_spark.fixed_values import ARCHIVE_SOURCE, SPECIMEN_RECORD_URL
 from specimen_spark.functions.geo import parse_geopoint_text
 from specimen_spark.functions.media import is_image_like
 from specimen_spark.functions.text import blank_to_null, first_nonempty, normalize_text
-from specimen_spark.operators.dedupe import dedupe_by_url
-from specimen_spark.operators.keyed import attach, last_per_key
+from specimen_spark.operators.keyed import attach, best_orders, last_per_key, one_per_key, rows_at, sized, stored
 from specimen_spark.sources.manifest import read_manifest
 from specimen_spark.sources.pages import manifest_row
 
@@ -25,7 +24,11 @@ def _column(df: DataFrame, name: str) -> Column:
 
 
 def import_dwca(occurrence: DataFrame, media: DataFrame, occurrence_order, media_order) -> DataFrame:
-    """Image rows of an archive, first row per URL. The last occurrence row of an id counts."""
+    """Image rows of an archive, first row per URL. The last occurrence row of an id counts.
+
+    The first rows are found on keys and orders alone, so only they are joined to occurrences, and only occurrences of
+    their ids are read whole.
+    """
     o = lambda n: _column(occurrence, n)
     m = lambda n: _column(media, n)
     records = occurrence.select(
@@ -45,7 +48,6 @@ def import_dwca(occurrence: DataFrame, media: DataFrame, occurrence_order, media
         normalize_text(first_nonempty(o("idigbio:eventDate"), o("dwc:eventDate"))).alias("event_date"),
         normalize_text(o("dwc:basisOfRecord")).alias("basis_of_record"),
     ).where(F.col("core").isNotNull())
-    latest = last_per_key(records, ["core"], occurrence_order).drop(*occurrence_order)
 
     url, form = normalize_text(m("ac:accessURI")), normalize_text(m("dcterms:format"))
     kind = first_nonempty(m("dc:type"), m("idigbio:mediaType"))
@@ -57,9 +59,14 @@ def import_dwca(occurrence: DataFrame, media: DataFrame, occurrence_order, media
         form.alias("image_format"),
         normalize_text(first_nonempty(m("xmpRights:WebStatement"), m("dcterms:rights"))).alias("license"),
     )
-    joined = attach(images, latest, ["core"], how="inner")
+    known = attach(images.select("core", "image_url", *media_order), records.select("core").distinct(), ["core"], how="left_semi")
+    firsts = stored(rows_at(images, best_orders(known, ["image_url"], media_order), ["image_url"], media_order))
+    wanted = stored(firsts.select("core").distinct())
+    latest = last_per_key(records.join(sized(wanted), "core", "left_semi"), ["core"], occurrence_order).drop(*occurrence_order)
+    # A row whose id has no occurrence goes here, before rows that share URL and order are settled.
+    joined = one_per_key(attach(firsts, latest, ["core"], how="inner"), ["image_url"])
     c = F.col
-    rows = joined.select(*media_order, *manifest_row(
+    return joined.select(*media_order, *manifest_row(
         source=F.lit(ARCHIVE_SOURCE), record_id=c("core"), media_id=c("media_id"),
         institution_code=c("institution_code"), catalog_number=c("catalog_number"), family=c("family"),
         genus=c("genus"), species=first_nonempty("species", "epithet"), scientific_name=c("scientific_name"),
@@ -68,4 +75,3 @@ def import_dwca(occurrence: DataFrame, media: DataFrame, occurrence_order, media
         basis_of_record=c("basis_of_record"), license=c("license"), image_url=c("image_url"),
         image_format=c("image_format"), record_url=F.concat(F.lit(SPECIMEN_RECORD_URL), c("core")),
     ))
-    return dedupe_by_url(rows, media_order)

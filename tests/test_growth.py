@@ -45,3 +45,15 @@ def test_merge_does_not_sort_its_rows(spark, tmp_path):
     assert "SortAggregate" not in plan_of(merged)
     assert {r.row_idx for r in merged.collect()} == {0, 2, 4, 6, 8, 10, 12, 14, 16}
     assert {r.key: r["rows"] for r in counts.collect()} == {"first": 50, "second": 50, "before_dedupe": 100, "after_dedupe": 9}
+
+
+def test_archive_reads_whole_only_what_wins(spark, tmp_path):
+    """The first row of a URL counts among rows with an occurrence; media are not scanned again when the result is read."""
+    occurrence = table(spark.createDataFrame([("c1", 1, "old"), ("c1", 2, "new"), ("c2", 3, "two")], "coreid string, o int, `dwc:scientificName` string"), tmp_path / "occurrence")
+    media = table(spark.createDataFrame(
+        [("none", 1, "http://a/1.jpg"), ("c2", 1, "http://a/1.jpg"), ("c1", 2, "http://a/1.jpg"), ("c1", 3, "http://a/2.jpg"), ("none", 4, "http://a/3.jpg"), ("c1", 5, "")],
+        "coreid string, m int, `ac:accessURI` string"), tmp_path / "media")
+    rows = archive.import_dwca(occurrence, media, ["o"], ["m"])
+    assert plan_of(rows).count("/media]") == 0 and plan_of(rows).count("/occurrence]") == 1
+    assert {(r.m, r.record_id, r.image_url, r.scientific_name) for r in rows.collect()} == {
+        (1, "c2", "http://a/1.jpg", "two"), (3, "c1", "http://a/2.jpg", "new")}
