@@ -57,3 +57,12 @@ def test_archive_reads_whole_only_what_wins(spark, tmp_path):
     assert plan_of(rows).count("/media]") == 0 and plan_of(rows).count("/occurrence]") == 1
     assert {(r.m, r.record_id, r.image_url, r.scientific_name) for r in rows.collect()} == {
         (1, "c2", "http://a/1.jpg", "two"), (3, "c1", "http://a/2.jpg", "new")}
+
+
+def test_ranked_queries_scan_their_table_before_they_are_read(spark):
+    """G1 and the assembly summary store the deduplicated rows, and read those."""
+    from specimen_spark.catalog import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    assert plan_of(QUERIES["G1_rank_in_group"](spark, sf)).count("lineitem.parquet]") == 0
+    assert plan_of(QUERIES["F14_assembly_summary"](spark, sf)).count("lineitem.parquet]") == 1
