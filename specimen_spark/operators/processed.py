@@ -14,7 +14,7 @@ from specimen_spark.functions.species import group_key
 from specimen_spark.functions.text import (
     blank_to_null, file_name, guess_extension_simple, normalize_text, path_suffix, file_stem, stable_name,
 )
-from specimen_spark.operators.keyed import attach, first_per_key, number_rank, sorted_rank
+from specimen_spark.operators.keyed import attach, first_per_key, number_rank, sized, sorted_rank, stored
 from specimen_spark.schemas import optional
 
 GROUP_COLUMNS = ("specimen_key", "record_id", "image_url", "image_path")
@@ -216,9 +216,10 @@ def destination_names(df: DataFrame, path_col: str, order_col: str) -> DataFrame
     free numbers before it. So if the blocked and the wanted ones of a base name are sorted together by that count,
     a wanted one's place is its number, and no list of numbers is gathered.
     """
-    paths = df.where(blank_to_null(path_col).isNotNull()).groupBy(F.col(path_col).alias("path")).agg(
+    # Stored, since ranking reads its input twice and the blocked names a third time.
+    paths = stored(df.where(blank_to_null(path_col).isNotNull()).groupBy(F.col(path_col).alias("path")).agg(
         F.min(order_col).alias("__seen")
-    ).withColumn("base", file_name("path"))
+    ).withColumn("base", file_name("path")))
     ranked = number_rank(paths, ["base"], "__seen", ["path"], "__n")
     firsts = ranked.where(F.col("__n") == 1).select("path", F.col("base").alias("name"))
     wanted = ranked.where(F.col("__n") > 1).select("base", (F.col("__n") - 1).alias("__free"), F.lit(0).alias("__taken"), "path")
@@ -260,7 +261,12 @@ def destination_names_simple(df: DataFrame, path_col: str, order_col: str, index
     tail = F.coalesce(blank_to_null(index).cast("string"), F.lit("dup"))
     named = df.where(blank_to_null(path_col).isNotNull()).withColumn("__base", file_name(path_col))
     ranked = number_rank(named, ["__base"], order_col, [index], "__n")
-    later = number_rank(ranked.where("__n > 1").withColumn("__tail", tail), ["__base", "__tail"], order_col, ["__n"], "__m")
+    later = ranked.where("__n > 1").withColumn("__tail", tail)
+    # Only rows that share their index are ranked again.
+    shared = stored(later.groupBy("__base", "__tail").agg(F.count(F.lit(1)).alias("__rows")).where("__rows > 1").drop("__rows"))
+    again = later.join(sized(shared), ["__base", "__tail"], "left_semi")
+    again = number_rank(again.select(*later.columns), ["__base", "__tail"], order_col, ["__n"], "__m")
+    later = later.join(sized(shared), ["__base", "__tail"], "left_anti").select(*later.columns, F.lit(1).cast("bigint").alias("__m")).unionByName(again)
     more = F.when(F.col("__m") > 1, F.concat(F.lit("_"), F.col("__m").cast("string"))).otherwise(F.lit(""))
     firsts = ranked.where("__n = 1").select(*df.columns, F.col("__base").alias("destination_name"), F.lit(False).alias("renamed"))
     others = later.select(

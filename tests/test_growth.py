@@ -66,3 +66,20 @@ def test_ranked_queries_scan_their_table_before_they_are_read(spark):
     sf = "/root/testdata/sf0.001"
     assert plan_of(QUERIES["G1_rank_in_group"](spark, sf)).count("lineitem.parquet]") == 0
     assert plan_of(QUERIES["F14_assembly_summary"](spark, sf)).count("lineitem.parquet]") == 1
+
+
+def test_names_do_not_carry_other_columns(spark):
+    """G9 ranks two columns and scans its table once, before the result is read; G10 scans it once more to write rows."""
+    from specimen_spark.catalog import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    assert plan_of(QUERIES["G9_simple_names"](spark, sf)).count("lineitem.parquet]") == 0
+    assert plan_of(QUERIES["G10_portable_manifest"](spark, sf)).count("lineitem.parquet]") == 1
+
+
+def test_rows_that_share_an_index_are_numbered_apart(spark):
+    """Repeated and missing indices go on with _2, _3; a row with an index of its own does not."""
+    rows = [("a/x.jpg", 1, "1"), ("b/x.jpg", 2, "7"), ("c/x.jpg", 3, "7"), ("d/x.jpg", 4, "8"), ("e/x.jpg", 5, None), ("f/x.jpg", 6, None), ("g/y.jpg", 7, "7"), (None, 8, "7")]
+    df = spark.createDataFrame(rows, "path string, o int, i string")
+    named = {r.o: r.destination_name for r in processed.destination_names_simple(df, "path", "o", "i").collect()}
+    assert named == {1: "x.jpg", 2: "x_7.jpg", 3: "x_7_2.jpg", 4: "x_8.jpg", 5: "x_dup.jpg", 6: "x_dup_2.jpg", 7: "y.jpg", 8: None}
