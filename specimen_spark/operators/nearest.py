@@ -17,7 +17,7 @@ from specimen_spark.fixed_values import NEAREST_FALLBACK_SPECIES, NEAREST_FALLBA
 from specimen_spark.functions.geo import finite_pair
 from specimen_spark.functions.numbers import number_column
 from specimen_spark.functions.text import let
-from specimen_spark.operators.keyed import attach, first_per_key, order_struct
+from specimen_spark.operators.keyed import attach, first_per_key, order_struct, stored
 from specimen_spark.session import cut_lineage
 
 # Cells per degree as powers of two, coarse to fine (16 degrees ... 1/4096 degree).
@@ -59,7 +59,7 @@ def _prune(cells: Column) -> Column:
 
 
 def _cell_tables(sites: DataFrame) -> list[DataFrame]:
-    """Per level the children of each cell; every array has at most 256 entries."""
+    """Per level the children of each cell; every array has at most 256 entries. Each level is stored and made from the one below."""
     box = [F.min("y_min").alias("y_min"), F.max("y_max").alias("y_max"),
            F.min("x_min").alias("x_min"), F.max("x_max").alias("x_max")]
     level = sites.select(
@@ -70,7 +70,7 @@ def _cell_tables(sites: DataFrame) -> list[DataFrame]:
     for _ in LEVELS[1:]:
         parent = level.withColumn("py", F.shiftright("cy", _STEP)).withColumn("px", F.shiftright("cx", _STEP))
         children = F.collect_list(F.struct("cy", "cx", "y_min", "y_max", "x_min", "x_max")).alias("children")
-        level_up = parent.groupBy("py", "px").agg(*box, children)
+        level_up = stored(parent.groupBy("py", "px").agg(*box, children))
         tables.append(level_up.select("py", "px", "children"))
         level = level_up.select(F.col("py").alias("cy"), F.col("px").alias("cx"), "y_min", "y_max", "x_min", "x_max")
     # The coarsest level has at most 12 x 24 cells: one bounded array.
@@ -100,7 +100,9 @@ def nearest_record(
     top, *tables = _cell_tables(sites)
 
     asked = points.select(F.col(lat).cast("double").alias("__lat"), F.col(lon).cast("double").alias("__lon"))
-    asked = asked.where(finite_pair("__lat", "__lon")).distinct()
+    # Points are few bytes and much work, so they are spread by a fixed number of tasks, which is not reduced by their size.
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = asked.where(finite_pair("__lat", "__lon")).distinct().repartition(tasks)
     asked = asked.withColumn("cells", top.scalar())
     live = asked.select("__lat", "__lon", F.explode(_prune(F.col("cells"))).alias("c")).select(
         "__lat", "__lon", "c.cy", "c.cx")

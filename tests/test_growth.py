@@ -83,3 +83,17 @@ def test_rows_that_share_an_index_are_numbered_apart(spark):
     df = spark.createDataFrame(rows, "path string, o int, i string")
     named = {r.o: r.destination_name for r in processed.destination_names_simple(df, "path", "o", "i").collect()}
     assert named == {1: "x.jpg", 2: "x_7.jpg", 3: "x_7_2.jpg", 4: "x_8.jpg", 5: "x_dup.jpg", 6: "x_dup_2.jpg", 7: "y.jpg", 8: None}
+
+
+def test_points_are_spread_over_tasks(spark):
+    """Points that fill one small partition are still pruned by several tasks, and their cells are made once a level."""
+    from specimen_spark.operators.nearest import nearest_record
+
+    records = spark.range(400).select(F.col("id").alias("o"), (F.col("id") % 20).cast("double").alias("latitude"), (F.col("id") * 7 % 90).cast("double").alias("longitude"), F.lit("s").alias("species"), F.lit("u").alias("image_url"))
+    points = spark.range(50).select((F.col("id") * 3 % 25).cast("double").alias("lat"), (F.col("id") * 11 % 80).cast("double").alias("lon"))
+    found = nearest_record(points, records, ["o"])
+    plan = plan_of(found)
+    assert "REPARTITION_BY_NUM" in plan and plan.count("partial_collect_list") <= 1
+    sites = {(r.latitude, r.longitude) for r in records.collect()}
+    for r in found.collect():
+        assert r.distance == min(((r.lat - y) ** 2 + (r.lon - x) ** 2) ** 0.5 for y, x in sites)
