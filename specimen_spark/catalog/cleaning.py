@@ -24,9 +24,9 @@ def cleaned(spark, sf, **options):
 def flagship(spark, sf):
     """Raw manifest to cleaned rows to species ids to counts by region and species."""
     clean, _ = cleaned(spark, sf)
-    # Aggregated first: ids are found and joined on the few counted rows.
-    counts = clean.groupBy("us_region", "species").agg(
-        F.count(F.lit(1)).alias("rows"), F.max("record_image_count").alias("max_record_images"))
+    # Aggregated first and stored: ids are found and joined on the few counted rows.
+    counts = cut_lineage(clean.groupBy("us_region", "species").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("record_image_count").alias("max_record_images")))
     ids = cleaning.species_vocab(counts, rows="rows").drop("rows")
     return counts.join(ids, "species").select("us_region", "species", "species_id", "rows", "max_record_images")
 
@@ -75,7 +75,7 @@ UNION ALL SELECT 'rows_by_region', us_region, CAST(count(*) AS DOUBLE) FROM clea
 UNION ALL SELECT 'rows_by_source', source, CAST(count(*) AS DOUBLE) FROM cleaned GROUP BY source""")
 def cleaning_summary(spark, sf):
     raw = view(spark, sf, "raw_manifest")
-    judged = cleaning.judge_rows(raw, ORDER)
+    judged = cleaning.judge_rows(raw, ORDER, names_once=True)
     # The summary needs five columns, and the cascade is aggregated once.
     return summaries.judged_summary(judged.select(
         *ORDER, "source", "reject_reason", F.col("__species_label").alias("species"), F.col("__region").alias("us_region")), ORDER)

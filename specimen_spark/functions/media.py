@@ -22,7 +22,9 @@ def license_allowed(c) -> Column:
 
 
 def has_image_suffix(url) -> Column:
-    return F.lower(normalize_text(url)).rlike(f"(?:{_any_of(IMAGE_SUFFIXES)})$")
+    # What follows the last dot; the slash in front is what is left of text without a dot.
+    ending = F.substring_index(F.concat(F.lit("/"), F.lower(normalize_text(url))), ".", -1)
+    return ending.isin(*[suffix[1:] for suffix in IMAGE_SUFFIXES])
 
 
 def is_occurrence_image(media_type, image_format, url) -> Column:

@@ -25,7 +25,11 @@ def _careful(text: Column) -> Column:
 def parse_float_any(c) -> Column:
     """Double including nan and the infinities; null when the text is no number."""
     text = as_column(c).cast("string")
-    return let(text, lambda t: F.when(t.rlike(_PLAIN), t.try_cast("double")).otherwise(_careful(t)))
+
+    def read(t: Column) -> Column:
+        return F.when(t.rlike(_PLAIN), t.try_cast("double")).otherwise(_careful(t))
+
+    return read(text) if isinstance(c, str) else let(text, read)
 
 
 def is_finite(c) -> Column:
@@ -40,7 +44,8 @@ def parse_float_finite(c) -> Column:
         odd = let(_careful(t), lambda v: F.when(F.abs(v) < F.lit(float("inf")), v))
         return F.when(t.rlike(_PLAIN), t.try_cast("double")).otherwise(odd)
 
-    return let(text, read)
+    # A column needs no lambda, which would not be compiled.
+    return read(text) if isinstance(c, str) else let(text, read)
 
 
 def parse_float(c, default: float = 0.0) -> Column:

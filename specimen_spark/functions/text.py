@@ -33,15 +33,16 @@ def let(value: Column, body) -> Column:
 WHITE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
-# A run of white space that is not one plain space. The test in front is cheap and turns away nearly all characters.
-UNEVEN = rf"(?=[^!-~])(?:[ ]{WHITE}+|(?![ ]){WHITE}+)"
+# What stands as it is from the last match on, then a run of white space that is not one plain space. Plain letters are
+# passed over in one tight loop, and \G lets text without such a run be searched once, not once a character.
+UNEVEN = rf"\G((?:[!-~]++|[ ](?!{WHITE})|(?!{WHITE})[^ -~])*+){WHITE}+"
 
 
 def normalize_text(c) -> Column:
     """Null becomes blank; runs of Unicode white space become one space."""
     text = F.coalesce(as_column(c).cast("string"), F.lit(""))
     # The value appears once, so inputs of any size nest without ``let``, which is not compiled.
-    return F.trim(F.regexp_replace(text, UNEVEN, " "))
+    return F.trim(F.regexp_replace(text, UNEVEN, "$1 "))
 
 
 def blank_to_null(c) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specimen_spark.fixed_values import DOWNLOADED_STATUSES, TARGET_FAMILY
@@ -12,7 +12,7 @@ from specimen_spark.functions.species import specimen_key, with_species_label
 from specimen_spark.functions.text import (
     blank_to_null, normalize_country, normalize_state, normalize_text, parse_month,
 )
-from specimen_spark.operators.keyed import attach, bucketed_rank, order_struct
+from specimen_spark.operators.keyed import attach, bucketed_rank, is_small, order_struct, stored
 from specimen_spark.schemas import CLEAN_COLUMNS, CLEAN_COPIED, RAW_REQUIRED, optional, validate_required
 
 
@@ -40,27 +40,61 @@ def clean_manifest(
         require_downloaded=require_downloaded, allow_missing_coordinates=allow_missing_coordinates,
         filter_us_scope=filter_us_scope, existing_paths=existing_paths, family=family,
     )
-    rejected = judge_rows(df, order_cols, **options).where(F.col("reject_reason").isNotNull())
-    judged = judge_rows(df, order_cols, accepted_only=True, **options)
+    claims = url_claims(df, order_cols)
+    rejected = judge_rows(df, order_cols, claims=claims, **options).where(F.col("reject_reason").isNotNull())
+    judged = judge_rows(df, order_cols, accepted_only=True, claims=claims, **options)
     return accepted_rows(judged, df, order_cols, family), rejected.select(*df.columns, "reject_reason")
 
 
+def url_claims(df: DataFrame, order_cols) -> DataFrame:
+    """``__url, __claim``: the first order of each URL, stored, since several steps read it."""
+    urls = df.select(blank_to_null("image_url").alias("__url"), *order_cols)
+    return stored(urls.groupBy("__url").agg(F.min(order_struct(order_cols)).alias("__claim")))
+
+
+def _claimants(df: DataFrame, claims: DataFrame, order_cols) -> DataFrame:
+    """Rows of ``df`` without most of those that do not claim their URL.
+
+    Few claims are broadcast by their orders alone, so rows meet them where they are; rows that share an order with
+    the claim of another URL stay. Otherwise the join is on URL and order together, so the rows of a hot URL spread out.
+    """
+    won = claims.where(F.col("__url").isNotNull())
+    orders = won.select(F.col("__claim").alias("__won_by"))
+    claimed = order_struct(order_cols).eqNullSafe(F.col("__won_by"))
+    if is_small(orders):
+        return df.join(F.broadcast(orders), claimed, "left_semi")
+    won = won.select(F.col("__url").alias("__won"), F.col("__claim").alias("__won_by"))
+    return df.join(won.hint("shuffle_hash"), (blank_to_null("image_url") == F.col("__won")) & claimed, "left_semi")
+
+
+def _labelled(rows: DataFrame, names: list[Column], once: bool) -> DataFrame:
+    """Rows with their species label; with ``once`` each distinct name is read once, if they are few enough to broadcast."""
+    if not once:
+        return with_species_label(rows, *names)
+    parts = [f"__n{i}" for i in range(len(names))]
+    distinct = rows.select(*[c.alias(p) for c, p in zip(names, parts)]).distinct()
+    labels = stored(with_species_label(distinct, *map(F.col, parts)))
+    if not is_small(labels):
+        return with_species_label(rows, *names)
+    same = [c.eqNullSafe(labels[p]) for c, p in zip(names, parts)]
+    return rows.join(F.broadcast(labels), same, "left").drop(*parts)
+
+
 def judge_rows(
     df: DataFrame, order_cols, *, require_downloaded: bool = False, allow_missing_coordinates: bool = False,
     filter_us_scope: bool = True, existing_paths: DataFrame | None = None, family: str = TARGET_FAMILY,
-    accepted_only: bool = False,
+    accepted_only: bool = False, claims: DataFrame | None = None, names_once: bool = False,
 ) -> DataFrame:
     """All input rows plus ``reject_reason`` (null = accepted) and the cleaned key columns.
 
+    ``claims`` is ``url_claims`` of the same rows, when it is at hand. ``names_once`` reads each distinct name once, for
+    one more scan of the name columns.
+
     ``accepted_only`` leaves out rejected rows early: by family and place
     before the rows move, by the claim of their URL before names are read.
     """
     validate_required(df, RAW_REQUIRED)
-    claims = (
-        df.select(blank_to_null("image_url").alias("__url"), *order_cols)
-        .groupBy("__url")
-        .agg(F.min(order_struct(order_cols)).alias("__claim"))
-    )
+    claims = url_claims(df, order_cols) if claims is None else claims
 
     if accepted_only:
         lat, lon = parse_float_finite("latitude"), parse_float_finite("longitude")
@@ -70,11 +104,7 @@ def judge_rows(
             passing = passing & placed
         if filter_us_scope:
             passing = passing & ~(placed & (classify_region(lat, lon) == ""))
-        df = df.where(passing)
-        # The join is on URL and order together, so the rows of a hot URL spread out.
-        won = claims.where(F.col("__url").isNotNull()).select(F.col("__url").alias("__won"), F.col("__claim").alias("__won_by"))
-        same = (blank_to_null("image_url") == F.col("__won")) & order_struct(order_cols).eqNullSafe(F.col("__won_by"))
-        df = df.join(won.hint("shuffle_hash"), same, "left_semi")
+        df = _claimants(df.where(passing), claims, order_cols)
 
     # Everything that looks at one row only is computed below the join with
     # the claims, so a filter on the final reason cannot repeat it.
@@ -92,9 +122,8 @@ def judge_rows(
         normalize_country(optional(df, "country")).alias("__country"),
         normalize_state(optional(df, "state_province")).alias("__state"),
     )
-    rows = with_species_label(
-        rows, optional(df, "raw_species"), optional(df, "species"), "scientific_name", "genus"
-    ).withColumn("__box", classify_region("__lat", "__lon"))
+    names = [optional(df, "raw_species"), optional(df, "species"), F.col("scientific_name"), F.col("genus")]
+    rows = _labelled(rows, names, names_once).withColumn("__box", classify_region("__lat", "__lon"))
 
     located = F.col("__lat").isNotNull() & F.col("__lon").isNotNull()
     outside = F.lit("outside_us_scope")
@@ -170,7 +199,8 @@ def species_vocab(df: DataFrame, species: str = "species", rows: str | None = No
     equal leading letters.
     """
     total = F.count(F.lit(1)) if rows is None else F.sum(rows)
-    counts = df.groupBy(species).agg(total.alias("rows"))
+    # Stored, since ranking reads its input twice.
+    counts = stored(df.groupBy(species).agg(total.alias("rows")))
     sliced = counts.withColumn("__fewer", -F.col("rows")).withColumn("__lead", F.substring(species, 1, 3))
     ranked = bucketed_rank(sliced, [], ["__fewer", "__lead"], [species], "__id")
     return ranked.select(species, (F.col("__id") - 1).cast("int").alias("species_id"), "rows")

@@ -53,11 +53,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized(lookup: DataFrame) -> DataFrame:
-    """A stored lookup with the join hint its measured size calls for."""
+def is_small(lookup: DataFrame) -> bool:
+    """Whether the values of a stored lookup are few enough to broadcast."""
     cells = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in lookup.columns]
     size = lookup.agg(F.sum(sum(cells, F.lit(0))).alias("n")).first()["n"] or 0
-    return lookup.hint("broadcast" if size <= BROADCAST_BYTES else "shuffle_hash")
+    return size <= BROADCAST_BYTES
+
+
+def sized(lookup: DataFrame) -> DataFrame:
+    """A stored lookup with the join hint its measured size calls for."""
+    return lookup.hint("broadcast" if is_small(lookup) else "shuffle_hash")
 
 
 def best_orders(df: DataFrame, keys, order_cols, last: bool = False) -> DataFrame:

@@ -1,8 +1,12 @@
 """Plans that keep big inputs cheap: how often a source is scanned, and what moves."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from specimen_spark.operators import dedupe, keyed, processed
+from specimen_spark.functions.media import has_image_suffix
+from specimen_spark.functions.text import normalize_text
+from specimen_spark.operators import cleaning, dedupe, keyed, processed
 from specimen_spark.sources import archive
 
 
@@ -97,3 +101,65 @@ def test_points_are_spread_over_tasks(spark):
     sites = {(r.latitude, r.longitude) for r in records.collect()}
     for r in found.collect():
         assert r.distance == min(((r.lat - y) ** 2 + (r.lon - x) ** 2) ** 0.5 for y, x in sites)
+
+
+def raw_rows(spark, tmp_path, n=400):
+    """Raw rows of few URLs and names; every third is out of place."""
+    i = F.col("id")
+    return table(spark.range(n).select(
+        i.alias("o"), F.lit("gbif").alias("source"), (i % 9).cast("string").alias("record_id"),
+        F.concat(F.lit("u"), (i % 20).cast("string")).alias("image_url"), F.lit("Danaus plexippus").alias("species"),
+        F.lit("").alias("scientific_name"), F.when(i % 2 == 0, "Danaus").otherwise("Vanessa").alias("genus"),
+        F.when(i % 3 == 0, "-40").otherwise("40").alias("latitude"), F.lit("-100").alias("longitude")), tmp_path / "raw")
+
+
+def test_rows_meet_few_claims_where_they_are(spark, tmp_path, monkeypatch):
+    rows = raw_rows(spark, tmp_path)
+    judged = cleaning.judge_rows(rows, ["o"], accepted_only=True).where("reject_reason IS NULL")
+    assert "ShuffledHashJoin" not in plan_of(judged) and plan_of(judged).count("/raw]") == 1
+    accepted = [r.o for r in judged.orderBy("o").collect()]
+    monkeypatch.setattr(keyed, "BROADCAST_BYTES", 10)
+    many = cleaning.judge_rows(rows, ["o"], accepted_only=True).where("reject_reason IS NULL")
+    assert "ShuffledHashJoin" in plan_of(many) and [r.o for r in many.orderBy("o").collect()] == accepted
+    assert accepted == [o for o in range(20) if o % 3 and o % 2 == 0]
+
+
+def test_shared_orders_do_not_claim_another_url(spark):
+    names = ["i", "source", "record_id", "image_url", "species", "scientific_name", "genus", "latitude", "longitude", "family"]
+    tail = ("Danaus plexippus", "", "Danaus", "40", "-100", "")
+    rows = [(1, "gbif", "r", "u1", *tail), (2, "gbif", "r", "u1", *tail), (2, "gbif", "r", "u2", *tail)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {'int' if n == 'i' else 'string'}" for n in names))
+    clean, _ = cleaning.clean_manifest(df, ["i"])
+    assert sorted((r.i, r.image_url) for r in clean.collect()) == [(1, "u1"), (2, "u2")]
+
+
+def test_distinct_names_are_read_once_and_alike(spark, tmp_path, monkeypatch):
+    rows = raw_rows(spark, tmp_path)
+    columns = ["o", "__species_label", "__species_source", "__genus_hint", "reject_reason"]
+    plain = cleaning.judge_rows(rows, ["o"]).select(*columns)
+    once = cleaning.judge_rows(rows, ["o"], names_once=True).select(*columns)
+    assert "regexp_extract_all" in plan_of(plain) and "regexp_extract_all" not in plan_of(once)
+    assert sorted(plain.collect()) == sorted(once.collect())
+    monkeypatch.setattr(keyed, "BROADCAST_BYTES", 1)
+    assert "regexp_extract_all" in plan_of(cleaning.judge_rows(rows, ["o"], names_once=True).select(*columns))
+
+
+def test_vocabulary_is_ranked_from_stored_counts(spark, tmp_path):
+    plan = plan_of(cleaning.species_vocab(raw_rows(spark, tmp_path)))
+    assert "/raw]" not in plan
+
+
+def test_white_space_of_any_kind_is_squeezed(spark):
+    rng = random.Random(3)
+    white = [*" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0      　"]
+    texts = ["".join(rng.choice([*white, " ", " ", "a", "$1", "\\", "é", "\x01", "\U0001f98b", "​"]) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    texts.append("long word " * 20_000 + "\t")
+    cells = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r.t for r in cells.select("i", normalize_text("t").alias("t")).orderBy("i").collect()] == [" ".join(t.split()) for t in texts]
+
+
+def test_image_endings_need_their_dot(spark):
+    texts = {"jpg": False, "a.JPG": True, "a.jpg ": True, "a.jpg?x": False, "x/jpg": False, ".gif": True, "a.b.tiff": True, "": False, "a.": False}
+    cells = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = cells.select("t", has_image_suffix("t").alias("image"))
+    assert {r.t: r.image for r in found.collect()} == texts and "RLIKE" not in plan_of(found).upper()
