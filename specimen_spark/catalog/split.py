@@ -30,7 +30,7 @@ split_rows AS (SELECT m.* REPLACE (a.part AS split), a.group_key FROM {{processe
 
 
 def _split(spark, sf):
-    return split.grouped_split(view(spark, sf, "processed_manifest").drop("split"), ORDER)
+    return split.grouped_split(view(spark, sf, "processed_manifest").drop("split"), ORDER, keep_key=True)
 
 
 @query("F8_group_species", f"WITH {_GROUPS} SELECT * FROM groups")
@@ -57,7 +57,7 @@ UNION ALL SELECT split, 'totals', 'unique_species', count(DISTINCT species) FROM
 UNION ALL SELECT split, 'top_species', species, n FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY n DESC, f) AS r FROM (
   SELECT split, species, count(*) AS n, min(source_row_index) AS f FROM split_rows GROUP BY ALL) c) t WHERE r <= 20""")
 def split_summary(spark, sf):
-    return summaries.split_summary(_split(spark, sf), ORDER)
+    return summaries.split_summary(_split(spark, sf), ORDER, group_key="group_key")
 
 
 @query("F4_loader_summary", "SELECT split, count(*) AS rows, count(DISTINCT species) AS species FROM {processed_manifest} GROUP BY split")

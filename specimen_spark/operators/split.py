@@ -15,7 +15,7 @@ from specimen_spark.fixed_values import RECOVERED_CROP
 from specimen_spark.functions.geo import hash_uniform
 from specimen_spark.functions.numbers import number_column
 from specimen_spark.functions.text import as_column, normalize_text
-from specimen_spark.operators.keyed import attach, explode_tags, hash_rank, order_struct, sorted_rank
+from specimen_spark.operators.keyed import attach, explode_tags, hash_rank, order_struct, sorted_rank, stored
 from specimen_spark.operators.processed import manifest_group_key
 from specimen_spark.schemas import optional
 
@@ -94,13 +94,17 @@ def split_of_groups(groups: DataFrame, seed, val_fraction: float, test_fraction:
 
 
 def grouped_split(
-    df: DataFrame, order_cols, seed=42, val_fraction: float = 0.1, test_fraction: float = 0.1
+    df: DataFrame, order_cols, seed=42, val_fraction: float = 0.1, test_fraction: float = 0.1, keep_key: bool = False
 ) -> DataFrame:
-    """Rows with ``split``: all rows of a group share one, stratified by the group's species."""
-    groups = split_of_groups(group_species(df, order_cols), seed, val_fraction, test_fraction)
+    """Rows with ``split``: all rows of a group share one, stratified by the group's species.
+
+    ``keep_key`` leaves the group's key in ``group_key``.
+    """
+    # Stored, since ranking reads its input twice.
+    groups = split_of_groups(stored(group_species(df, order_cols)), seed, val_fraction, test_fraction)
     rows = with_group_key(df, "group_key")
     return attach(rows, groups, ["group_key"]).drop(
-        *(["group_key"] if "group_key" not in df.columns else []))
+        *(["group_key"] if "group_key" not in df.columns and not keep_key else []))
 
 
 def partition_counts(total: Column, weights) -> list[Column]:

@@ -11,7 +11,7 @@ from specimen_spark.fixed_values import FALLBACK_CROP
 from specimen_spark.functions.geo import has_valid_latlon
 from specimen_spark.functions.numbers import flag_column, parse_int
 from specimen_spark.functions.text import blank_to_null, normalize_text
-from specimen_spark.operators.keyed import attach, order_struct
+from specimen_spark.operators.keyed import attach, order_struct, stored
 from specimen_spark.operators.processed import manifest_group_key
 from specimen_spark.operators.split import audit_tags
 from specimen_spark.schemas import optional
@@ -129,20 +129,27 @@ def cleaning_summary(clean: DataFrame, rejected: DataFrame, order_cols, top: int
     return judged_summary(accepted.unionByName(refused), order_cols, top)
 
 
-def split_summary(df: DataFrame, order_cols, top: int = 20) -> DataFrame:
-    """``split, section, key, value``: rows, groups, species and top species of each split."""
-    keyed = df.withColumn("__g", manifest_group_key(df)).withColumn("__s", normalize_text("species"))
-    totals = keyed.groupBy("split").agg(
-        _rows().alias("rows"), F.countDistinct("__g").alias("groups"), F.countDistinct("__s").alias("unique_species"))
-    counts = keyed.groupBy("split", F.col("__s").alias("key")).agg(
-        _rows().alias("rows"), F.min(order_struct(order_cols)).alias("__first"))
+def split_summary(df: DataFrame, order_cols, top: int = 20, group_key: str | None = None) -> DataFrame:
+    """``split, section, key, value``: rows, groups, species and top species of each split.
+
+    ``group_key`` names the column of the groups' keys, when it is at hand.
+    """
+    keyed = df.select(
+        "split", *order_cols, (manifest_group_key(df) if group_key is None else F.col(group_key)).alias("__g"),
+        normalize_text("species").alias("key"))
+    # The rows are aggregated once; all figures come from what is stored of them.
+    members = stored(keyed.groupBy("split", "key", "__g").agg(_rows().alias("rows"), F.min(order_struct(order_cols)).alias("__first")))
+    counts = members.groupBy("split", "key").agg(F.sum("rows").alias("rows"), F.min("__first").alias("__first"))
     best = _top_per_section(counts, "split", top).select(
         "split", F.lit("top_species").alias("section"), "key", F.col("rows").alias("value"))
-    pairs = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("value"))
-                      for c in ("rows", "groups", "unique_species")])
-    flat = totals.select("split", F.lit("totals").alias("section"), F.explode(pairs).alias("p")).select(
-        "split", "section", "p.*")
-    return flat.unionByName(best)
+    totals = counts.groupBy("split").agg(F.sum("rows").alias("rows"), _rows().alias("unique_species"))
+    groups = members.select("split", "__g").distinct().groupBy("split").agg(_rows().alias("groups"))
+
+    def listed(frame: DataFrame) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("value")) for c in frame.columns if c != "split"])
+        return frame.select("split", F.lit("totals").alias("section"), F.explode(pairs).alias("p")).select("split", "section", "p.*")
+
+    return listed(totals).unionByName(listed(groups)).unionByName(best)
 
 
 def loader_summary(df: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from specimen_spark.functions.media import has_image_suffix
 from specimen_spark.functions.text import normalize_text
-from specimen_spark.operators import cleaning, dedupe, keyed, processed
+from specimen_spark.operators import cleaning, dedupe, joins, keyed, processed, split
+from specimen_spark.plans import summaries
 from specimen_spark.sources import archive
 
 
@@ -163,3 +164,56 @@ def test_image_endings_need_their_dot(spark):
     cells = spark.createDataFrame([(t,) for t in texts], "t string")
     found = cells.select("t", has_image_suffix("t").alias("image"))
     assert {r.t: r.image for r in found.collect()} == texts and "RLIKE" not in plan_of(found).upper()
+
+
+def test_paths_without_climbing_need_no_lambda(spark):
+    rng = random.Random(5)
+    texts = ["", "/", "//", ".", "./", "/.", "a\n", "/a\n/", "a/.\n"] + [
+        "".join(rng.choice(["/", "/", ".", "a", "..", "/../", "b.c", "\n"]) for _ in range(rng.randrange(9))) for _ in range(2000)]
+
+    def plain(text):
+        parts = []
+        for part in text.split("/"):
+            if part == "..":
+                parts = parts[:-1]
+            elif part not in ("", "."):
+                parts.append(part)
+        return ("/" if text.startswith("/") else "") + "/".join(parts)
+
+    cells = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r.p for r in cells.select("i", joins.normal_path("t").alias("p")).orderBy("i").collect()] == [plain(t) for t in texts]
+
+
+def test_paths_below_roots_are_normalised_once_a_root(spark, tmp_path):
+    rows = table(spark.range(40).select(F.col("id").alias("o"), F.concat(F.lit("a//"), F.col("id").cast("string")).alias("p"),
+                                        F.lit("/abs/./x").alias("q")), tmp_path / "rows")
+    listing = spark.createDataFrame([("/data/set/a/1",), ("/data/a/2",), ("/abs/./x",)], "path string")
+    found = joins.resolve_paths(rows, listing, ("p", "q"), ["o"], "/data/set")
+    got = {r.o: (r.resolved_path, r.resolved_path_exists) for r in found.collect()}
+    assert got[1] == ("/data/set/a/1", True) and got[2] == ("/data/a/2", True) and got[3] == ("/abs/./x", True)
+    # Each squeezed value is computed once below the join and once in front of the fallback's.
+    assert plan_of(found).split("== ")[0].count("regexp_replace(coalesce(") <= 4
+
+
+def test_split_summary_scans_its_rows_once(spark, tmp_path):
+    i = F.col("id")
+    rows = table(spark.range(90).select(
+        i.alias("o"), F.when(i % 10 == 0, None).otherwise((i % 3).cast("string")).alias("split"), (i % 17).cast("string").alias("specimen_key"),
+        F.when(i % 7 == 0, None).otherwise((i % 5).cast("string")).alias("species")), tmp_path / "rows")
+    got = summaries.split_summary(rows, ["o"])
+    assert "/rows]" not in plan_of(got) and "Expand" not in plan_of(got)
+    data = rows.collect()
+    want = set()
+    for part in {r.split for r in data}:
+        mine = [r for r in data if r.split == part]
+        names = [r.species or "" for r in mine]
+        want |= {(part, "totals", "rows", len(mine)), (part, "totals", "groups", len({r.specimen_key for r in mine})),
+                 (part, "totals", "unique_species", len(set(names)))} | {(part, "top_species", n, names.count(n)) for n in names}
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_groups_are_found_before_they_are_ranked(spark, tmp_path):
+    rows = table(spark.range(60).select(F.col("id").alias("o"), (F.col("id") % 11).cast("string").alias("specimen_key"), F.lit("a").alias("species")), tmp_path / "rows")
+    parted = split.grouped_split(rows, ["o"], keep_key=True)
+    assert plan_of(parted).count("/rows]") == 1 and "group_key" in parted.columns
+    assert "group_key" not in split.grouped_split(rows, ["o"]).columns
