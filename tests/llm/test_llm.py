@@ -690,3 +690,16 @@ def test_one_id_for_all_rows_is_spread_over_blocks(spark):
     docs = spark.range(4_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("some words " * 200).alias("text"))
     sizes = [r["count"] for r in lm.deal(docs, 500_000).groupBy("block").count().collect()]
     assert len(sizes) == 18 and max(sizes) < 2 * min(sizes)
+
+
+def test_expected_counts_weigh_the_experts_once(monkeypatch):
+    import numpy as np
+
+    from specimen_spark.llm import lm
+
+    rng = np.random.default_rng(4)
+    blend, experts, gate = lm.Blend(rng.random((10, 4))), rng.random((4, 50)), rng.integers(0, 10, 50)
+    part = blend.weights[gate].T * experts / blend.probability(experts, gate)
+    want = np.stack([np.bincount(gate, p, 10) for p in part], axis=1)
+    monkeypatch.setattr(lm.Blend, "probability", None)
+    assert (blend.mass(experts, gate) == want).all()
