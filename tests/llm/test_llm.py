@@ -703,3 +703,48 @@ def test_expected_counts_weigh_the_experts_once(monkeypatch):
     want = np.stack([np.bincount(gate, p, 10) for p in part], axis=1)
     monkeypatch.setattr(lm.Blend, "probability", None)
     assert (blend.mass(experts, gate) == want).all()
+
+
+def test_rounds_of_learning_are_those_of_mass(monkeypatch):
+    """Tokens are sorted by gate once, and ``mass`` is not asked again for every round."""
+    rng = np.random.default_rng(5)
+    blend, experts, gate, before = lm.Blend(rng.random((10, 4))), rng.random((4, 900)), rng.integers(0, 9, 900), rng.random((10, 4))
+    experts[:, :20] = 0
+    want = blend
+    for _ in range(lm.Blend.ROUNDS):
+        mass = want.mass(experts, gate)
+        want = lm.Blend(before + mass)
+    monkeypatch.setattr(lm.Blend, "mass", None)
+    found, own = blend.learned(experts, gate, before)
+    assert np.allclose(found.weights, want.weights, rtol=1e-12) and np.allclose(own, mass, rtol=1e-12)
+
+
+def test_history_sorts_twice(monkeypatch):
+    """Words and pairs are sorted; what came before a token is known from the words. Gates and shares as counted one by one."""
+    rng, sorts, argsort = np.random.default_rng(6), [], np.argsort
+    sizes = np.array([1, 40, 3, 0, 200, 1])
+    tokens = rng.integers(0, 6, sizes.sum())
+    monkeypatch.setattr(np, "argsort", lambda *args, **kw: sorts.append(1) or argsort(*args, **kw))
+    history = lm.History(tokens, sizes)
+    assert len(sorts) == 2
+    at = 0
+    for size in sizes:
+        seen, after, follows, foreseen = Counter(), Counter(), Counter(), False
+        for place in range(size):
+            word, previous = tokens[at], tokens[at - 1] if place else None
+            step = 1 + min(math.ceil(math.log2(after[previous] + 1)), 3) if place else 0
+            assert history.gate[at] == step * 2 + foreseen and history.share[at] == seen[word] / max(place, 1)
+            assert history.following[at] == follows[previous, word] / max(after[previous], 1)
+            foreseen = follows[previous, word] > 0
+            seen[word] += 1
+            after[previous] += 1
+            follows[previous, word] += 1
+            at += 1
+    assert not len(lm.History(tokens[:0], sizes[:0]).gate)
+
+
+def test_mixer_looks_once_for_both_counts():
+    mixer = small_mixer([b"abc", b"abd", b"b"], [3, 1, 7])
+    assert len(mixer.pairs) == 1 << 18 and mixer.zeros.dtype == mixer.ones.dtype == np.uint8
+    fresh = mixer.untrained()
+    assert fresh.pairs is mixer.pairs and (fresh.weights == 0.4).all() and not (mixer.weights == 0.4).all()
