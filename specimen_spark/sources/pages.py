@@ -27,6 +27,15 @@ def _struct_fields(df: DataFrame, path: str) -> list[str]:
     return list(getattr(kind, "names", []))
 
 
+def each_element(df: DataFrame, array: str, name: str, keep=()) -> DataFrame:
+    """One row per element of ``array``, with the columns ``keep``.
+
+    A plain ``explode`` makes Spark filter by the size of the array first. Where the array is made from other columns,
+    that filter makes it a second time, inside a join even.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias("__at", name)).where("__at IS NOT NULL").drop("__at")
+
+
 def manifest_row(**values) -> list[Column]:
     """Raw-manifest columns in order; text is normalised, coordinates stay numbers."""
     genus, species, name = (values.get(k, F.lit("")) for k in ("genus", "species", "scientific_name"))
@@ -65,7 +74,7 @@ def flatten_occurrences(pages: DataFrame, keep=()) -> DataFrame:
 
     ``keep`` names page columns to carry along (an order key for instance).
     """
-    occ = pages.select(*keep, F.explode("results").alias("o"))
+    occ = each_element(pages, "results", "o", keep)
     names = _struct_fields(occ, "o")
     media = occ.select("*", F.posexplode("o.media").alias("media_pos", "m"))
     m_names = _struct_fields(media, "m")
@@ -108,7 +117,7 @@ def flatten_simple(pages: DataFrame, max_rows: int | None = None, keep=(), order
     """Six columns per medium that has an identifier; ``max_rows`` takes the first by ``order_cols``."""
     if max_rows is not None and not order_cols:
         raise ValueError("max_rows needs order_cols")
-    occ = pages.select(*keep, F.explode("results").alias("o"))
+    occ = each_element(pages, "results", "o", keep)
     media = occ.select("*", F.explode("o.media").alias("m"))
     names, m_names = _struct_fields(media, "o"), _struct_fields(media, "m")
     url = field(m_names, "m", "identifier")
@@ -136,7 +145,7 @@ def _geopoint(df: DataFrame, path: str) -> Column:
 
 def flatten_records(pages: DataFrame, keep=()) -> DataFrame:
     """Specimen records: index terms first, raw data as stand-in for uuid and geopoint."""
-    items = pages.select(*keep, F.explode("items").alias("i"))
+    items = each_element(pages, "items", "i", keep)
     sides = set(_struct_fields(items, "i"))
     terms = _struct_fields(items, "i.indexTerms") if "indexTerms" in sides else []
     data = _struct_fields(items, "i.data") if "data" in sides else []
@@ -178,7 +187,7 @@ def flatten_records(pages: DataFrame, keep=()) -> DataFrame:
 
 def flatten_media(pages: DataFrame, keep=()) -> DataFrame:
     """Media with uuid and URI, one row per linked record; unlinked media keep a blank record."""
-    items = pages.select(*keep, F.explode("items").alias("i"))
+    items = each_element(pages, "items", "i", keep)
     terms = _struct_fields(items, "i.indexTerms")
     get = lambda n: field(terms, "i.indexTerms", n)
     links = F.col("i.indexTerms.records") if "records" in terms else F.lit(None).cast("array<string>")

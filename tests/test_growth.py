@@ -4,11 +4,12 @@ import random
 
 from pyspark.sql import functions as F
 
+from specimen_spark.catalog import QUERIES
 from specimen_spark.functions.media import has_image_suffix
 from specimen_spark.functions.text import normalize_text
 from specimen_spark.operators import cleaning, dedupe, joins, keyed, processed, split
 from specimen_spark.plans import summaries
-from specimen_spark.sources import archive
+from specimen_spark.sources import archive, pages
 
 
 def plan_of(df):
@@ -217,3 +218,17 @@ def test_groups_are_found_before_they_are_ranked(spark, tmp_path):
     parted = split.grouped_split(rows, ["o"], keep_key=True)
     assert plan_of(parted).count("/rows]") == 1 and "group_key" in parted.columns
     assert "group_key" not in split.grouped_split(rows, ["o"]).columns
+
+
+def test_pages_made_from_columns_are_made_once(spark):
+    """A filter by the size of an array that is about to be exploded would make the array twice."""
+    for name in ("A4_flatten_occurrences", "A5_flatten_simple", "A6_flatten_records", "A7_flatten_media"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "size(array(" not in plan, name
+
+
+def test_empty_and_null_arrays_of_pages(spark):
+    """No row for an array that is empty or null, a row for an element that is null."""
+    rows = [(1, ["a", None]), (2, []), (3, None), (4, ["b"])]
+    found = pages.each_element(spark.createDataFrame(rows, "p int, items array<string>"), "items", "i", ["p"])
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, "a"), (1, None), (4, "b")]
