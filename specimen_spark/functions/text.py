@@ -50,6 +50,11 @@ def blank_to_null(c) -> Column:
     return F.nullif(normalize_text(c), F.lit(""))
 
 
+def is_not_blank(c) -> Column:
+    """Whether ``blank_to_null`` has a value: the search ends at the first character that is no white space."""
+    return F.coalesce(as_column(c).cast("string"), F.lit("")).rlike(rf"(?s)(?!{WHITE}).")
+
+
 def first_nonempty(*columns) -> Column:
     """First value that is neither null nor '' (empty arrays and maps: see ``nonempty_array``)."""
     return F.coalesce(*[F.nullif(as_column(c).cast("string"), F.lit("")) for c in columns])
@@ -155,7 +160,7 @@ def path_suffix(c) -> Column:
 
 
 def file_name(c) -> Column:
-    return F.regexp_extract(as_column(c), r"([^/]*)$", 1)
+    return F.substring_index(as_column(c), "/", -1)
 
 
 def file_stem(c) -> Column:

@@ -19,6 +19,8 @@ from specimen_spark.session import cut_lineage, scratch_path
 SLICE_DIGITS = 3
 # A lookup with no more bytes of values is broadcast.
 BROADCAST_BYTES = 32 << 20
+# Groups are dealt to so many buckets; a bucket with no more rows is ranked by a window.
+RANK_BUCKETS, WINDOW_ROWS = 1 << 16, 1_000_000
 
 
 def order_struct(order_cols) -> Column:
@@ -206,6 +208,20 @@ def number_rank(
     return sorted_rank(df, group_cols, [number_col, *tie_cols], rank, total)
 
 
+def group_rank(df: DataFrame, group_cols, order_cols, rank: str) -> DataFrame:
+    """1-based exact rank inside each group, for many groups of which few are large; ``df`` runs up to three times.
+
+    Groups are dealt to buckets by hash and the rows of buckets counted, which moves a number a bucket. Groups in buckets
+    with few rows are ranked by a window, with one exchange; only those of larger buckets go through ``sorted_rank``.
+    """
+    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in group_cols]), F.lit(RANK_BUCKETS))
+    large = df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WINDOW_ROWS)
+    large = [row["b"] for row in large.collect()]  # RANK_BUCKETS numbers at most
+    in_group = Window.partitionBy(*group_cols).orderBy(*order_cols)
+    ranked = (df.where(~bucket.isin(large)) if large else df).withColumn(rank, F.row_number().over(in_group).cast("bigint"))
+    return ranked.unionByName(sorted_rank(df.where(bucket.isin(large)), group_cols, order_cols, rank)) if large else ranked
+
+
 def with_row_numbers(df: DataFrame, order_col: str, tie_cols=(), name: str = "source_row_index") -> DataFrame:
     """1-based row numbers in the order of a numeric column."""
     return number_rank(df, [], order_col, list(tie_cols), name)

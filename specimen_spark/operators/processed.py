@@ -12,9 +12,9 @@ from specimen_spark.functions.numbers import flag_column, integer_column, number
 from specimen_spark.functions.quality import is_preprocess_ok, is_rectangular_fp, rank_score
 from specimen_spark.functions.species import group_key
 from specimen_spark.functions.text import (
-    blank_to_null, file_name, guess_extension_simple, normalize_text, path_suffix, file_stem, stable_name,
+    blank_to_null, file_name, guess_extension_simple, is_not_blank, normalize_text, path_suffix, file_stem, stable_name,
 )
-from specimen_spark.operators.keyed import attach, first_per_key, number_rank, sized, sorted_rank, stored
+from specimen_spark.operators.keyed import attach, first_per_key, group_rank, is_small, number_rank, sized, sorted_rank, stored
 from specimen_spark.schemas import optional
 
 GROUP_COLUMNS = ("specimen_key", "record_id", "image_url", "image_path")
@@ -214,20 +214,26 @@ def destination_names(df: DataFrame, path_col: str, order_col: str) -> DataFrame
 
     The j-th later path takes the j-th free number. A blocked number ``b``, the k-th of its base name, has ``b - k``
     free numbers before it. So if the blocked and the wanted ones of a base name are sorted together by that count,
-    a wanted one's place is its number, and no list of numbers is gathered.
+    a wanted one's place is its number, and no list of numbers is gathered. Only base names with a blocked number are
+    sorted again; a later path of the others takes its own place.
     """
-    # Stored, since ranking reads its input twice and the blocked names a third time.
-    paths = stored(df.where(blank_to_null(path_col).isNotNull()).groupBy(F.col(path_col).alias("path")).agg(
+    # Stored, since ranking reads its input more than once and the blocked names once more.
+    paths = stored(df.where(is_not_blank(path_col)).groupBy(F.col(path_col).alias("path")).agg(
         F.min(order_col).alias("__seen")
     ).withColumn("base", file_name("path")))
-    ranked = number_rank(paths, ["base"], "__seen", ["path"], "__n")
+    ranked = stored(group_rank(paths, ["base"], ["__seen", "path"], "__n").select("path", "base", "__n"))
     firsts = ranked.where(F.col("__n") == 1).select("path", F.col("base").alias("name"))
     wanted = ranked.where(F.col("__n") > 1).select("base", (F.col("__n") - 1).alias("__free"), F.lit(0).alias("__taken"), "path")
-    blocked = number_rank(_taken_numbers(paths.select("base").distinct()), ["base"], "__number", [], "__k")
-    blocked = attach(blocked, wanted.select("base").distinct(), ["base"], "left_semi").select(
+    taken = stored(_taken_numbers(paths))
+    touched = taken.select("base").distinct()
+    touched = F.broadcast(touched) if is_small(taken) else touched
+    plain = attach(wanted, touched, ["base"], "left_anti").withColumnRenamed("__free", "__number")
+    blocked = attach(taken, wanted.select("base").distinct(), ["base"], "left_semi")
+    blocked = number_rank(blocked, ["base"], "__number", [], "__k").select(
         "base", (F.col("__number") - F.col("__k")).alias("__free"), F.lit(1).alias("__taken"), F.lit(None).cast("string").alias("path"))
-    merged = sorted_rank(wanted.union(blocked), ["base"], ["__free", "__taken"], "__number").where("__taken = 0")
-    names = merged.select("path", F.concat(
+    crossed = attach(wanted, touched, ["base"], "left_semi")
+    merged = sorted_rank(crossed.union(blocked), ["base"], ["__free", "__taken"], "__number").where("__taken = 0")
+    names = plain.select("path", "base", "__number").unionByName(merged.select("path", "base", "__number")).select("path", F.concat(
         file_stem("base"), F.lit("_"), _spelled("__number"), path_suffix_raw("base")).alias("name"))
     return firsts.unionByName(names)
 
@@ -237,14 +243,16 @@ def _spelled(number: str):
     return F.lpad(digits, F.greatest(F.length(digits), F.lit(3)), F.lit("0"))
 
 
-def _taken_numbers(bases: DataFrame) -> DataFrame:
-    """(base, __number) of distinct base names that look like a numbered variant of another."""
+def _taken_numbers(paths: DataFrame) -> DataFrame:
+    """(base, __number) of base names that look like a numbered variant of another, once for each such base name."""
     variant = r"^(.*)_(\d{3,})(?:\.[^.]*)?$"
-    taken = bases.select(
-        F.concat(F.regexp_extract("base", variant, 1), path_suffix_raw("base")).alias("root"),
-        F.regexp_extract("base", variant, 2).alias("__digits")
-    ).withColumn("__number", F.col("__digits").try_cast("bigint"))
-    return taken.where((F.col("__number") > 0) & (F.col("__digits") == _spelled("__number"))).select(F.col("root").alias("base"), "__number")
+    digits = F.regexp_extract("base", variant, 2)
+    spelled_so = F.col("base").rlike(r"_(?:\d{3}|[1-9]\d{3,})(?:\.[^.]*)?$")  # saves the others the dearer search below
+    looks = paths.where(spelled_so).select("base", digits.alias("__digits"), digits.try_cast("bigint").alias("__number"))
+    # Few look so: they are found before base names are made distinct.
+    taken = looks.where((F.col("__number") > 0) & (F.col("__digits") == _spelled("__number"))).select("base", "__number").distinct()
+    root = F.concat(F.regexp_extract("base", variant, 1), path_suffix_raw("base"))
+    return taken.select(root.alias("base"), "__number")
 
 
 def path_suffix_raw(c):

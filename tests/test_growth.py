@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from specimen_spark.catalog import QUERIES
 from specimen_spark.functions.media import has_image_suffix
-from specimen_spark.functions.text import normalize_text
+from specimen_spark.functions.text import blank_to_null, file_name, is_not_blank, normalize_text
 from specimen_spark.operators import cleaning, dedupe, joins, keyed, processed, split
 from specimen_spark.plans import summaries
 from specimen_spark.sources import archive, pages
@@ -232,3 +232,49 @@ def test_empty_and_null_arrays_of_pages(spark):
     rows = [(1, ["a", None]), (2, []), (3, None), (4, ["b"])]
     found = pages.each_element(spark.createDataFrame(rows, "p int, items array<string>"), "items", "i", ["p"])
     assert sorted(map(tuple, found.collect()), key=str) == [(1, "a"), (1, None), (4, "b")]
+
+
+def test_small_groups_are_ranked_without_a_range_sort(spark, monkeypatch, tmp_path):
+    """Groups in large buckets go through the range sort, all others through a window; nulls are a group and a value."""
+    df = table(spark.range(4000).select(
+        "id", F.when(F.col("id") % 2 == 0, F.lit("hot")).when(F.col("id") % 5 > 0, F.concat(F.lit("g"), (F.col("id") % 300).cast("string"))).alias("g"),
+        F.when(F.col("id") % 1000 > 0, -F.col("id")).alias("o")), tmp_path / "ranks")
+    plain, sorted_rows, sort = keyed.group_rank(df, ["g"], ["o", "id"], "r"), [], keyed.sorted_rank
+    monkeypatch.setattr(keyed, "WINDOW_ROWS", 500)
+    monkeypatch.setattr(keyed, "sorted_rank", lambda rows, *rest: sorted_rows.append(rows.count()) or sort(rows, *rest))
+    split_up = keyed.group_rank(df, ["g"], ["o", "id"], "r")
+    assert 2000 <= sorted_rows[0] < 4000
+    groups = {}
+    for r in df.collect():
+        groups.setdefault(r.g, []).append((r.o is not None, r.o, r.id))
+    want = {key[2]: n for keys in groups.values() for n, key in enumerate(sorted(keys), 1)}
+    assert {r.id: r.r for r in plain.collect()} == want == {r.id: r.r for r in split_up.collect()}
+
+
+def test_names_without_look_alikes_are_not_sorted_again(spark, monkeypatch):
+    counted = []
+    for name in ("sorted_rank", "number_rank"):
+        rank = getattr(processed, name)
+        monkeypatch.setattr(processed, name, lambda rows, *rest, rank=rank: counted.append(rows.count()) or rank(rows, *rest))
+    rows = [(i, f"{i % 40}/x{i % 7}.jpg") for i in range(300)] + [(300, "0/b_001.jpg"), (301, "1/b.jpg"), (302, "2/c_000456.jpg"), (303, "3/c.jpg"), (304, "4/c.jpg")]
+    names = {r.path: r.name for r in processed.destination_names(spark.createDataFrame(rows, "i int, path string"), "path", "i").collect()}
+    assert counted == [0, 0] and len(set(names.values())) == len(names) == len({p for _, p in rows})
+    assert names["3/c.jpg"] == "c.jpg" and names["4/c.jpg"] == "c_001.jpg" and names["7/x0.jpg"] == "x0_001.jpg"
+
+
+def test_names_of_large_buckets(spark, monkeypatch):
+    from test_operators import plain_names
+
+    monkeypatch.setattr(keyed, "WINDOW_ROWS", 20)
+    rng = random.Random(3)
+    paths = [f"{rng.randrange(90)}/{rng.choice(['a.jpg', 'a_002.jpg', 'a_003.jpg', 'b.tif', 'c.png', 'c_001.png', f'd{rng.randrange(50)}.jpg'])}" for _ in range(700)]
+    df = spark.createDataFrame(list(enumerate(paths)), "i int, path string")
+    assert {r.path: r.name for r in processed.destination_names(df, "path", "i").collect()} == plain_names(paths)
+
+
+def test_blank_tests_agree(spark):
+    texts = [None, "", " ", "\t\n", " 　", "\x1c\x85", " a", "​", "x\n", "\n/", "a/b", "\U0001f600", "  .", "a/b\n", "b/\n", "/", "a//c.jpg"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select(is_not_blank("t").alias("a"), blank_to_null("t").isNotNull().alias("b"),
+                       file_name("t").alias("f"), F.regexp_extract("t", r"([^/]*)$", 1).alias("g")).collect():
+        assert r.a == r.b and r.f == r.g
