@@ -37,6 +37,9 @@ LEDGER = (
 )
 MEASURES = [c.split()[0] for c in LEDGER.split(", ")][1:-1]
 SYMBOLS = b"#*$%&|<>"
+SPACES = b" \t\n\v\f\r"
+LOWER, UPPER = bytes(range(ord("a"), ord("z") + 1)), bytes(range(ord("A"), ord("Z") + 1))
+NO_LETTER, NO_LOWER, NO_UPPER = (bytes(set(range(256)) - set(kept)) for kept in (LOWER + UPPER + SPACES, LOWER + SPACES, UPPER))
 
 
 def mask(policy: str) -> int:
@@ -61,16 +64,26 @@ def measure(text: str | None) -> tuple[int, ...]:
     words = data.split()
     joined = b"".join(words)
     lines = [line for line in data.split(b"\n") if line and not line.isspace()]
-    n_chars = len(joined.decode())
-    # Bytes tell the case of ASCII words only.
-    shown = words if n_chars == len(joined) else [w.decode() for w in words]
     return (
-        len(words), n_chars, len(joined) - len(joined.translate(None, SYMBOLS)), len(lines) - len(set(lines)),
-        repeated_words(words), len(lines), sum(w.isupper() for w in shown if len(w) > 1),
-        sum(map(has_letter, shown)), joined.count(b"!"),
+        len(words), len(joined.decode()), len(joined) - len(joined.translate(None, SYMBOLS)), len(lines) - len(set(lines)),
+        repeated_words(words), len(lines), *upper_and_letter_words(data, words), joined.count(b"!"),
     )
 
 
+def upper_and_letter_words(data: bytes, words: list[bytes]) -> tuple[int, int]:
+    """Words of two characters or more in capitals, and words with a letter.
+
+    Of ASCII words all but some letters is cut out at once, and the words that are left are counted; those with a
+    letter but no small one are capitals. Other words are looked at one by one.
+    """
+    odd = [] if data.isascii() else [w.decode() for w in words if not w.isascii()]
+    plain = b" ".join([w for w in words if w.isascii()]) if odd else data
+    n_letter = len(plain.translate(None, NO_LETTER).split())
+    n_upper = n_letter - len(plain.translate(None, NO_LOWER).split())
+    n_upper -= len(b"".join([w for w in words if len(w) == 1]).translate(None, NO_UPPER))
+    return n_upper + sum(w.isupper() for w in odd if len(w) > 1), n_letter + sum(map(has_letter, odd))
+
+
 def has_letter(word: bytes | str) -> bool:
     if word.isalpha():
         return True
